@@ -4,9 +4,17 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from corpusloom.llm import mixing, quality, simhash, token_counts
+    from corpusloom.llm import decontaminate, language, mixing, quality, simhash, surrogates, token_counts
 
-    found = (quality.op2_quality_rules, token_counts.op3_count_tokens, mixing.op4_mix_sources, simhash.op8_simhash_near_dedup)
+    found = (
+        quality.op2_quality_rules,
+        token_counts.op3_count_tokens,
+        mixing.op4_mix_sources,
+        language.op5_language_id,
+        simhash.op8_simhash_near_dedup,
+        decontaminate.op9_decontaminate,
+        surrogates.op10_pii_surrogates,
+    )
     return {f.__name__: f for f in found}
 
 
