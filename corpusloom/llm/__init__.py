@@ -4,13 +4,15 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from corpusloom.llm import decontaminate, language, mixing, quality, simhash, surrogates, token_counts
+    from corpusloom.llm import chunks, decontaminate, language, licenses, mixing, quality, simhash, surrogates, token_counts
 
     found = (
+        licenses.op1_license_scan,
         quality.op2_quality_rules,
         token_counts.op3_count_tokens,
         mixing.op4_mix_sources,
         language.op5_language_id,
+        chunks.op7_substring_dedup,
         simhash.op8_simhash_near_dedup,
         decontaminate.op9_decontaminate,
         surrogates.op10_pii_surrogates,

@@ -72,10 +72,10 @@ class Model:
         coded = self.symbol[data].astype(np.int32)
         context, place = np.zeros(n, np.int32), np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
         before = int(self.symbol[0])
-        for back, scale in ((3, 1), (2, size), (1, size * size)):
+        for back in range(1, ORDER + 1):
             past = np.full(n, before, np.int32)
             past[back:] = np.where(place[back:] >= back, coded[:-back], before)
-            context = context + past * np.int32(size ** (ORDER - back))
+            context = context + past * np.int32(size ** (back - 1))
         entries = self.state[context].astype(np.int64) * size + coded
         flat, out = self.log_p.reshape(-1, len(self.langs)), np.zeros((len(offsets) - 1, len(self.langs)))
         full = np.flatnonzero(np.diff(offsets))

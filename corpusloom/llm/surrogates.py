@@ -169,6 +169,9 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         rest = value[len(words[0]) :]
         new = reshaped(first + rest, f"{tweak}/{len(first)}/{kept}", key)
         return new[: len(first)] + kept + new[len(first) :]
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):  # a hexadecimal secret stays one
+        number = permuted(int(value, 16), 16 ** len(value), f"{tweak}/hex/{len(value)}".encode(), key)
+        return f"{number:0{len(value)}{'x' if value == value.lower() else 'X'}}"
     return reshaped(value, tweak, key)
 
 
