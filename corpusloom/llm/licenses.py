@@ -104,8 +104,10 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, containment: float = CON
         raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
     table = F.broadcast(template_table(spark, templates))
     every = F.array(*(F.lit(h) for h in sorted({h for t in told for h in t["hashes"]})))
-    hashed = docs.select("doc_id", _words(F.col("text").cast("string")).alias("found")).select("doc_id", "found", _hashes(F.col("found")).alias("hashes"))
-    some = hashed.where(F.arrays_overlap("hashes", every))
+    found = docs.select("doc_id", _words(F.col("text").cast("string")).alias("found"))
+    # The row number keeps the condition above the hashes: pushed below them, it would take the words anew for each shingle.
+    hashed = found.select("doc_id", "found", _hashes(F.col("found")).alias("hashes"), F.monotonically_increasing_id().alias("row"))
+    some = hashed.where((F.col("row") >= 0) & F.arrays_overlap("hashes", every))
     lengths = sorted({t["words"] for t in told})
     starts = [_window_starts(m, sorted({h for t in told if t["words"] == m for h in t["hashes"]})) for m in lengths]
     windows = some.select("doc_id", "found", "hashes", F.explode(F.concat(*starts)).alias("w")).select("doc_id", "w.start", "w.words", F.slice("hashes", F.col("w.start") + 1, F.greatest(F.lit(1), F.col("w.words") - (SHINGLE - 1))).alias("own"), "found")
