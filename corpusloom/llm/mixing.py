@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     told = own.select("*", (F.sum("source_size").over(whole) * F.lit(float(share))).alias("all"), F.sum("weight").over(whole).alias("weight_all"), F.coalesce(F.sum("cap").over(up), F.lit(0.0)).alias("cap_before"), F.coalesce(F.sum("weight").over(up), F.lit(0.0)).alias("weight_before"))
     level = (F.col("all") - F.col("cap_before")) / (F.col("weight_all") - F.col("weight_before"))
     leveled = told.withColumn("level", F.when(F.col("cap") >= level * F.col("weight"), level))
-    level = F.min("level").over(whole)  # from the first source that stays under its cap on, all give the same
+    level = F.max("level").over(whole)  # it grows while the sources are at their caps, and is the level at the first that is not
     return leveled.select("source", "source_size", F.least(F.col("cap"), F.coalesce(level * F.col("weight"), F.col("cap"))).alias("target"))
 
 
@@ -82,6 +82,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return joined.select("doc_id", "size", F.col("source_size").cast("long"), F.col("target").cast("double"), taken.cast("long").alias("taken"), epochs.cast("long").alias("epochs"))
 
 
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of `docs` with size, source_size, target, taken and epochs, named so even where `docs` has such columns.
+
+    Rows that repeat a doc_id are told apart by size only; each gets what one of them takes.
+    """
+    told = mix(docs, **settings).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(*(F.max(c).alias(c) for c in ("source_size", "target", "taken", "epochs")))
+    added = ("size", "source_size", "target", "taken", "epochs")
+    own = docs.select(*(c for c in docs.columns if c not in added)).withColumn("size", F.size(words("text")).cast("long"))
+    return own.join(told, own["doc_id"].eqNullSafe(told["_id"]) & (own["size"] == told["_size"])).drop("_id", "_size")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -100,7 +111,7 @@ w AS (SELECT source, source_size, CASE turn WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN
 l AS (SELECT a.source, a.weight, a.cap,
         (SELECT 1.5::DOUBLE * sum(source_size) - coalesce(sum(cap) FILTER (WHERE cap / weight < a.cap / a.weight), 0) FROM w)
         / (SELECT coalesce(sum(weight) FILTER (WHERE cap / weight >= a.cap / a.weight), 0) FROM w) AS level FROM w a),
-t AS (SELECT w.source, w.source_size, least(w.cap, w.weight * (SELECT min(level) FROM l WHERE l.cap >= l.level * l.weight)) AS target FROM w),
+t AS (SELECT w.source, w.source_size, least(w.cap, w.weight * (SELECT max(level) FROM l WHERE l.cap >= l.level * l.weight)) AS target FROM w),
 e AS (SELECT source, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END AS epochs FROM t)
 SELECT o.doc_id, o.size::BIGINT AS size, e.source_size::BIGINT AS source_size, e.target::DOUBLE AS target,
        (e.epochs * o.size + greatest(0, least(o.size, floor(e.target) - e.epochs * e.source_size - o.before)))::BIGINT AS taken

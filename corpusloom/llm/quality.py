@@ -64,17 +64,24 @@ def _repeat_words(found: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """(doc_id, measures ...): one long per measure of the rules and of the base, for every row of `docs`."""
+    """(doc_id, given, row, measures ...): a long for each measure of the rules and of the base, for every row of `docs`.
+
+    `given` is the row as it came, a struct, so that its columns can't clash with the measures.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    first = docs.select("doc_id", text.alias("text"), words(text).alias("found"))
+    # The row number keeps conditions on the measures above them: pushed below, they would take the words anew for each window.
+    row = F.monotonically_increasing_id().alias("row")
+    first = docs.select("doc_id", text.alias("text"), words(text).alias("found"), F.struct(*docs.columns).alias("given"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    second = first.select("doc_id", "text", "found", lines.alias("lines"), _repeat_words(F.col("found")).alias("hashed"))
-    third = second.select("doc_id", "text", "found", "lines", F.sort_array(F.transform(F.filter("hashed", _twin(F.col("hashed"))), lambda x: x.i)).alias("starts"))
+    second = first.select("doc_id", "given", "text", "found", lines.alias("lines"), _repeat_words(F.col("found")).alias("hashed"))
+    third = second.select("doc_id", "given", "text", "found", "lines", F.sort_array(F.transform(F.filter("hashed", _twin(F.col("hashed"))), lambda x: x.i)).alias("starts"))
     ends = lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("starts"), i + 1) - x, F.lit(WINDOW)))
     stop = F.array(*map(F.lit, sorted(set(STOP_WORDS))))
     long = lambda c, name: c.cast("long").alias(name)
     return third.select(
         "doc_id",
+        "given",
+        row,
         F.lit(1).cast("long").alias("one"),
         long(F.size("found"), "n_words"),
         long(F.length(F.translate("text", " \t\n\x0b\x0c\r", "")), "word_chars"),
@@ -90,6 +97,11 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
+def kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of `docs`, all columns, that the rules keep."""
+    return judge(docs, rules).where((F.col("row") >= 0) & F.col("kept")).select("given.*")
+
+
 def _twin(hashed: Column):
     """Whether an element of the sorted array has a neighbour of equal hash. Index -1 gives null, as past the end."""
     return lambda x, i: F.coalesce(F.get(hashed, i - 1).h == x.h, F.lit(False)) | F.coalesce(F.get(hashed, i + 1).h == x.h, F.lit(False))
@@ -117,7 +129,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every document, with the measures it rests on."""
-    return judge(documents(spark, sf_dir)).drop("one")
+    return judge(documents(spark, sf_dir)).drop("one", "row", "given")
 
 
 def _sql_rules() -> str:

@@ -287,6 +287,14 @@ def replace_pii(docs: DataFrame, key: bytes = KEY, max_shared: int = MAX_SHARED)
     return taken.mapInArrow(run, f"{schema}, {extra}")
 
 
+def rewritten(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+    """`docs` with surrogates in the texts and, where there is n_chars, the new number of characters: the same columns."""
+    out = replace_pii(docs, key)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def _with_own(docs: DataFrame, again: DataFrame) -> DataFrame:
     """`docs` with the entities of `again` that each doc_id mentions, as the column _own."""
 
