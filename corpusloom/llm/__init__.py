@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from corpusloom.llm import chunks, decontaminate, language, licenses, mixing, quality, simhash, surrogates, token_counts
+    from corpusloom.llm import chunks, decontaminate, language, licenses, mixing, quality, simhash, suffixes, surrogates, token_counts
 
     found = (
         licenses.op1_license_scan,
@@ -12,6 +12,7 @@ def queries() -> dict:
         token_counts.op3_count_tokens,
         mixing.op4_mix_sources,
         language.op5_language_id,
+        suffixes.op6_suffix_dedup,
         chunks.op7_substring_dedup,
         simhash.op8_simhash_near_dedup,
         decontaminate.op9_decontaminate,
