@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import decisions, gates, graph, merging, packing, search
+from corpusloom.operators import decisions, flatten, gates, graph, merging, packing, search
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,3 +385,43 @@ def lineage_breaks(spark: SparkSession, d: str) -> DataFrame:
     stages = table(spark, d, "orders").select("o_custkey", "o_orderkey", digest.alias("result"), (F.row_number().over(order) - 1).alias("pos"), F.lag(digest).over(order).alias("before"))
     stages = stages.withColumn("parent", F.when((F.col("pos") > 0) & (F.col("o_orderkey") % 10 > 0), F.col("before")))
     return gates.chain_breaks(stages.drop("before"), "o_custkey", "pos", "parent", "result")
+
+
+def _papers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as nested analyses: lines are key results, sentences of the first line claims, the rest by length."""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.split(text, "\n")
+    doc = F.struct(
+        F.struct(F.lit("A title.").alias("title"), F.lit("2024").alias("year"), F.array("lang").alias("research_areas"), F.array("source", "lang").alias("keywords")).alias("paper_metadata"),
+        F.transform(lines, lambda x: F.struct(x.alias("finding"))).alias("key_results"),
+        F.transform(T.sentences(F.element_at(lines, 1)), lambda x: F.struct(x.alias("claim"), F.lit("empirical").alias("claim_type"))).alias("claims_and_evidence"),
+        F.struct(F.when(F.length(text) > 1000, F.array(F.struct(F.element_at(lines, -1).alias("limitation")))).alias("author_stated")).alias("limitations"),
+    )
+    told = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.to_json(doc).alias("json"), F.lit(None).cast("string").alias("title"), F.col("source").alias("venue"), F.lit(None).cast("string").alias("year"))
+    return told.select("paper_id", F.from_json("json", flatten.schema()).alias("doc"), "title", "venue", "year")
+
+
+_SENTENCES = r"string_split(regexp_replace(string_split(t, chr(10))[1], '([.!?])[\s\p{Z}]+', '\1' || chr(1), 'g'), chr(1))"
+_TYPES = rf"""WITH d AS (SELECT doc_id::VARCHAR AS paper_id, coalesce(text, '') AS t, source FROM documents)
+SELECT paper_id, 'key_result' AS type, length(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS n FROM d WHERE n > 0
+UNION ALL SELECT paper_id, 'claim', length(list_filter({_SENTENCES}, lambda x: trim(x) <> ''))::BIGINT AS n FROM d WHERE n > 0
+UNION ALL SELECT paper_id, 'limitation_author', 1 FROM d WHERE length(t) > 1000 AND trim(string_split(t, chr(10))[-1]) <> ''
+UNION ALL SELECT paper_id, 'tags', 1 FROM d"""
+
+
+@query(_TYPES)
+def statement_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Statements by paper and type; the chunks of one statement count once."""
+    own = flatten.records(_papers(spark, d)).select("paper_id", "type", F.regexp_replace("record_id", "#p[0-9]+$", "").alias("statement"))
+    return own.distinct().groupBy("paper_id", "type").agg(F.count("*").alias("n"))
+
+
+@query()
+def statement_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every typed record of every document."""
+    return flatten.records(_papers(spark, d)).select("record_id", "paper_id", "type", "text", "year", "venue")
+
+
+@query()
+def evidence_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return flatten.evidence(_papers(spark, d)).select("paper_id", "kind", "path", "value", "boundary", F.size("tokens").alias("n_tokens"))
