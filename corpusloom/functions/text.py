@@ -88,7 +88,7 @@ def doi_link(text: Column) -> Column:
 
 
 def arxiv_link(text: Column) -> Column:
-    found = F.regexp_extract(text, r"(?:^|arxiv[:/.]|abs/|pdf/)(\d{4}\.\d{4,5})(?:v\d+)?", 1)
+    found = F.regexp_extract(text, r"(?i)(?:^|arxiv[:/.]|abs/|pdf/)(\d{4}\.\d{4,5})(?:v\d+)?", 1)
     return F.when(found != "", F.concat(F.lit("https://arxiv.org/abs/"), found))
 
 
