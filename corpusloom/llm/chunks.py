@@ -49,15 +49,20 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _chunked(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start in its text, length, digest as two longs) of each chunk of a slice."""
+    """(row, start in its text, length, digest as two longs) of each chunk of a slice.
+
+    The digest takes in the bytes that decided on the chunk's start, so that a chunk of a few bytes is no
+    repetition wherever those bytes stand.
+    """
     import xxhash
 
     data, offsets = utf8(part)
     borders, raw = cuts(data, offsets), data.tobytes()
     starts, lengths = borders[:-1], np.diff(borders)
     digest = xxhash.xxh3_128_digest
-    digests = np.frombuffer(b"".join(digest(raw[a:b]) for a, b in zip(starts.tolist(), borders[1:].tolist(), strict=True)), np.int64).reshape(-1, 2)
     row = np.searchsorted(offsets, starts, side="right") - 1
+    before = np.maximum(starts - WINDOW, offsets[row])
+    digests = np.frombuffer(b"".join(digest(raw[a:b]) for a, b in zip(before.tolist(), borders[1:].tolist(), strict=True)), np.int64).reshape(-1, 2)
     return row, starts - offsets[row], lengths, digests
 
 
