@@ -1,6 +1,6 @@
 """Substring dedup (operator 7) by content-defined chunking.
 
-A gear hash rolls over the bytes of a text; where its top bits are zero, a chunk ends. A cut depends on the 32
+A gear hash rolls over the bytes of a text; where it is low, a chunk ends. A cut depends on the 32
 bytes before it alone, so text that is inserted or deleted moves no cut further on. Chunks are deduplicated by
 digest over the whole collection: the first place in order of (doc_id, start) keeps a chunk, the others are
 removed if they lie in runs of repeated chunks of at least MIN_RUN bytes.
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm._common import documents, slices, utf8
 from corpusloom.sources.tables import cut
 
-#: A cut where the top BITS bits are zero: chunks of 2^BITS bytes on average. Forced every MAX_CHUNK bytes without one.
-BITS, WINDOW, MAX_CHUNK = 6, 32, 1024
+#: Bytes of a chunk on average, those that the hash spans, and those after which a cut is forced.
+MEAN, WINDOW, MAX_CHUNK = 40, 32, 1024
 #: Shortest run of repeated chunks that counts: shorter ones are phrases that texts share by chance.
-MIN_RUN = 160
+MIN_RUN = 96
 GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=4, person=b"gear").digest() for b in range(256)), np.uint32)
 
 
@@ -41,7 +41,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if not len(data):
         return np.zeros(1, np.int64)
     place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-    ends = (gear(data) >> np.uint32(32 - BITS) == 0) & (place >= WINDOW - 1)
+    ends = (gear(data) < np.uint32((1 << 32) // MEAN)) & (place >= WINDOW - 1)
     borders = np.unique(np.concatenate([offsets, np.flatnonzero(ends) + 1]))
     for k in np.flatnonzero(np.diff(borders) > MAX_CHUNK).tolist():
         borders = np.append(borders, np.arange(borders[k] + MAX_CHUNK, borders[k + 1], MAX_CHUNK))
@@ -80,20 +80,16 @@ def chunk_table(docs: DataFrame) -> DataFrame:
 
 
 def repeated(chunks: DataFrame) -> DataFrame:
-    """(d1, d2, first_doc, first_start) of the digests with two places or more, counted map-side first."""
-    place = F.struct("doc_id", "start")
-    return chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("d1", "d2", "first")
+    """(d1, d2, first_doc) of the digests with two places or more, counted map-side first."""
+    return chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").select("d1", "d2", "first_doc")
 
 
-def spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """(doc_id, n_dup_chunks, removed): for each doc_id with repeated chunks, the places [start, end) to remove.
-
-    A run is a row of neighbouring repeated chunks of `min_run` bytes together, or a whole text of repeated
-    chunks. Inside a run, all but the first place of each chunk is removed.
-    """
+def spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, _found): the repeated chunks of each doc_id as (start, length, d1, later), later where the first place is in a document before."""
     chunks = chunk_table(docs)
-    found = chunks.join(cut(repeated(chunks)), ["d1", "d2"]).select("doc_id", "start", "length", (F.struct("doc_id", "start") > F.col("first")).alias("later"))
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length", "later"))).alias("_found"))
+    later = F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False))
+    found = chunks.join(cut(repeated(chunks)), ["d1", "d2"]).select("doc_id", "start", "length", "d1", later.alias("later"))
+    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length", "d1", "later"))).alias("_found"))
 
 
 def marked(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
@@ -101,49 +97,52 @@ def marked(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 
     n_dup_chunks counts the chunks in runs that occur elsewhere too, n_removed the bytes that are not the first
     of their kind. kept_text is what stays, with bytes that a cut inside a character orphaned left out. Null is
-    an empty text: no chunks. Rows that repeat a doc_id are marked alike, by the places of either. Extra
+    an empty text: no chunks. Rows that repeat a doc_id count as one document. Extra
     columns are ignored; an empty table gives no rows. Texts are chunked whole.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            row, start, length, _ = _chunked(part)
-            totals, out = np.bincount(row, minlength=part.num_rows), []
-            for k, (text, found) in enumerate(zip(part.column("text").to_pylist(), part.column("_found").to_pylist(), strict=True)):
-                out.append(_kept((text or "").encode(), found, min_run))
+            row, start, length, digests = _chunked(part)
+            totals, own = np.bincount(row, minlength=part.num_rows), [set() for _ in range(part.num_rows)]
+            for k, place in zip(row.tolist(), zip(start.tolist(), length.tolist(), digests[:, 0].tolist(), strict=True), strict=True):
+                own[k].add(place)
+            out = [_kept((text or "").encode(), [f for f in found or () if (f["start"], f["length"], f["d1"]) in mine], min_run) for text, found, mine in zip(part.column("text").to_pylist(), part.column("_found").to_pylist(), own, strict=True)]
             columns = [[o[k] for o in out] for k in range(5)]
             arrays = [part.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(totals, pa.int64()), *(pa.array(c, pa.int64()) for c in columns[1:4]), pa.array(columns[4], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_chunks", "n_dup_chunks", "n_removed", "n_spans", "kept_text"])
 
-    found = spans(docs, min_run).withColumnRenamed("doc_id", "_doc_id")
+    found = spans(docs).withColumnRenamed("doc_id", "_doc_id")
     told = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left").select("doc_id", "text", "_found")
     return told.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_chunks long, n_dup_chunks long, n_removed long, n_spans long, kept_text string")
 
 
-def _kept(text: bytes, found: list[dict] | None, min_run: int) -> tuple[int, int, int, int, str]:
-    """(bytes, repeated chunks in runs, bytes removed, spans, what stays) of a text with its repeated chunks in order."""
+def _kept(text: bytes, found: list[dict], min_run: int) -> tuple[int, int, int, int, str]:
+    """(bytes, repeated chunks in runs, bytes removed, spans, what stays) of a text with its repeated chunks in order.
+
+    A run is a row of neighbouring repeated chunks of `min_run` bytes together, or a whole text of them. In a run
+    goes what has its first place in a document before, or before in this one.
+    """
     runs: list[list[dict]] = []
-    for chunk in found or ():
-        if chunk["start"] + chunk["length"] > len(text):
-            continue  # of another row with this doc_id
+    for chunk in found:
         if runs and chunk["start"] <= runs[-1][-1]["start"] + runs[-1][-1]["length"]:
             runs[-1].append(chunk)
         else:
             runs.append([chunk])
-    chunks, gone = 0, []
+    chunks, gone, seen = 0, [], set()
     for run in runs:
         size = run[-1]["start"] + run[-1]["length"] - run[0]["start"]
-        if size < min_run and size < len(text):
-            continue
-        chunks += len(run)
+        counts = size >= min_run or size == len(text)
+        chunks += len(run) * counts
         for chunk in run:
-            if chunk["later"]:
+            if counts and (chunk["later"] or chunk["d1"] in seen):
                 start, end = chunk["start"], chunk["start"] + chunk["length"]
                 if gone and start <= gone[-1][1]:
                     gone[-1][1] = max(end, gone[-1][1])
                 else:
                     gone.append([start, end])
+            seen.add(chunk["d1"])
     pieces, at = [], 0
     for start, end in gone:
         pieces.append(text[at:start])
