@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import decisions, flatten, gates, graph, merging, packing, search
+from corpusloom.operators import decisions, flatten, gates, graph, merging, packing, reviews, search
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,7 +255,7 @@ def agreement_confidence(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT l_partkey AS thread, l_suppkey AS paper, bool_or(l_returnflag = 'R') AS supporting, count(*) AS shared FROM lineitem GROUP BY ALL))""")
 def supporting_first(spark: SparkSession, d: str) -> DataFrame:
     told = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("thread"), F.col("l_suppkey").alias("paper")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("supporting"), F.count("*").alias("shared"))
-    return packing.supporting_first(told, 4).withColumn("place", F.col("place").cast("long"))
+    return packing.supporting_first(told, 4)
 
 
 @query("SELECT l_suppkey AS paper, l_linenumber AS page, count(*) AS demand FROM lineitem GROUP BY ALL")
@@ -425,3 +425,36 @@ def statement_records(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def evidence_candidates(spark: SparkSession, d: str) -> DataFrame:
     return flatten.evidence(_papers(spark, d)).select("paper_id", "kind", "path", "value", "boundary", F.size("tokens").alias("n_tokens"))
+
+
+@query("""SELECT source AS paper_id, count(DISTINCT x)::BIGINT AS n_hints FROM (SELECT source, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{3,}'), lambda x: NOT list_contains(""" + _STOP + """, x))) AS x FROM documents) GROUP BY source""")
+def search_hints(spark: SparkSession, d: str) -> DataFrame:
+    """How many distinct tokens the records of each venue offer as hints."""
+    matches = table(spark, d, "documents").select(F.col("source").alias("paper_id"), "text")
+    return reviews.hint_tokens(matches).select("paper_id", F.size("hints").cast("long").alias("n_hints"))
+
+
+@query("""SELECT l_suppkey AS paper_id, list_sort(list(DISTINCT CASE l_returnflag WHEN 'R' THEN 'cited' ELSE 'compared' END)) AS roles, count(DISTINCT l_partkey) AS n_candidates, count(DISTINCT l_linenumber) AS n_pages FROM lineitem GROUP BY l_suppkey""")
+def paper_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """In which roles, for which candidates and with which pages each paper is used."""
+    line = table(spark, d, "lineitem").select("l_returnflag", F.col("l_suppkey").alias("paper_id"), F.col("l_partkey").alias("candidate"), F.col("l_linenumber").alias("page"))
+    told = reviews.inventory(("cited", line.where("l_returnflag = 'R'")), ("compared", line.where("l_returnflag <> 'R'")))
+    return told.select("paper_id", "roles", F.size("candidates").cast("long").alias("n_candidates"), F.size("pages").cast("long").alias("n_pages"))
+
+
+@query("""SELECT o_custkey AS target, o_orderkey AS paper, coalesce(i, 0) AS rank, i IS NOT NULL AS in_pool, coalesce(i <= 3, false) AS in_shortlist FROM orders
+LEFT JOIN (SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS i FROM orders) WHERE i <= 8) USING (o_custkey, o_orderkey) WHERE o_orderpriority = '1-URGENT'""")
+def control_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Where urgent orders stand among each customer's eight dearest, and whether they are in the shortlist of three."""
+    orders = table(spark, d, "orders")
+    pool = search.ranked(orders.select(F.col("o_custkey").alias("target"), F.col("o_orderkey").alias("paper"), F.col("o_totalprice").alias("score")), 8, ["target"], key="paper")
+    controls = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("target"), F.col("o_orderkey").alias("paper"))
+    return reviews.control_coverage(pool, controls, 3).withColumn("rank", F.coalesce("rank", F.lit(0)).cast("long"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'removed' WHEN o_orderpriority = '5-LOW' THEN 'changed' ELSE 'same' END AS change FROM orders""")
+def proposal_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Proposals (orders) whose science changed between two versions; the date only explains."""
+    old = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderdate")
+    new = table(spark, d, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("o_orderpriority"), F.date_trunc("year", "o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
+    return reviews.scientific_changes(old, new, "o_orderkey", ["o_orderdate"])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranking import numbered
+
 
 def supporting_first(candidates: DataFrame, cap: int) -> DataFrame:
     """(thread, paper, place, chosen): supporting papers by id, then others by falling overlap and id; the first `cap` are chosen."""
-    order = Window.partitionBy("thread").orderBy(F.desc("supporting"), F.when(F.col("supporting"), 0).otherwise(-F.col("shared")), "paper")
-    return candidates.withColumn("place", F.row_number().over(order)).select("thread", "paper", "place", (F.col("place") <= cap).alias("chosen"))
+    keyed = candidates.select("thread", "paper", (~F.col("supporting")).alias("_other"), F.when(F.col("supporting"), 0).otherwise(-F.col("shared")).alias("_overlap"))
+    return numbered(keyed, ["thread"], ["_other", "_overlap", "paper"], "place").select("thread", "paper", "place", (F.col("place") <= cap).alias("chosen"))
 
 
 def allocate_sides(side_a: Column, side_b: Column, cap: int) -> Column:
@@ -69,5 +71,5 @@ def page_demand(citations: DataFrame) -> DataFrame:
 
 def batches(items: DataFrame, size: int, cap: int, by: str = "thread", key: str = "item") -> DataFrame:
     """Batches of `size` items in order of key within each group; beyond `cap` batches they are kept and labelled omitted."""
-    number = F.floor((F.row_number().over(Window.partitionBy(by).orderBy(key)) - 1) / size)
-    return items.withColumn("batch", number.cast("long")).withColumn("omitted", F.col("batch") >= cap)
+    told = numbered(items, [by], [key], "_number")
+    return told.withColumn("batch", F.floor((F.col("_number") - 1) / size).cast("long")).withColumn("omitted", F.col("batch") >= cap).drop("_number")

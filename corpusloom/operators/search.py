@@ -7,6 +7,7 @@ in every task before the shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -89,11 +90,16 @@ def reciprocal_ranks(channels: Sequence[DataFrame], k: int = RRF_K) -> DataFrame
 
 
 def roll_up(hits: DataFrame, decay: float = DECAY) -> DataFrame:
-    """(query_id, paper_id, score, n_records): a paper's records by falling score weigh 1, 1/2, 1/4 and so on; a record counts once, at its best."""
+    """(query_id, paper_id, score, n_records): a paper's records by falling score weigh 1, 1/2, 1/4 and so on; a record counts once, at its best.
+
+    The weight of a record so far down that a double can't show it beside the first one's is left out of the sum,
+    so that Spark limits every group in each task before the shuffle; all records are counted.
+    """
     best = hits.groupBy("query_id", "paper_id", "record_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id", "paper_id").orderBy(F.desc("score"), F.asc("record_id"))
-    weighed = best.withColumn("part", F.col("score") * F.pow(F.lit(decay), F.row_number().over(order) - 1))
-    return weighed.groupBy("query_id", "paper_id").agg(F.sum("part").alias("score"), F.count("*").alias("n_records"))
+    shown = math.ceil(-60 / math.log2(decay))
+    top = ranked(best, shown, ["query_id", "paper_id"]).withColumn("part", F.col("score") * F.pow(F.lit(decay), F.col("rank") - 1))
+    counts = best.groupBy("query_id", "paper_id").agg(F.count("*").alias("n_records"))
+    return top.groupBy("query_id", "paper_id").agg(F.sum("part").alias("score")).join(counts, ["query_id", "paper_id"])
 
 
 def fuse_queries(papers: DataFrame, limit: int, k: int = RRF_K) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import models
 from corpusloom.functions import text as T
-from corpusloom.operators import decisions, flatten, gates, graph, merging, packing, search
+from corpusloom.operators import decisions, flatten, gates, graph, merging, packing, ranking, reviews, search
 from corpusloom.operators.components import connected_components
 from corpusloom.streaming import status
 
@@ -276,3 +276,32 @@ def test_streaming(spark, tmp_path):
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 12
     status.upsert_latest(stream, str(tmp_path / "out"), ["user_id"], ["event_id"], str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out/version=0")).count() == 4
+
+
+def test_numbering_spans_ranges(spark):
+    data = [("hot" if i % 3 else f"g{i % 7}", i) for i in range(3000)] + [(None, i) for i in range(5)]
+    expected, seen = {}, {}
+    for g, i in sorted(data, key=lambda x: x[1]):
+        seen[g] = seen.get(g, 0) + 1
+        expected[g, i] = seen[g]
+    got = ranking.numbered(spark.createDataFrame(data, "g string, i int").repartition(6), ["g"], ["i"])
+    assert {(r["g"], r["i"]): r["number"] for r in got.collect()} == expected
+    assert ranking.numbered(spark.createDataFrame([], "g string, i int"), ["g"], ["i"]).isEmpty()
+
+
+def test_roll_up_of_many_records(spark):
+    hits = spark.createDataFrame([("q", "p", f"r{i}", 1.0 + i % 5) for i in range(300)], "query_id string, paper_id string, record_id string, score double")
+    scores = sorted((1.0 + i % 5 for i in range(300)), reverse=True)
+    got = search.roll_up(hits).first()
+    assert got["n_records"] == 300 and got["score"] == sum(x * 0.5**k for k, x in enumerate(scores))
+
+
+def test_reviews(spark):
+    found = spark.createDataFrame([("d", "p", ["t2", "t1"], ["x"], 1, "why"), ("d", "p", ["t1"], ["y"], 0, "first"), ("d", "p", ["t1"], [], 2, "why")], "direction string, paper string, targets array<string>, passages array<string>, pos int, reason string")
+    assert rows(reviews.concerns(found)) == [("d", "p", ["t1", "t2"], ["x", "y"], "first\nwhy")]
+    claims = spark.createDataFrame([("p", "a", "1"), ("p", "a", "1"), ("p", "b", "1"), ("p", "b", "2")], "paper string, claim string, content string")
+    kept, clash = reviews.without_repeats(claims)
+    assert rows(kept) == [("p", "a", "1")] and rows(clash) == [("p", "b")]
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, "c", "x")], "k int, v string, note string")
+    new = spark.createDataFrame([(1, "a", "y"), (2, None, "b"), (4, "d", "")], "k int, v string, note string")
+    assert dict(rows(reviews.scientific_changes(old, new, "k", ["note"]))) == {1: "same", 2: "changed", 3: "removed", 4: "added"}
