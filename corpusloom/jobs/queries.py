@@ -434,12 +434,12 @@ def search_hints(spark: SparkSession, d: str) -> DataFrame:
     return reviews.hint_tokens(matches).select("paper_id", F.size("hints").cast("long").alias("n_hints"))
 
 
-@query("""SELECT l_suppkey AS paper_id, list_sort(list(DISTINCT CASE l_returnflag WHEN 'R' THEN 'cited' ELSE 'compared' END)) AS roles, count(DISTINCT l_partkey) AS n_candidates, count(DISTINCT l_linenumber) AS n_pages FROM lineitem GROUP BY l_suppkey""")
+@query("""SELECT l_suppkey AS paper_id, array_to_string(list_sort(list(DISTINCT CASE l_returnflag WHEN 'R' THEN 'cited' ELSE 'compared' END)), ',') AS roles, count(DISTINCT l_partkey) AS n_candidates, count(DISTINCT l_linenumber) AS n_pages FROM lineitem GROUP BY l_suppkey""")
 def paper_inventory(spark: SparkSession, d: str) -> DataFrame:
     """In which roles, for which candidates and with which pages each paper is used."""
     line = table(spark, d, "lineitem").select("l_returnflag", F.col("l_suppkey").alias("paper_id"), F.col("l_partkey").alias("candidate"), F.col("l_linenumber").alias("page"))
     told = reviews.inventory(("cited", line.where("l_returnflag = 'R'")), ("compared", line.where("l_returnflag <> 'R'")))
-    return told.select("paper_id", "roles", F.size("candidates").cast("long").alias("n_candidates"), F.size("pages").cast("long").alias("n_pages"))
+    return told.select("paper_id", F.array_join("roles", ",").alias("roles"), F.size("candidates").cast("long").alias("n_candidates"), F.size("pages").cast("long").alias("n_pages"))
 
 
 @query("""SELECT o_custkey AS target, o_orderkey AS paper, coalesce(i, 0) AS rank, i IS NOT NULL AS in_pool, coalesce(i <= 3, false) AS in_shortlist FROM orders
