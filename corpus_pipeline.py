@@ -34,8 +34,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with what the mix takes of each: size, source_size, target, taken, epochs."""
-    return mixing.mixed(docs)
+    """The documents of the mix, with what it takes of each: size, source_size, target, taken, epochs. What it does not take is left out."""
+    return mixing.mixed(docs).where("taken > 0")
 
 
 STAGES = [
