@@ -36,14 +36,21 @@ TITLES = "Mrs?\\.?|Ms\\.?|Miss|Mister|Herrn?|Frau|Señora?|Señorita|Sra?\\.|Mon
 
 AT = re.compile("@")
 LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9_.+%-]{1,64}\Z"), re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}")
-NUMBERS = re.compile(r"\+?\(?\d[\d().\- ]{5,24}\d(?![\w])")
+#: What may hold a number, and the forms in it; an address of four numbers is not taken for the end of a telephone number.
+NUMBERS = re.compile(r"(?<![\w@])[+(]?\d[\d().\- ]{5,}\d")
+FORMS = re.compile(
+    r"(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))"
+    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
+    r"|(?P<card>(?<!\d)(?:\d{4}(?P<gap>[ -]?)\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{13,19})(?!\d))"
+    r"|(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    r"|\+\d{1,3}(?:[ -]?(?!\d{1,3}\.\d{1,3}\.)\(?\d{2,5}\)?){2,5}(?!\d)"
+    r"|\(\d{2,5}\)[ -]?\d{3,4}[ -]?\d{3,4}(?!\d)"
+    r"|(?<!\d)\d{3}[-. ]\d{3}[-. ]\d{4}(?!\d))"
+)
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 SECRET = re.compile(r"[=:]\s*[\"']?([A-Za-z0-9_\-+/]{16,})")
 SECRET_NAME = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|credential)[\"']?\s*\Z", re.IGNORECASE)
 NAMED = re.compile(rf"\b(?:{TITLES}) ((?:[^\W\d_a-zà-ÿ][^\W\d_]+(?:-[^\W\d_]+)?)(?: [^\W\d_a-zà-ÿ][^\W\d_]+(?:-[^\W\d_]+)?){{0,2}})")
-IP = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})\Z")
-CARD, SSN = re.compile(r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}\Z|\d{13,19}\Z"), re.compile(r"\d{3}-\d{2}-\d{4}\Z")
-PHONE = re.compile(r"\+\d[\d(). -]*\Z|\(\d{2,5}\)[ -]?\d[\d -]*\Z|\d{3}[-. ]\d{3}[-. ]\d{4}\Z")
 
 
 class Mention(NamedTuple):
@@ -57,15 +64,17 @@ def luhn(digits: str) -> bool:
     return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits))) % 10 == 0
 
 
-def _number(found: str) -> str | None:
+def _canonical(kind: str, found: str) -> str | None:
+    """The value behind a number in one of the forms; None if it is none after all: a card's check digit must fit."""
     digits = re.sub(r"\D", "", found)
-    if match := IP.match(found):
-        return "ip" if all(int(x) < 256 for x in match.groups()) else None
-    if SSN.match(found):
-        return "ssn"
-    if CARD.match(found) and (luhn(digits) or len(digits) == 16 and digits[0] in "23456"):
-        return "card"
-    return "phone" if PHONE.match(found) and 8 <= len(digits) <= 15 else None
+    if kind == "ip":
+        parts = [int(x) for x in found.split(".")]
+        return ".".join(map(str, parts)) if max(parts) < 256 else None
+    if kind == "card":
+        return digits if luhn(digits) else None
+    if kind == "phone":
+        return ("+" if found[0] == "+" else "") + digits if 8 <= len(digits) <= 15 else None
+    return digits
 
 
 def mentions(text: str) -> list[Mention]:
@@ -76,17 +85,12 @@ def mentions(text: str) -> list[Mention]:
         if (left := LOCAL.search(text[max(0, k - 64) : k])) and (right := DOMAIN.match(text, k + 1)):
             own = text[k - len(left[0]) : right.end()]
             found.append(Mention(k - len(left[0]), right.end(), "email", own.lower()))
-    for m in NUMBERS.finditer(text):
-        if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "@"):
+    for segment in NUMBERS.finditer(text):
+        if text[segment.end() : segment.end() + 1].isalpha():
             continue
-        start, end = m.span()
-        own = m[0].rstrip(" .-(")
-        for piece in [(0, len(own))] if _number(own) else [p.span() for p in re.finditer(r"\S+", own)]:
-            part = own[piece[0] : piece[1]].strip(".-()" if piece != (0, len(own)) else "")
-            if part and (kind := _number(part)):
-                at = start + own.index(part, piece[0])
-                value = part if kind == "ip" else ("+" if part[0] == "+" else "") + re.sub(r"\D", "", part)
-                found.append(Mention(at, at + len(part), kind, ".".join(str(int(x)) for x in part.split(".")) if kind == "ip" else value))
+        for m in FORMS.finditer(text, *segment.span()):
+            if (value := _canonical(m.lastgroup if m.lastgroup != "gap" else "card", m[0])) is not None:
+                found.append(Mention(*m.span(), "card" if m["card"] else m.lastgroup, value))
     for m in IBAN.finditer(text):
         plain = m[0].replace(" ", "")
         if 15 <= len(plain) <= 34 and _remainder(plain) == 1:
@@ -152,11 +156,9 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     if kind == "email":  # the top-level domain stays
         head, _, top = value.rpartition(".")
         return f"{reshaped(head, f'{tweak}/{top}', key)}.{top}"
-    if kind == "card" and luhn(value):  # the issuer's digit stays, and the check digit fits again
+    if kind == "card":  # the issuer's digit stays, and the check digit fits again
         head = value[0] + reshaped(value[1:-1], f"{tweak}/{value[0]}/checked", key)
         return next(head + str(d) for d in range(10) if luhn(head + str(d)))
-    if kind == "card":
-        return next(x for x in _walk(value[0], value[1:], f"{tweak}/{value[0]}", key) if not luhn(x))
     if kind == "phone":  # a country's first digit stays
         keep = 2 if value[0] == "+" else 0
         return value[:keep] + reshaped(value[keep:], f"{tweak}/{value[:keep]}", key)
@@ -175,13 +177,6 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     return reshaped(value, tweak, key)
 
 
-def _walk(head: str, tail: str, tweak: str, key: bytes) -> Iterator[str]:
-    """The permutation applied again and again: walking a cycle on to the next fitting value is a permutation of those."""
-    while True:
-        tail = reshaped(tail, tweak, key)
-        yield head + tail
-
-
 def formatted(kind: str, mention: str, canonical: str) -> str:
     """The canonical surrogate in the format of a mention: its signs and its capitals."""
     if kind == "email":
