@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no evidence.
-STOP_WORDS = "a an and are as at be by for from in into is it its of on or that the their this to with".split()
+STOP_WORDS = "the and for with that this from are was were than into over under when which while their these those have has not but its".split()
 #: Placeholders that stand for a missing value.
-PLACEHOLDERS = ["", "none", "null", "n/a", "na", "unknown", "not specified", "not available", "-"]
+PLACEHOLDERS = ["", "unknown", "n/a", "none", "not specified", "not reported"]
 
 
 def normalized(text: Column) -> Column:
@@ -45,9 +45,9 @@ def year(*candidates: Column) -> Column:
     return F.coalesce(*(f.cast("int") for f in found))
 
 
-def tokens(text: Column, shortest: int = 3, stop_words: list[str] = STOP_WORDS) -> Column:
-    """Distinct lower-case words of letters, digits and underscores, without stop words; none for null."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"[\p{{L}}\p{{N}}_]{{{shortest},}}"), F.lit(0))
+def tokens(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
+    """Distinct lower-case runs of three or more of a-z, digits and hyphens that don't start with a hyphen, without stop words; none for null."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9][a-z0-9\-]{2,}"), F.lit(0))
     return F.array_except(F.array_distinct(found), F.array(*map(F.lit, stop_words)))
 
 

@@ -128,7 +128,7 @@ def paper_ids(spark: SparkSession, d: str) -> DataFrame:
 _STOP = repr(T.STOP_WORDS)
 
 
-@query(rf"""WITH t AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]{{3,}}')), lambda x: NOT list_contains({_STOP}, x)) AS own FROM documents)
+@query(rf"""WITH t AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9\-]{{2,}}')), lambda x: NOT list_contains({_STOP}, x)) AS own FROM documents)
 SELECT doc_id, length(own)::BIGINT AS n_tokens, round(length(list_intersect(own, ['erion', 'with', 'dans', 'para', 'nicht'])) / 5.0::DOUBLE + 0.5::DOUBLE * length(list_intersect(own, ['que', 'und'])) / 2.0::DOUBLE, 6) AS relevance FROM t""")
 def token_relevance(spark: SparkSession, d: str) -> DataFrame:
     """Token sets, and their overlap with a query and with hints. (`with` is a stop word, so no text has it.)"""
@@ -199,14 +199,14 @@ def cluster_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _triples(spark: SparkSession, d: str) -> DataFrame:
-    kinds = F.create_map(*map(F.lit, ("A", "IMPROVES", "R", "HURTS", "N", "REDUCES")))
+    kinds = F.create_map(*map(F.lit, ("A", "INTRODUCES", "R", "HURTS", "N", "REDUCES")))
     line, part, supplier = (table(spark, d, t) for t in ("lineitem", "part", "supplier"))
     nations = table(spark, d, "nation")
     joined = line.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag").join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(nations.select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
     return joined.select(F.col("p_brand").alias("source"), kinds[F.col("l_returnflag")].alias("relation"), F.col("n_name").alias("target"), F.col("l_orderkey").alias("paper_id"))
 
 
-_TRIPLES = "SELECT DISTINCT p_brand AS source, CASE l_returnflag WHEN 'A' THEN 'IMPROVES' WHEN 'R' THEN 'HURTS' WHEN 'N' THEN 'REDUCES' END AS relation, n_name AS target, l_orderkey AS paper_id FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"
+_TRIPLES = "SELECT DISTINCT p_brand AS source, CASE l_returnflag WHEN 'A' THEN 'INTRODUCES' WHEN 'R' THEN 'HURTS' WHEN 'N' THEN 'REDUCES' END AS relation, n_name AS target, l_orderkey AS paper_id FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"
 _RELATIONS = f"SELECT source, relation, target, count(*) AS support FROM ({_TRIPLES}) GROUP BY ALL"
 
 
@@ -216,7 +216,7 @@ def concept_relationships(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH r AS ({_RELATIONS}) SELECT a.source, a.target, a.relation AS relation_a, b.relation AS relation_b, a.support AS support_a, b.support AS support_b
-FROM r a JOIN r b ON a.source = b.source AND a.target = b.target AND a.relation < b.relation WHERE (a.relation, b.relation) IN (('HURTS', 'IMPROVES'), ('HURTS', 'REDUCES'))""")
+FROM r a JOIN r b ON a.source = b.source AND a.target = b.target AND a.relation < b.relation WHERE (a.relation, b.relation) IN (('HURTS', 'REDUCES'), ('INTRODUCES', 'REDUCES'))""")
 def concept_contradictions(spark: SparkSession, d: str) -> DataFrame:
     return graph.contradictions(graph.relationships(_triples(spark, d)))
 
@@ -427,7 +427,7 @@ def evidence_candidates(spark: SparkSession, d: str) -> DataFrame:
     return flatten.evidence(_papers(spark, d)).select("paper_id", "kind", "path", "value", "boundary", F.size("tokens").alias("n_tokens"))
 
 
-@query("""SELECT source AS paper_id, count(DISTINCT x)::BIGINT AS n_hints FROM (SELECT source, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{3,}'), lambda x: NOT list_contains(""" + _STOP + """, x))) AS x FROM documents) GROUP BY source""")
+@query("""SELECT source AS paper_id, count(DISTINCT x)::BIGINT AS n_hints FROM (SELECT source, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9\\-]{2,}'), lambda x: NOT list_contains(""" + _STOP + """, x))) AS x FROM documents) GROUP BY source""")
 def search_hints(spark: SparkSession, d: str) -> DataFrame:
     """How many distinct tokens the records of each venue offer as hints."""
     matches = table(spark, d, "documents").select(F.col("source").alias("paper_id"), "text")

@@ -9,7 +9,7 @@ from corpusloom.functions.text import dot, slug
 from corpusloom.operators.components import connected_components
 
 #: Relations that contradict each other.
-OPPOSED = (("IMPROVES", "HURTS"), ("INCREASES", "REDUCES"), ("ENABLES", "PREVENTS"), ("REDUCES", "HURTS"))
+OPPOSED = (("REDUCES", "HURTS"), ("REDUCES", "INTRODUCES"), ("SOLVES", "FAILS_UNDER"))
 BANDS, BITS = 96, 12
 
 
