@@ -50,17 +50,15 @@ def _removed(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def _repeat_words(found: Column) -> Column:
-    """Words inside 3-word windows that the text has twice or more, from the words of the text.
+def _windows(found: Column) -> Column:
+    """The hashes of the 3-word windows with their places, sorted, so that equal windows are neighbours.
 
-    The windows are hashed, paired with their place and sorted, so that equal ones are neighbours; the places
-    of those with an equal neighbour, sorted, are the starts of the repeated windows. Each start covers three
-    words, or fewer where the next start is nearer: n log n for any text, never all pairs.
+    The places of those with an equal neighbour, sorted, are the starts of the repeated windows. Each start covers
+    three words, or fewer where the next start is nearer: n log n for any text, never all pairs.
     """
     n = F.size(found) - (WINDOW - 1)
     hashed = F.transform(found, lambda w, i: F.struct(F.xxhash64(w, F.get(found, i + 1), F.get(found, i + 2)).alias("h"), i.alias("i")))
-    by_hash = F.sort_array(F.slice(hashed, 1, F.greatest(n, F.lit(0))))
-    return by_hash
+    return F.sort_array(F.slice(hashed, 1, F.greatest(n, F.lit(0))))
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -73,7 +71,7 @@ def measures(docs: DataFrame) -> DataFrame:
     row = F.monotonically_increasing_id().alias("row")
     first = docs.select("doc_id", text.alias("text"), words(text).alias("found"), F.struct(*docs.columns).alias("given"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    second = first.select("doc_id", "given", "text", "found", lines.alias("lines"), _repeat_words(F.col("found")).alias("hashed"))
+    second = first.select("doc_id", "given", "text", "found", lines.alias("lines"), _windows(F.col("found")).alias("hashed"))
     third = second.select("doc_id", "given", "text", "found", "lines", F.sort_array(F.transform(F.filter("hashed", _twin(F.col("hashed"))), lambda x: x.i)).alias("starts"))
     ends = lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("starts"), i + 1) - x, F.lit(WINDOW)))
     stop = F.array(*map(F.lit, sorted(set(STOP_WORDS))))
