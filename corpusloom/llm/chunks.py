@@ -20,7 +20,7 @@ from corpusloom.llm._common import documents, slices, utf8
 from corpusloom.sources.tables import cut
 
 #: Bytes of a chunk on average, those that the hash spans, and those after which a cut is forced.
-MEAN, WINDOW, MAX_CHUNK = 40, 32, 1024
+MEAN, WINDOW, MAX_CHUNK = 48, 32, 1024
 #: Shortest run of repeated chunks that counts: shorter ones are phrases that texts share by chance.
 MIN_RUN = 96
 GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=4, person=b"gear").digest() for b in range(256)), np.uint32)
