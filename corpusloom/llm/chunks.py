@@ -20,7 +20,7 @@ from corpusloom.llm._common import documents, slices, utf8
 from corpusloom.sources.tables import cut
 
 #: Bytes of a chunk on average, those that the hash spans, and those after which a cut is forced.
-MEAN, WINDOW, MAX_CHUNK = 48, 32, 1024
+MEAN, WINDOW, MAX_CHUNK = 32, 32, 1024
 #: Shortest run of repeated chunks that counts: shorter ones are phrases that texts share by chance.
 MIN_RUN = 96
 GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=4, person=b"gear").digest() for b in range(256)), np.uint32)
@@ -49,9 +49,9 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _chunked(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start in its text, length, digest as two longs) of each chunk of a slice.
+    """(row, start in its text, length, digest as a long) of each chunk of a slice.
 
-    The digest takes in the bytes that decided on the chunk's start, so that a chunk of a few bytes is no
+    64 bits: a billion chunks have 0.03 pairs of equal digests by chance, which would also have to lie in a run. The digest takes in the bytes that decided on the chunk's start, so that a chunk of a few bytes is no
     repetition wherever those bytes stand.
     """
     import xxhash
@@ -59,37 +59,37 @@ def _chunked(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     data, offsets = utf8(part)
     borders, raw = cuts(data, offsets), data.tobytes()
     starts, lengths = borders[:-1], np.diff(borders)
-    digest = xxhash.xxh3_128_digest
+    digest = xxhash.xxh3_64_digest
     row = np.searchsorted(offsets, starts, side="right") - 1
     before = np.maximum(starts - WINDOW, offsets[row])
-    digests = np.frombuffer(b"".join(digest(raw[a:b]) for a, b in zip(before.tolist(), borders[1:].tolist(), strict=True)), np.int64).reshape(-1, 2)
+    digests = np.frombuffer(b"".join(digest(raw[a:b]) for a, b in zip(before.tolist(), borders[1:].tolist(), strict=True)), np.int64)
     return row, starts - offsets[row], lengths, digests
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, length, d1, d2): a row for each chunk."""
+    """(doc_id, start, d1): a row for each chunk, no wider than it must be, for all of them are shuffled. Lengths are found again in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            row, start, length, digests = _chunked(part)
+            row, start, _, digests = _chunked(part)
             ids = part.column("doc_id").take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], ["doc_id", "start", "length", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(start.astype(np.int32)), pa.array(digests)], ["doc_id", "start", "d1"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, start int, length int, d1 long, d2 long")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, start int, d1 long")
 
 
 def repeated(chunks: DataFrame) -> DataFrame:
-    """(d1, d2, first_doc) of the digests with two places or more, counted map-side first."""
-    return chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").select("d1", "d2", "first_doc")
+    """(d1, first_doc) of the digests with two places or more, counted map-side first."""
+    return chunks.groupBy("d1").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").select("d1", "first_doc")
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, _found): the repeated chunks of each doc_id as (start, length, d1, later), later where the first place is in a document before."""
+    """(doc_id, _found): the repeated chunks of each doc_id as (start, d1, later), later where the first place is in a document before."""
     chunks = chunk_table(docs)
     later = F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False))
-    found = chunks.join(cut(repeated(chunks)), ["d1", "d2"]).select("doc_id", "start", "length", "d1", later.alias("later"))
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length", "d1", "later"))).alias("_found"))
+    found = chunks.join(cut(repeated(chunks)), "d1").select("doc_id", "start", "d1", later.alias("later"))
+    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "d1", "later"))).alias("_found"))
 
 
 def marked(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
@@ -105,10 +105,10 @@ def marked(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             row, start, length, digests = _chunked(part)
-            totals, own = np.bincount(row, minlength=part.num_rows), [set() for _ in range(part.num_rows)]
-            for k, place in zip(row.tolist(), zip(start.tolist(), length.tolist(), digests[:, 0].tolist(), strict=True), strict=True):
-                own[k].add(place)
-            out = [_kept((text or "").encode(), [f for f in found or () if (f["start"], f["length"], f["d1"]) in mine], min_run) for text, found, mine in zip(part.column("text").to_pylist(), part.column("_found").to_pylist(), own, strict=True)]
+            totals, own = np.bincount(row, minlength=part.num_rows), [{} for _ in range(part.num_rows)]
+            for k, place, size in zip(row.tolist(), zip(start.tolist(), digests.tolist(), strict=True), length.tolist(), strict=True):
+                own[k][place] = size
+            out = [_kept((text or "").encode(), [f | {"length": mine[f["start"], f["d1"]]} for f in found or () if (f["start"], f["d1"]) in mine], min_run) for text, found, mine in zip(part.column("text").to_pylist(), part.column("_found").to_pylist(), own, strict=True)]
             columns = [[o[k] for o in out] for k in range(5)]
             arrays = [part.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(totals, pa.int64()), *(pa.array(c, pa.int64()) for c in columns[1:4]), pa.array(columns[4], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_chunks", "n_dup_chunks", "n_removed", "n_spans", "kept_text"])
