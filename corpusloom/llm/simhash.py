@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm._common import documents, slices
+from corpusloom.llm.near_texts import near_dedup  # noqa: F401  the pipeline's stage
 from corpusloom.operators.components import connected_components
 from corpusloom.sources.tables import cut
 
@@ -142,13 +143,6 @@ def components(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return prints.join(least, "print").select("doc_id", "print", "component_id")
 
 
-def near_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each component stays, that with the least doc_id; of rows that repeat a doc_id, one. Columns as in `docs`."""
-    kept = components(docs, max_bits).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return found.dropDuplicates(["doc_id"])
-
-
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and component."""
     return components(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

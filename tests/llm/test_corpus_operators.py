@@ -288,6 +288,28 @@ def test_simhash(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(prints)
 
 
+def brute_similarity(a, b):
+    own = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(own[0] & own[1]) / len(own[0] | own[1])
+
+
+def test_near_dedup_meets_edited_copies(spark):
+    """Copies with edits, families and a large group: no two rows that stay are similar to 0.8, and what goes was near to something."""
+    r = random.Random(21)
+    base = [prose(150, seed=1000 + k) for k in range(30)]
+    texts = [(k, t) for k, t in enumerate(base)]
+    for k in range(170):
+        w = (base[0] if k < 60 else r.choice(base)).split()
+        for _ in range(r.randint(1, 6)):
+            w[r.randrange(len(w))] = "edit"
+        texts.append((100 + k, " ".join(w)))
+    near = {(i, j) for (i, a), (j, b) in combinations(texts, 2) if brute_similarity(a, b) >= 0.8}
+    stay = {x["doc_id"] for x in simhash.near_dedup(frame(spark, texts)).collect()}
+    assert len(near) > 200 and not [p for p in near if stay.issuperset(p)]
+    later = {j for _, j in near}
+    assert {i for i, _ in texts} - stay <= later and set(range(30)) <= stay
+
+
 def test_near_prints_lose_no_pair(spark):
     r = random.Random(3)
     values = {r.getrandbits(64) for _ in range(60)}
