@@ -310,6 +310,15 @@ def test_near_dedup_meets_edited_copies(spark):
     assert {i for i, _ in texts} - stay <= later and set(range(30)) <= stay
 
 
+def test_near_dedup_keeps_rows_apart(spark):
+    """Null and repeated doc_ids with different texts stay; of equal texts one row stays."""
+    a, b, c, d = (prose(60, seed=k) for k in (61, 62, 63, 64))
+    texts = [(None, a), (None, b), (7, c), (7, d), (8, a), (None, c), (9, d), (9, d)]
+    got = simhash.near_dedup(frame(spark, texts)).collect()
+    assert sorted((x["doc_id"], x["text"]) for x in got if x["doc_id"]) == sorted([(7, c), (7, d), (8, a)])
+    assert [x["text"] for x in got if x["doc_id"] is None] == [b]
+
+
 def test_near_prints_lose_no_pair(spark):
     r = random.Random(3)
     values = {r.getrandbits(64) for _ in range(60)}
