@@ -4,14 +4,18 @@ An entity is a type with a canonical value. Its surrogate is a keyed permutation
 numbers of all values of the same shape, walked until it stays among them), so different entities of a shape
 never share a surrogate and every mention of an entity, anywhere, gets the same one. A permutation may leave a
 value as it is; a check over the distinct entities of the corpus finds those, and any two that came out equal,
-and they are permuted again under another key until none is left.
+and they are permuted again under another key until none is left. Where keys alone don't help, as values of the shape
+run out, names, addresses of mail and secrets get more letters.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -23,6 +27,8 @@ from corpusloom.sources.tables import cut
 
 KEY = b"surrogates/1"
 ROUNDS, TRIES = 6, 16
+#: From this attempt on, surrogates of free length get more letters than the shape has.
+WIDER = 6
 #: Entities that needed another key and go to every task; beyond that each document gets its own by a join.
 MAX_SHARED = 100_000
 MEMO = 200_000
@@ -126,19 +132,40 @@ def permuted(value: int, size: int, tweak: bytes, key: bytes = KEY) -> int:
             return value
 
 
+@cache
+def _script(script: str, category: str) -> str:
+    """The letters of a script and category that stand in no class and keep their number of characters in the other case."""
+    signs = map(chr, range(128, sys.maxunicode + 1))
+    return "".join(c for c in signs if c not in CLASS_OF and unicodedata.category(c) == category and len(c.upper()) == len(c.lower()) == 1 and unicodedata.name(c, "").split(" ")[0] == script)
+
+
+@cache
+def pool(sign: str) -> str | None:
+    """The signs that may stand for one: its class, or else the letters of its script, of its own 256 code points if they are ten or more. None: it stays."""
+    if (k := CLASS_OF.get(sign)) is not None:
+        return CLASSES[k]
+    if not sign.isalpha():
+        return None
+    every = _script(unicodedata.name(sign, "").split(" ")[0], unicodedata.category(sign))
+    near = "".join(c for c in every if ord(c) >> 8 == ord(sign) >> 8)
+    found = near if len(near) >= 10 else every
+    return found if sign in found else None
+
+
 def reshaped(text: str, tweak: str, key: bytes = KEY) -> str:
     """`text` with each digit and letter replaced by one of its class, as one permutation over all texts of that shape."""
-    shape = [CLASS_OF.get(c, -1) for c in text]
+    shape = [pool(c) for c in text]
     number, size = 0, 1
-    for c, k in zip(text, shape, strict=True):
-        if k >= 0:
-            number, size = number * len(CLASSES[k]) + CLASSES[k].index(c), size * len(CLASSES[k])
-    number = permuted(number, size, (tweak + "|" + "".join(c if k < 0 else chr(1 + k) for c, k in zip(text, shape, strict=True))).encode(), key)
+    for c, own in zip(text, shape, strict=True):
+        if own:
+            number, size = number * len(own) + own.index(c), size * len(own)
+    told = "".join(c if not own else chr(1 + CLASS_OF[c]) if c in CLASS_OF else f"<{own[0]}>" for c, own in zip(text, shape, strict=True))
+    number = permuted(number, size, (tweak + "|" + told).encode(), key)
     out = list(text)
     for at in range(len(text) - 1, -1, -1):
-        if (k := shape[at]) >= 0:
-            number, rest = divmod(number, len(CLASSES[k]))
-            out[at] = CLASSES[k][rest]
+        if own := shape[at]:
+            number, rest = divmod(number, len(own))
+            out[at] = own[rest]
     return "".join(out)
 
 
@@ -148,13 +175,14 @@ def _remainder(iban: str) -> int:
 
 def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The canonical replacement of an entity. Attempts use different keys."""
-    tweak = f"{kind}/{attempt}"
+    tweak, more = f"{kind}/{attempt}", max(0, attempt - WIDER + 1)
     if kind == "ip":
         parts = [int(x) for x in value.split(".")]
         number = permuted(int.from_bytes(bytes(parts), "big"), 1 << 32, tweak.encode(), key)
         return ".".join(map(str, number.to_bytes(4, "big")))
     if kind == "email":  # the top-level domain stays
-        head, _, top = value.rpartition(".")
+        local, _, rest = value.partition("@")
+        head, _, top = f"{local}{'a' * more}@{rest}".rpartition(".")
         return f"{reshaped(head, f'{tweak}/{top}', key)}.{top}"
     if kind == "card":  # the issuer's digit stays, and the check digit fits again
         head = value[0] + reshaped(value[1:-1], f"{tweak}/{value[0]}/checked", key)
@@ -168,9 +196,12 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     if kind == "name":  # a last letter that may mark the gender stays
         words = value.split(" ")
         first, kept = (words[0][:-1], words[0][-1]) if len(words[0]) > 2 else (words[0], "")
+        sign = next((c for c in reversed(first) if pool(c)), "a")
+        first += (sign.lower() if len(sign.lower()) == 1 and pool(sign.lower()) else sign) * more
         rest = value[len(words[0]) :]
         new = reshaped(first + rest, f"{tweak}/{len(first)}/{kept}", key)
         return new[: len(first)] + kept + new[len(first) :]
+    value += "0" * more
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):  # a hexadecimal secret stays one
         number = permuted(int(value, 16), 16 ** len(value), f"{tweak}/hex/{len(value)}".encode(), key)
         return f"{number:0{len(value)}{'x' if value == value.lower() else 'X'}}"
@@ -180,6 +211,8 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
 def formatted(kind: str, mention: str, canonical: str) -> str:
     """The canonical surrogate in the format of a mention: its signs and its capitals."""
     if kind == "email":
+        at = mention.index("@")
+        mention = mention[:at] + "a" * (len(canonical) - len(mention)) + mention[at:]
         return "".join(c.upper() if m.isupper() else c for m, c in zip(mention, canonical, strict=True))
     if kind in ("phone", "card", "ssn", "iban"):
         signs = iter(canonical.lstrip("+"))
@@ -228,7 +261,8 @@ def rekeyed(found: DataFrame, key: bytes = KEY, tries: int = TRIES) -> DataFrame
     """(kind, value, attempt) of the entities whose first surrogate is the value itself or another's, each with the attempt that fits.
 
     All but the first by value of those that share a surrogate go on to the next attempt, and the check is made
-    again over all, until nothing clashes. Raises RuntimeError after `tries` rounds.
+    again over all, until nothing clashes. An attempt is at least the number of the round, so that from round WIDER
+    on those that still clash get longer values. Raises RuntimeError after `tries` rounds.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,14 +271,14 @@ def rekeyed(found: DataFrame, key: bytes = KEY, tries: int = TRIES) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], ["kind", "value", "attempt", "new"])
 
     current = cut(found.select("kind", "value", F.lit(0).alias("attempt")))
-    for _ in range(tries):
+    for turn in range(tries):
         new = current.mapInArrow(made, "kind string, value string, attempt int, new string")
         first = new.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min("value").alias("first")).where("n > 1")
         clash = new.where("new = value").select("kind", "value").unionByName(new.join(first, ["kind", "new"]).where("value <> first").select("kind", "value")).distinct()
         clash = cut(clash)
         if clash.isEmpty():
             return current.where("attempt > 0")
-        current = cut(current.join(clash.withColumn("clash", F.lit(1)), ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("clash", F.lit(0))).cast("int").alias("attempt")))
+        current = cut(current.join(clash.withColumn("clash", F.lit(1)), ["kind", "value"], "left").select("kind", "value", F.when(F.col("clash").isNull(), F.col("attempt")).otherwise(F.greatest(F.col("attempt"), F.lit(turn)) + 1).cast("int").alias("attempt")))
     raise RuntimeError(f"surrogates still clash after {tries} attempts")
 
 

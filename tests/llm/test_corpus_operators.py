@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -409,6 +410,19 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(made.values())) == 100 and all(k != v for k, v in made.items())
 
 
+def test_surrogates_of_other_scripts_and_full_shapes(spark):
+    """Names in scripts without a class are replaced by letters of their own script; a shape of which all values occur gets longer ones."""
+    names = ["李明", "김철수", "محمد", "דוד", "สมชย"]
+    got = [r["text"] for r in surrogates.replace_pii(frame(spark, [(k, f"Mr. {n}") for k, n in enumerate(names)])).orderBy("doc_id").collect()]
+    script = lambda t: [unicodedata.name(c).split()[0] for c in t]
+    assert all(g[4:] != n and script(g[4:]) == script(n) for g, n in zip(got, names, strict=True))
+    for kind, full in (("name", [f"{a}{b}" for a in surrogates.VOWELS for b in surrogates.CONSONANTS]), ("email", [f"{a}@{b}.io" for a in surrogates.VOWELS for b in surrogates.CONSONANTS])):
+        again = {r["value"]: r["attempt"] for r in surrogates.rekeyed(spark.createDataFrame([(kind, v) for v in full], "kind string, value string")).collect()}
+        made = {v: surrogates.surrogate(kind, v, again.get(v, 0)) for v in full}
+        assert len(set(made.values())) == len(full) and all(k != v for k, v in made.items())
+    assert surrogates.formatted("email", "A@b.io", surrogates.surrogate("email", "a@b.io", surrogates.WIDER + 1)).endswith(".io")
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
