@@ -1,6 +1,8 @@
 """PII surrogates (operator 10): keyed replacements of one type, format, script and gender.
 
-An entity is a type with a canonical value. Its surrogate is a keyed permutation (a Feistel network over the
+An entity is a type with a canonical value. A person is found by a title, and the words of the name are then names
+wherever the document has them with a capital; each word has a surrogate of its own, so full, first and last names
+of one person stay together. An entity's surrogate is a keyed permutation (a Feistel network over the
 numbers of all values of the same shape, walked until it stays among them), so different entities of a shape
 never share a surrogate and every mention of an entity, anywhere, gets the same one. A permutation may leave a
 value as it is; a check over the distinct entities of the corpus finds those, and any two that came out equal,
@@ -38,7 +40,7 @@ VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 CLASSES = ("0123456789", VOWELS, CONSONANTS, VOWELS.upper(), CONSONANTS.upper(), "áéíóúàèìòùâêîôûäëïöü", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ")
 CLASS_OF = {c: k for k, signs in enumerate(CLASSES) for c in signs}
 #: Forms of address, which stay and so keep the gender: fixed values.
-TITLES = "Mrs?\\.?|Ms\\.?|Miss|Mister|Herrn?|Frau|Señora?|Señorita|Sra?\\.|Monsieur|Madame|Mademoiselle|Mme\\.?|Mlle\\.?|Господин|Госпожа|Κύριος|Κυρία"
+TITLES = "Dr\\.?|Dra\\.|Doctor|Doktor|Docteur|Doctora|Prof\\.?|Professor|Professorin|Professeur|Profesora?|Sir|Dame|Lord|Lady|Rev\\.?|Mx\\.?|Доктор|Профессор|Mrs?\\.?|Ms\\.?|Miss|Mister|Herrn?|Frau|Señora?|Señorita|Sra?\\.|Monsieur|Madame|Mademoiselle|Mme\\.?|Mlle\\.?|Господин|Госпожа|Κύριος|Κυρία"
 
 AT = re.compile("@")
 LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9_.+%-]{1,64}\Z"), re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}")
@@ -56,7 +58,9 @@ FORMS = re.compile(
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 SECRET = re.compile(r"[=:]\s*[\"']?([A-Za-z0-9_\-+/]{16,})")
 SECRET_NAME = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|credential)[\"']?\s*\Z", re.IGNORECASE)
-NAMED = re.compile(rf"\b(?:{TITLES}) ((?:[^\W\d_a-zà-ÿ][^\W\d_]+(?:-[^\W\d_]+)?)(?: [^\W\d_a-zà-ÿ][^\W\d_]+(?:-[^\W\d_]+)?){{0,2}})")
+TITLED = re.compile(rf"(?:{TITLES})\Z")
+NAMED = re.compile(rf"\b(?:(?:{TITLES})\s{{1,2}})+((?!(?:{TITLES})(?!\w))(?:[^\W\d_a-zà-ÿ][^\W\d_]+(?:-[^\W\d_]+)?)(?: [^\W\d_a-zà-ÿ][^\W\d_]+(?:-[^\W\d_]+)?){{0,2}})")
+NAME_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 
 class Mention(NamedTuple):
@@ -83,6 +87,43 @@ def _canonical(kind: str, found: str) -> str | None:
     return digits
 
 
+def _lower(word: str) -> str:
+    """A name in small letters, one for each."""
+    return "".join(low if len(low := c.lower()) == 1 else c for c in word)
+
+
+def names(text: str) -> list[Mention]:
+    """The names after titles and, in the same document, every run of their words with capitals."""
+    titled = list(NAMED.finditer(text))
+    known = {_lower(w) for m in titled for w in m[1].split(" ") if not TITLED.match(w)}
+    out = [Mention(*m.span(1), "name", _lower(m[1])) for m in titled]
+    runs: list[list[int]] = []
+    for m in NAME_WORD.finditer(text) if known else ():
+        if not m[0][0].islower() and _lower(m[0]) in known:
+            if runs and m.start() == runs[-1][1] + 1 and text[runs[-1][1]] == " ":
+                runs[-1][1] = m.end()
+            else:
+                runs.append([m.start(), m.end()])
+    return out + [Mention(a, b, "name", _lower(text[a:b])) for a, b in runs]
+
+
+def parts(m: Mention) -> list[tuple[str, str]]:
+    """The entities that get surrogates: each word of a name."""
+    return [(m.kind, w) for w in m.value.split(" ")] if m.kind == "name" else [(m.kind, m.value)]
+
+
+def n_distinct(found: list[Mention]) -> int:
+    """The different entities of a document; a name whose words are among those of another is the same person."""
+    persons: dict[str, list[frozenset]] = {}
+    count = len({(m.kind, m.value) for m in found if m.kind != "name"})
+    for own in sorted({frozenset(m.value.split(" ")) for m in found if m.kind == "name"}, key=len, reverse=True):
+        if not any(own <= p for p in min((persons.get(w, []) for w in own), key=len)):
+            count += 1
+            for w in own:
+                persons.setdefault(w, []).append(own)
+    return count
+
+
 def mentions(text: str) -> list[Mention]:
     """The entities of a text in order, none overlapping; the earliest and of those the longest wins."""
     found: list[Mention] = []
@@ -104,8 +145,7 @@ def mentions(text: str) -> list[Mention]:
     for m in SECRET.finditer(text):
         if SECRET_NAME.search(text[max(0, m.start() - 24) : m.start()]) and re.search(r"\d", m[1]):
             found.append(Mention(*m.span(1), "secret", m[1]))
-    for m in NAMED.finditer(text):
-        found.append(Mention(*m.span(1), "name", m[1]))
+    found += names(text)
     found.sort(key=lambda x: (x.start, -x.end))
     out: list[Mention] = []
     for m in found:
@@ -193,14 +233,12 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     if kind == "iban":
         body = reshaped(value[4:], f"{tweak}/{value[:2]}", key)
         return f"{value[:2]}{98 - _remainder(value[:2] + '00' + body):02d}{body}"
-    if kind == "name":  # a last letter that may mark the gender stays
-        words = value.split(" ")
-        first, kept = (words[0][:-1], words[0][-1]) if len(words[0]) > 2 else (words[0], "")
+    if kind == "name":  # a last letter that may mark the gender stays; wide signs are syllables or words
+        ends = len(value) > 2 and unicodedata.east_asian_width(value[-1]) != "W"
+        first, kept = (value[:-1], value[-1]) if ends else (value, "")
         sign = next((c for c in reversed(first) if pool(c)), "a")
         first += (sign.lower() if len(sign.lower()) == 1 and pool(sign.lower()) else sign) * more
-        rest = value[len(words[0]) :]
-        new = reshaped(first + rest, f"{tweak}/{len(first)}/{kept}", key)
-        return new[: len(first)] + kept + new[len(first) :]
+        return reshaped(first, f"{tweak}/{len(first)}/{kept}", key) + kept
     value += "0" * more
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):  # a hexadecimal secret stays one
         number = permuted(int(value, 16), 16 ** len(value), f"{tweak}/hex/{len(value)}".encode(), key)
@@ -214,6 +252,12 @@ def formatted(kind: str, mention: str, canonical: str) -> str:
         at = mention.index("@")
         mention = mention[:at] + "a" * (len(canonical) - len(mention)) + mention[at:]
         return "".join(c.upper() if m.isupper() else c for m, c in zip(mention, canonical, strict=True))
+    if kind == "name":  # word by word; letters that were added stand before the last
+        out = []
+        for m, c in zip(mention.split(" "), canonical.split(" "), strict=True):
+            m = m[:-1] + (m[-1] if m.isupper() else m[-1].lower()) * (len(c) - len(m)) + m[-1]
+            out.append("".join(y.upper() if x.isupper() else y for x, y in zip(m, c, strict=True)))
+        return " ".join(out)
     if kind in ("phone", "card", "ssn", "iban"):
         signs = iter(canonical.lstrip("+"))
         return "".join(next(signs) if m.isalnum() else m for m in mention)
@@ -240,9 +284,9 @@ class Replacer:
             return text, [], 0
         attempts, out, end = self.attempts if own is None else own, [], 0
         for m in found:
-            out += [text[end : m.start], formatted(m.kind, text[m.start : m.end], self.canonical(m.kind, m.value, attempts))]
+            out += [text[end : m.start], formatted(m.kind, text[m.start : m.end], " ".join(self.canonical(*x, attempts) for x in parts(m)))]
             end = m.end
-        return "".join([*out, text[end:]]), [m.kind for m in found], len({(m.kind, m.value) for m in found})
+        return "".join([*out, text[end:]]), [m.kind for m in found], n_distinct(found)
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -250,7 +294,7 @@ def entities(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = sorted({(m.kind, m.value) for t in part.column("text").to_pylist() if t for m in mentions(t)})
+            found = sorted({x for t in part.column("text").to_pylist() if t for m in mentions(t) for x in parts(m)})
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["kind", "value"])
 
@@ -329,7 +373,7 @@ def _with_own(docs: DataFrame, again: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            rows = sorted({(k, m.kind, m.value) for k, t in enumerate(part.column("text").to_pylist()) if t for m in mentions(t)})
+            rows = sorted({(k, *x) for k, t in enumerate(part.column("text").to_pylist()) if t for m in mentions(t) for x in parts(m)})
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))], ["doc_id", "kind", "value"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

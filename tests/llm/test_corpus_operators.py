@@ -423,6 +423,17 @@ def test_surrogates_of_other_scripts_and_full_shapes(spark):
     assert surrogates.formatted("email", "A@b.io", surrogates.surrogate("email", "a@b.io", surrogates.WIDER + 1)).endswith(".io")
 
 
+def test_surrogates_of_one_person(spark):
+    """Full, first and last names of a titled person, titled or not, in any capitals, get surrogates word by word."""
+    text = "Mr. John Smith met Prof. Dr. Jane Roe. Mr. Smith left; John Smith and JANE ROE's friend stayed, Smith too. The smith did not."
+    got = surrogates.replace_pii(frame(spark, [(1, text), (2, "Dr. Roe"), (3, "Jane Roe has no title here")])).orderBy("doc_id").collect()
+    found = re.fullmatch(r"Mr\. (\w+) (\w+) met Prof\. Dr\. (\w+) (\w+)\. Mr\. (\w+) left; (\w+) (\w+) and (\w+) (\w+)'s friend stayed, (\w+) too\. The smith did not\.", got[0]["text"]).groups()
+    john, smith, jane, roe = found[:4]
+    assert found[4:] == (smith, john, smith, jane.upper(), roe.upper(), smith) and not {"John", "Smith", "Jane", "Roe"} & set(found)
+    assert got[0]["n_entities"] == 6 and got[0]["n_distinct"] == 2
+    assert got[1]["text"] == f"Dr. {roe}" and got[2]["text"] == "Jane Roe has no title here"
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
