@@ -33,7 +33,7 @@ class Rule(NamedTuple):
 
 #: The method's own verdict, on top of the base rules. Numerators and denominators name measures.
 RULES = (
-    Rule("words", "n_words", "one", 50, 10_000_000),
+    Rule("words", "n_words", "one", 50, float("inf")),
     Rule("word_length", "word_chars", "n_words", 2.0, 14.0),
     Rule("symbols", "n_symbols", "n_words", 0.0, 0.25),
     Rule("exclamations", "n_exclamations", "n_words", 0.0, 0.5),

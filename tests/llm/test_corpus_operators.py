@@ -115,6 +115,13 @@ def test_quality_measures(spark):
     assert verdicts == {1: True, 2: False, 3: False}
 
 
+def test_no_text_is_too_long_for_the_rules(spark):
+    """The count of words alone rejects no text from above."""
+    names = {x for r in quality.RULES for x in (r.numerator, r.denominator)} - {"one", "n_words"}
+    told = spark.range(1).select(F.lit(1).alias("one"), F.lit(10_000_001).alias("n_words"), *(F.lit(0).alias(n) for n in sorted(names)))
+    assert told.select(quality.passes(tuple(r for r in quality.RULES if r.name == "words")).alias("ok")).first()["ok"]
+
+
 def test_token_counts_match_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(path())
