@@ -20,8 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm._common import documents, slices
@@ -34,8 +34,10 @@ BYTES = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=8, person
 #: Bits of a hash that hold the place in its piece; pieces of longer texts overlap by LENGTH - 1 bytes.
 PLACE_BITS = 22
 PIECE = (1 << PLACE_BITS) - 1
-RECORD = "lead long, whole long, doc_id long, text_key int, origin int, start int, strings int"
+#: Columns of a record: two tokens, the row it is from (its doc_id and a hash of its text, so that null and repeated ids are told apart), and its place.
+RECORD = {"lead": pa.int64(), "whole": pa.int64(), "text_key": pa.int64(), "origin": pa.int32(), "start": pa.int32(), "strings": pa.int32()}
 EDGE = "bucket int, lead long, whole long, last_lead long, last_whole long"
+EDGE_NAMES = [f.split()[0] for f in EDGE.split(", ")]
 PLACE = ["doc_id", "text_key", "origin", "start", "strings"]
 
 
@@ -71,17 +73,26 @@ def runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray
     return places[first], first, np.append(first[1:], n) - 1
 
 
-def _text_key(raw: bytes) -> int:
-    """Tells texts with one doc_id apart."""
-    import xxhash
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_key) of `docs`."""
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
 
-    return xxhash.xxh32_intdigest(raw) - (1 << 31)
 
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    return (a["text_key"] == b["_text_key"]) & a["doc_id"].eqNullSafe(b["_doc_id"])
 
-def _records(rows: list[tuple], schema: str = RECORD) -> pa.RecordBatch:
-    kinds = [(f.split()[0], pa.int64() if f.endswith("long") else pa.int32()) for f in schema.split(", ")]
+
+def _schema(docs: DataFrame, names: list[str]) -> str:
+    kinds = {"doc_id": docs.schema["doc_id"].dataType.simpleString()} | {n: "long" if t == pa.int64() else "int" for n, t in RECORD.items()}
+    return ", ".join(f"{n} {kinds[n]}" for n in names)
+
+
+def _records(rows: list[tuple], doc_id: pa.DataType) -> pa.RecordBatch:
+    """Rows of (doc_id, the columns of RECORD)."""
+    kinds = {"doc_id": doc_id} | RECORD
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
 
 
 def run_records(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -92,15 +103,15 @@ def run_records(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         digest, half = xxhash.xxh3_64_intdigest, 1 << 63
         for part in slices(batches):
-            for doc_id, raw in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
+            for doc_id, raw, key in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.large_binary()).to_pylist(), part.column("text_key").to_pylist(), strict=True):
                 if len(raw) < length:
                     continue
-                key, rows = _text_key(raw), []
+                rows = []
                 for place, first, last in zip(*(x.tolist() for x in runs(np.frombuffer(raw, np.uint8), length)), strict=True):
-                    rows.append((digest(raw[place : place + GRAM]) - half, digest(raw[first : last + length]) - half, doc_id, key, first, first, last - first + 1))
-                yield _records(rows)
+                    rows.append((doc_id, digest(raw[place : place + GRAM]) - half, digest(raw[first : last + length]) - half, key, first, first, last - first + 1))
+                yield _records(rows, part.schema.field("doc_id").type)
 
-    return docs.mapInArrow(run, RECORD)
+    return docs.mapInArrow(run, _schema(docs, ["doc_id", *RECORD]))
 
 
 def block_records(spans: DataFrame, block: int, length: int = LENGTH) -> DataFrame:
@@ -120,12 +131,12 @@ def block_records(spans: DataFrame, block: int, length: int = LENGTH) -> DataFra
                         n = min(strings - k, block - phase)
                         low = k - phase  # what the strings of the whole block share lies in each of them
                         lead = digest(raw[low + block - 1 : low + length], seed=1) - half
-                        whole = digest(raw[k : k + n - 1 + length], seed=2 + phase) - half if block > 1 else lead
-                        rows.append((lead, whole, doc_id, key, start, start + k, n))
+                        whole = digest(raw[k : k + n - 1 + length], seed=2 + phase) - half
+                        rows.append((doc_id, lead, whole, key, start, start + k, n))
                         k += n
-                yield _records(rows)
+                yield _records(rows, part.schema.field("doc_id").type)
 
-    return spans.mapInArrow(run, RECORD)
+    return spans.mapInArrow(run, _schema(spans, ["doc_id", *RECORD]))
 
 
 def recurring(records: DataFrame) -> DataFrame:
@@ -140,7 +151,7 @@ def recurring(records: DataFrame) -> DataFrame:
     order = ["lead", "whole", "doc_id", "text_key", "start"]
     spark = records.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = records.repartitionByRange(buckets, *order).sortWithinPartitions(*order).persist(StorageLevel.DISK_ONLY)
+    ordered = cut(records.repartitionByRange(buckets, *order).sortWithinPartitions(*order))  # keeps its buckets, for both passes
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None
@@ -150,7 +161,7 @@ def recurring(records: DataFrame) -> DataFrame:
                 first = first or (leads[0].as_py(), wholes[0].as_py())
                 last = (leads[-1].as_py(), wholes[-1].as_py())
         if first:
-            yield _records([(TaskContext.get().partitionId(), *first, *last)], EDGE)
+            yield pa.RecordBatch.from_pylist([dict(zip(EDGE_NAMES, (TaskContext.get().partitionId(), *first, *last), strict=True))], pa.schema([(n, pa.int64() if k else pa.int32()) for k, n in enumerate(EDGE_NAMES)]))
 
     edges = sorted(tuple(r) for r in ordered.mapInArrow(ends, EDGE).collect())
     before = {b[0]: a[3:] for a, b in zip(edges, edges[1:], strict=False)}
@@ -170,9 +181,7 @@ def recurring(records: DataFrame) -> DataFrame:
         if held is not None:
             yield _flagged(held, previous, shared.value[1].get(bucket))
 
-    found = cut(ordered.mapInArrow(compare, "doc_id long, text_key int, origin int, start int, strings int, whole_again boolean, open boolean"))
-    ordered.unpersist()
-    return found
+    return cut(ordered.mapInArrow(compare, f"{_schema(records, PLACE)}, whole_again boolean, open boolean"))
 
 
 def _flagged(batch: pa.RecordBatch, previous: tuple[int, int] | None, following: tuple[int, int] | None) -> pa.RecordBatch:
@@ -194,34 +203,34 @@ def _flagged(batch: pa.RecordBatch, previous: tuple[int, int] | None, following:
 
 def _spans(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(doc_id, text_key, start, strings, grid, span): the bytes of the wanted runs of strings."""
-    asked = wanted.groupBy(F.col("doc_id").alias("_doc_id")).agg(F.collect_list(F.struct("text_key", "start", "strings")).alias("wanted"))
-    told = docs.join(asked, F.col("doc_id") == F.col("_doc_id")).select("doc_id", "text", "wanted")
+    asked = wanted.groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).agg(F.collect_set(F.struct("start", "strings")).alias("wanted"))
+    told = docs.join(asked, _same_row(docs, asked)).select("doc_id", "text", "text_key", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows = []
-            for doc_id, raw, asked in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.large_binary()).to_pylist(), part.column("wanted").to_pylist(), strict=True):
-                key, data = _text_key(raw), np.frombuffer(raw, np.uint8)
-                mine = {(w["start"], w["strings"]) for w in asked if w["text_key"] == key}
-                for start, strings in sorted(mine):
+            for doc_id, key, raw, asked in zip(part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(), part.column("text").cast(pa.large_binary()).to_pylist(), part.column("wanted").to_pylist(), strict=True):
+                data = np.frombuffer(raw, np.uint8)
+                for start, strings in sorted((w["start"], w["strings"]) for w in asked):
                     own = raw[start : start + strings - 1 + length]
                     place = int(runs(data[start : start + strings - 1 + length], length)[0][0])
                     rows.append((doc_id, key, start, strings, -place % BLOCK, own))
             columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            kinds = (part.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "text_key", "start", "strings", "grid", "span"])
 
-    return told.mapInArrow(run, "doc_id long, text_key int, start int, strings int, grid int, span binary")
+    return told.mapInArrow(run, f"{_schema(docs, ['doc_id', 'text_key', 'start', 'strings'])}, grid int, span binary")
 
 
 def recurring_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, text_key, start, strings): runs of starts of strings of `length` bytes that start elsewhere too."""
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.octet_length("text") >= length)
+    own = _keyed(docs).where(F.octet_length("text") >= length)
     level1 = recurring(run_records(own, length))
     spans = cut(_spans(own, level1.where("open"), length))
     level2 = recurring(block_records(spans, BLOCK, length))
     left = level2.where("open").select("doc_id", "text_key", "origin", F.col("start").alias("low"), F.col("strings").alias("n")).distinct()
-    singles = spans.withColumnRenamed("start", "origin").join(left, ["doc_id", "text_key", "origin"])
+    told = spans.withColumnRenamed("start", "origin")
+    singles = told.join(left.withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key", "origin": "_origin"}), (F.col("text_key") == F.col("_text_key")) & (F.col("origin") == F.col("_origin")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")))
     piece = F.expr(f"substring(span, low - origin + 1, n + {length - 1})")
     level3 = recurring(block_records(singles.select("doc_id", "text_key", F.col("low").alias("start"), F.col("n").alias("strings"), F.lit(0).alias("grid"), piece.alias("span")), 1, length))
     found = [x.where("whole_again").select("doc_id", "text_key", "start", "strings") for x in (level1, level2, level3)]
@@ -232,11 +241,12 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of `docs`.
 
     Bytes of strings of `length` bytes that start elsewhere too go, judged on the input. Null is an empty text, of
-    which nothing goes. Rows that repeat a doc_id count as documents of their own; equal ones recur. A null doc_id
-    is judged but keeps its bytes. Extra columns are ignored; an empty table gives no rows. Texts are read whole.
+    which nothing goes. Rows that repeat a doc_id, or have none, count as documents of their own; equal ones recur.
+    The doc_id may be of any type. Extra columns are ignored; an empty table gives no rows. Texts are read whole.
     """
-    found = recurring_strings(docs, length).groupBy(F.col("doc_id").alias("_doc_id")).agg(F.collect_list(F.struct("text_key", "start", "strings")).alias("found"))
-    told = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(found, F.col("doc_id").cast("long") == F.col("_doc_id"), "left").select("doc_id", "text", "found")
+    found = recurring_strings(docs, length).groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).agg(F.collect_set(F.struct("start", "strings")).alias("found"))
+    own = _keyed(docs)
+    told = own.join(found, _same_row(own, found), "left").select("doc_id", "text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -250,9 +260,8 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def _cut(raw: bytes, found: list[dict] | None, length: int) -> tuple[int, int, int, str]:
     """(bytes, removed, spans, SHA-256 of the rest) of a text with its recurring strings."""
-    key = _text_key(raw) if found else 0
     gone: list[list[int]] = []
-    for start, end in sorted((f["start"], f["start"] + f["strings"] - 1 + length) for f in found or () if f["text_key"] == key):
+    for start, end in sorted((f["start"], f["start"] + f["strings"] - 1 + length) for f in found or ()):
         if gone and start <= gone[-1][1]:
             gone[-1][1] = max(end, gone[-1][1])
         else:

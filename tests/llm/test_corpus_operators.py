@@ -234,9 +234,16 @@ def test_suffix_dedup(spark, length):
         low = r.randint(0, 250)
         texts.append((i, prose(r.randint(1, 50)) + p[low : r.randint(low, len(p))] + prose(r.randint(1, 50)) + q[r.randint(0, 300) :] * (r.random() < 0.4)))
     texts += [(100, texts[3][1]), (101, texts[3][1]), (3, texts[3][1]), (7, prose(200)), (200, None), (201, ""), (202, "a" * 1200), (203, "ab" * 700), (204, "line of text number one\n" * 50), (206, shared[0] + shared[1]), (207, shared[1] + shared[0])]
+    texts += [(None, prose(9) + shared[2]), (None, prose(120)), (None, texts[5][1])]
     assert rows(suffixes.removed(frame(spark, texts), length)) == sorted(brute_removed(texts, length), key=str)
 
 
+def test_suffix_dedup_takes_any_ids(spark):
+    texts = [("a", prose(90, seed=1)), ("b", prose(90, seed=1)), ("b", prose(90, seed=2))]
+    got = suffixes.removed(spark.createDataFrame(texts, "doc_id string, text string"))
+    assert {(r["doc_id"], r["n_removed"] > 0) for r in got.collect()} == {("a", True), ("b", True), ("b", False)}
+
+
 def test_chunking_resists_shifts(spark):
     passage = prose(300, seed=1)
     texts = [(1, prose(90) + " " + passage + " " + prose(90)), (2, prose(7) + " " + passage + " " + prose(60)), (3, prose(400, seed=9)), (4, prose(90, seed=4)), (5, prose(90, seed=4)), (6, "")]
