@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -375,14 +376,32 @@ def brute_tiles(doc, item, width):
         marked_i.update(range(i, i + n))
 
 
+def tiles(doc, item, width):
+    """The tiles of a document and one item, both lists of small numbers, by the operator's own steps."""
+    block = decontaminate.Benchmark([(1, " ".join(f"w{x}" for x in item))], width)
+    ids = np.array([block.vocabulary.get(f"w{x}", decontaminate.STRANGE) for x in doc], np.int64)
+    d, i = block.begun(ids, width)
+    n = decontaminate.extended(decontaminate.Prefixes(ids), block.prefixes, d, i, width, len(item))
+    return sorted(decontaminate.tile(ids, block.flat[1:-1], (d, i - 1, n), width))
+
+
 def test_tiling():
     r = random.Random(4)
-    for _ in range(60):
+    for _ in range(150):
         item = [r.randrange(5) for _ in range(r.randint(3, 25))]
-        doc = [r.randrange(5) for _ in range(r.randint(3, 40))]
+        doc = [r.randrange(6) for _ in range(r.randint(3, 40))]
         doc[5:5] = item[4:] + item[:4]
-        seeds = [(d, i) for d in range(len(doc) - 2) for i in range(len(item) - 2) if doc[d : d + 3] == item[i : i + 3]]
-        assert sorted(decontaminate.tile(seeds, 3, len(doc), len(item))) == brute_tiles(doc, item, 3)
+        assert tiles(doc, item, 3) == brute_tiles(doc, item, 3)
+    assert tiles([0, 1] * 30, [1, 0] * 9, 5) == brute_tiles([0, 1] * 30, [1, 0] * 9, 5)
+
+
+def test_repetitive_texts_are_tiled_in_time():
+    """A million equal words, and a period of three, against items of the same words."""
+    block = decontaminate.Benchmark([(1, "la " * 200), (2, "a b c " * 100), (3, "la " * 5 + "b")])
+    began = time.perf_counter()
+    assert [h[0] for h in block.hits("la " * 1_000_000, 0.8)] == [1, 3]
+    assert [h[:3] for h in block.hits("b c a " * 300_000, 0.8)] == [(2, 1.0, 1)]
+    assert time.perf_counter() - began < 30
 
 
 def test_decontamination(spark):
@@ -391,7 +410,7 @@ def test_decontamination(spark):
     texts = [(1, prose(50) + " " + items[1][1].upper().replace(" ", ", ") + "."), (2, prose(80)), (3, prose(9) + " " + " ".join(w[20:] + w[:20]) + " " + prose(9)), (4, " ".join(w[:20])), (5, items[2][1] + " and " + items[3][1]), (6, "So: only FOUR words here!")]
     expected = {(1, 1), (3, 0), (5, 2), (5, 3), (6, 8)}
     docs, benchmark = frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")
-    for block in (1 << 22, 300):  # in one block and in several
+    for block in (1 << 22, 300):  # inside the scan, and by a join on seeds
         assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, benchmark, block_bytes=block).collect()} == expected
         assert {r["doc_id"] for r in decontaminate.decontaminate(docs, benchmark, block_bytes=block).collect()} == {2, 4}
     brute = {(i, k) for i, t in texts for k, x in items for own in [decontaminate.tokens(x)] if own for n in [min(5, len(own))] if sum(z[2] for z in brute_tiles(decontaminate.tokens(t), own, n)) >= 0.8 * len(own)}
