@@ -6,8 +6,11 @@ of one person stay together. An entity's surrogate is a keyed permutation (a Fei
 numbers of all values of the same shape, walked until it stays among them), so different entities of a shape
 never share a surrogate and every mention of an entity, anywhere, gets the same one. A permutation may leave a
 value as it is; a check over the distinct entities of the corpus finds those, and any two that came out equal,
-and they are permuted again under another key until none is left. Where keys alone don't help, as values of the shape
-run out, names, addresses of mail and secrets get more letters.
+or one that is the value of another entity, and they are permuted again under another key until none is left. Where
+keys alone don't help, as values of the shape run out, names, addresses of mail and secrets get more letters.
+
+Not found are persons without a title anywhere in the document. A telephone number of ten digits is one entity with
+and without +1; other national forms are entities of their own. An address of mail is one entity in any capitals.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -43,7 +46,9 @@ CLASS_OF = {c: k for k, signs in enumerate(CLASSES) for c in signs}
 TITLES = "Dr\\.?|Dra\\.|Doctor|Doktor|Docteur|Doctora|Prof\\.?|Professor|Professorin|Professeur|Profesora?|Sir|Dame|Lord|Lady|Rev\\.?|Mx\\.?|Доктор|Профессор|Mrs?\\.?|Ms\\.?|Miss|Mister|Herrn?|Frau|Señora?|Señorita|Sra?\\.|Monsieur|Madame|Mademoiselle|Mme\\.?|Mlle\\.?|Господин|Госпожа|Κύριος|Κυρία"
 
 AT = re.compile("@")
-LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9_.+%-]{1,64}\Z"), re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}")
+#: Letters of addresses: Latin with its accents, Greek, Cyrillic.
+LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0370-\u04ff"
+LOCAL, DOMAIN = re.compile(rf"[{LETTERS}0-9_.+%-]{{1,64}}\Z"), re.compile(rf"[{LETTERS}0-9](?:[{LETTERS}0-9-]{{0,62}}\.)+[{LETTERS}]{{2,24}}")
 #: What may hold a number, and the forms in it; an address of four numbers is not taken for the end of a telephone number.
 NUMBERS = re.compile(r"(?<![\w@])[+(]?\d[\d().\- ]{5,}\d")
 FORMS = re.compile(
@@ -82,7 +87,9 @@ def _canonical(kind: str, found: str) -> str | None:
         return ".".join(map(str, parts)) if max(parts) < 256 else None
     if kind == "card":
         return digits if luhn(digits) else None
-    if kind == "phone":
+    if kind == "phone":  # a number of ten digits is the same with and without the country before it
+        if len(digits) == 10 and found[0] != "+" and digits[0] > "1":
+            return f"+1{digits}"
         return ("+" if found[0] == "+" else "") + digits if 8 <= len(digits) <= 15 else None
     return digits
 
@@ -131,7 +138,7 @@ def mentions(text: str) -> list[Mention]:
         k = at.start()
         if (left := LOCAL.search(text[max(0, k - 64) : k])) and (right := DOMAIN.match(text, k + 1)):
             own = text[k - len(left[0]) : right.end()]
-            found.append(Mention(k - len(left[0]), right.end(), "email", own.lower()))
+            found.append(Mention(k - len(left[0]), right.end(), "email", _lower(own)))
     for segment in NUMBERS.finditer(text):
         if text[segment.end() : segment.end() + 1].isalpha():
             continue
@@ -259,7 +266,7 @@ def formatted(kind: str, mention: str, canonical: str) -> str:
             out.append("".join(y.upper() if x.isupper() else y for x, y in zip(m, c, strict=True)))
         return " ".join(out)
     if kind in ("phone", "card", "ssn", "iban"):
-        signs = iter(canonical.lstrip("+"))
+        signs = iter(canonical.lstrip("+")[-sum(c.isalnum() for c in mention) :])  # a national mention goes without the country
         return "".join(next(signs) if m.isalnum() else m for m in mention)
     return canonical
 
@@ -302,11 +309,12 @@ def entities(docs: DataFrame) -> DataFrame:
 
 
 def rekeyed(found: DataFrame, key: bytes = KEY, tries: int = TRIES) -> DataFrame:
-    """(kind, value, attempt) of the entities whose first surrogate is the value itself or another's, each with the attempt that fits.
+    """(kind, value, attempt) of the entities whose first surrogate is the value of an entity or another's surrogate, each with the attempt that fits.
 
     All but the first by value of those that share a surrogate go on to the next attempt, and the check is made
     again over all, until nothing clashes. An attempt is at least the number of the round, so that from round WIDER
-    on those that still clash get longer values. Raises RuntimeError after `tries` rounds.
+    on those that still clash get longer values; from then on only a value of its own, not that of another entity,
+    is refused, for a shape may have no other left. Raises RuntimeError after `tries` rounds.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,12 +322,14 @@ def rekeyed(found: DataFrame, key: bytes = KEY, tries: int = TRIES) -> DataFrame
             new = [surrogate(*x, key) for x in zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "attempt")), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], ["kind", "value", "attempt", "new"])
 
-    current = cut(found.select("kind", "value", F.lit(0).alias("attempt")))
+    found = cut(found.select("kind", "value"))
+    current = found.withColumn("attempt", F.lit(0))
     for turn in range(tries):
         new = current.mapInArrow(made, "kind string, value string, attempt int, new string")
         first = new.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min("value").alias("first")).where("n > 1")
-        clash = new.where("new = value").select("kind", "value").unionByName(new.join(first, ["kind", "new"]).where("value <> first").select("kind", "value")).distinct()
-        clash = cut(clash)
+        real = new.where(F.col("attempt") < WIDER).join(found.select("kind", F.col("value").alias("new")), ["kind", "new"], "left_semi")
+        own, shared = new.where("new = value"), new.join(first, ["kind", "new"]).where("value <> first")
+        clash = cut(reduce(DataFrame.unionByName, (x.select("kind", "value") for x in (real, own, shared))).distinct())
         if clash.isEmpty():
             return current.where("attempt > 0")
         current = cut(current.join(clash.withColumn("clash", F.lit(1)), ["kind", "value"], "left").select("kind", "value", F.when(F.col("clash").isNull(), F.col("attempt")).otherwise(F.greatest(F.col("attempt"), F.lit(turn)) + 1).cast("int").alias("attempt")))

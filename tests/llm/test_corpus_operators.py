@@ -438,11 +438,29 @@ def test_surrogates(spark):
 def test_surrogates_stay_distinct(spark):
     """Whole small domains: a permutation leaves values in place, and the check moves them on."""
     found = spark.createDataFrame([("secret", f"{a}{b}") for a in "0123456789" for b in "0123456789"], "kind string, value string")
-    again = {(r["kind"], r["value"]): r["attempt"] for r in surrogates.rekeyed(found, tries=60).collect()}
+    again = {(r["kind"], r["value"]): r["attempt"] for r in surrogates.rekeyed(found).collect()}
     made = {v: surrogates.surrogate("secret", v, again.get(("secret", v), 0)) for v in (f"{a}{b}" for a in range(10) for b in range(10))}
     assert len(set(made.values())) == 100 and all(k != v for k, v in made.items())
 
 
+def test_surrogates_are_no_real_values(spark):
+    """Where a shape has room, no surrogate is the value of an entity, nor of another's surrogate; checked one by one."""
+    r = random.Random(8)
+    values = sorted({f"{r.randrange(10**4):04d}" for _ in range(2500)})
+    again = {x["value"]: x["attempt"] for x in surrogates.rekeyed(spark.createDataFrame([("secret", v) for v in values], "kind string, value string")).collect()}
+    made = [surrogates.surrogate("secret", v, again.get(v, 0)) for v in values]
+    assert len(set(made)) == len(values) and sum(m in set(values) for m in made) <= 0.01 * len(values)
+
+
+def test_surrogates_of_one_number_and_one_address(spark):
+    text = "Call 555-123-4567, +1 555 123 4567 or (555) 123-4567. Jürgen.Öz@Example.de, jürgen.öz@example.DE; иван@почта.рф"
+    got = surrogates.replace_pii(frame(spark, [(1, text)])).first()
+    found = re.fullmatch(r"Call (\d{3}-\d{3}-\d{4}), \+1 (\d{3} \d{3} \d{4}) or (\(\d{3}\) \d{3}-\d{4})\. (\w+\.\w+@\w+\.de), (\w+\.\w+@\w+\.DE); (\w+@\w+\.рф)", got["text"]).groups()
+    digits = {re.sub(r"\D", "", x) for x in found[:3]}
+    assert len(digits) == 1 and digits != {"5551234567"} and found[3].lower() == found[4].lower() != "jürgen.öz@example.de"
+    assert not set("иван") & set("jurgen") and found[5] != "иван@почта.рф" and got["n_distinct"] == 3
+
+
 def test_surrogates_of_other_scripts_and_full_shapes(spark):
     """Names in scripts without a class are replaced by letters of their own script; a shape of which all values occur gets longer ones."""
     names = ["李明", "김철수", "محمد", "דוד", "สมชย"]
