@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,17 +16,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable checkpoint folder: spark.checkpoint.dir, or one of our own where that is unset.
+    """The reliable checkpoint folder: spark.checkpoint.dir, or one of our own in a single-JVM local session where that is unset.
 
-    A temporary folder is used only in a single-JVM local session; elsewhere the warehouse, which is shared.
+    On a cluster it must be set: no folder is known there that driver and executors share, so RuntimeError is raised.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
         if configured is None:
-            master = context.master
-            single = master == "local" or master.startswith("local[")
-            configured = tempfile.mkdtemp(prefix="spark-") if single else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            configured = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(configured)
     return configured or context.getCheckpointDir()
 
@@ -32,3 +35,22 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """`df` with its lineage cut by a reliable checkpoint, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate results, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Checkpoints made inside go to a folder of their own, which is deleted at the end: what is to stay is written by then."""
+    outer = checkpoint_dir(spark).rstrip("/")
+    own = f"{outer}/scratch-{uuid.uuid4().hex}"
+    spark.sparkContext.setCheckpointDir(own)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setCheckpointDir(outer)
+        discard(spark, own)
