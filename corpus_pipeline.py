@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import decontaminate, mixing, quality, simhash, surrogates
-from corpusloom.sources.tables import checkpoint_dir, table
+from corpusloom.sources.tables import checkpoint_dir, discard, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`. Stage results go to the shared folder of spark.checkpoint.dir."""
+    """All stages over the documents of `sf_dir`. Stage results go to the shared folder of spark.checkpoint.dir.
+
+    When a stage is written, its checkpoints and the result of the stage before go: two results are kept at a time,
+    and the last one stays.
+    """
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        if number:
+            discard(spark, f"{folder}/{number - 1}")
         docs = spark.read.parquet(f"{folder}/{number}")
     return docs

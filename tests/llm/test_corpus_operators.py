@@ -8,6 +8,7 @@ import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -493,7 +494,10 @@ def test_pipeline_stages(spark, tmp_path):
     texts = [(i, prose(120, words, seed=i)) for i in range(20)] + [(30, prose(120, words, seed=3)), (31, "too short"), (32, prose(70, words, seed=50) + " " + item), (33, prose(90, words, seed=51) + " a.b@mail.example.org")]
     frame(spark, texts).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    out = {r["doc_id"]: r for r in result.collect()}
+    folder = Path(result.inputFiles()[0].removeprefix("file:")).parent.parent
+    assert [p.name for p in folder.iterdir()] == ["4"] and not list(folder.parent.glob("scratch-*/*"))
     assert set(out) == {*range(20), 33}
     assert "a.b@mail.example.org" not in out[33]["text"] and out[33]["n_chars"] == len(out[33]["text"])
     assert sum(r["taken"] for r in out.values()) == int(1.5 * sum(r["size"] for r in out.values()))
