@@ -1,11 +1,12 @@
 """License scans (operator 1), in DataFrame functions alone.
 
 Texts and templates are sequences of lower-case words and their 5-word shingles. A window of a text, as long as
-a template and overlapping the next by seven eighths, retrieves templates of about that length that agree with
-it in the least hash of a band; the shingles of the two are then compared one by one.
+a template and overlapping the next by seven eighths, retrieves the template if both have the same least hash in one
+of the bands; the shingles of the two are then compared one by one.
 
-Windows that share no shingle with any template contain no part of one, so they are left out beforehand: that
-loses nothing and leaves few windows to hash.
+A window agrees with a template in a band only if it holds the shingle of the template's least hash. So the shingles
+of a text are joined with that one shingle of each template and band, and only windows around such a place are hashed:
+the same windows are retrieved, at the cost of one lookup for each word, however many templates there are.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ STEPS = 8
 #: Probability with which a template that a text contains to CONTAINMENT shares a band with its window.
 RECALL = 0.999
 
+#: Templates whose bands go to every task at most (some 30 bytes for each of the bands); more are refused.
+MAX_TEMPLATES = 20_000
+
 #: Fixed values: (template, license, wording) of common notices.
 TEMPLATES = (
     ("cc-by-nc-line", "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -69,56 +73,51 @@ def bands(containment: float = CONTAINMENT, steps: int = STEPS, recall: float =
     return math.ceil(math.log(1 - recall) / math.log(1 - shared / (2 - shared)))
 
 
-def _signature(hashes: Column, n: int) -> Column:
-    """The least of n hashes of the shingles, each with its band."""
-    band = lambda k: F.struct(F.lit(k).alias("band"), F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k)))).alias("least"))
-    return F.array(*map(band, range(n)))
-
-
-def _window_starts(words: int, hashes: list[int]) -> Column:
-    """The windows of so many words that hold one of the shingles, as an array of structs."""
-    step, own = max(1, words // STEPS), F.array(*map(F.lit, hashes))
-    hits = F.filter(F.transform("hashes", lambda h, i: F.when(F.array_contains(own, h), i)), lambda i: i.isNotNull())
-    first = lambda i: F.greatest(F.lit(0), F.floor((i - words) / step) + 1)
-    reach = F.flatten(F.transform(hits, lambda i: F.sequence(first(i), F.floor(i / step))))
-    return F.transform(F.array_distinct(reach), lambda k: F.struct((k * step).cast("int").alias("start"), F.lit(words).alias("words")))
+def template_table(spark: SparkSession, templates: tuple | DataFrame = TEMPLATES) -> DataFrame:
+    """(template_id, license, words, shingles, hashes) of (template_id, license, wording)."""
+    if not isinstance(templates, DataFrame):
+        names = ("template_id", "license", "wording")
+        templates = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(names, t, strict=True))) for t in templates))))
+    told = templates.select("template_id", "license", _words(F.col("wording")).alias("found"))
+    return told.select("template_id", "license", F.size("found").alias("words"), _shingles(F.col("found")).alias("shingles"), _hashes(F.col("found")).alias("hashes"))
 
 
-def template_table(spark: SparkSession, templates: tuple = TEMPLATES) -> DataFrame:
-    """(template_id, license, words, shingles, hashes). Templates of fewer than SHINGLE words are refused."""
-    raw = spark.createDataFrame([tuple(t) for t in templates], "template_id string, license string, wording string")
-    told = raw.select("template_id", "license", _words(F.col("wording")).alias("found"))
-    return told.select("template_id", "license", F.size("found").alias("words"), _shingles(F.col("found")).alias("shingles"), _hashes(F.col("found")).alias("hashes"))
+def band_table(templates: DataFrame, n: int) -> DataFrame:
+    """(template_id, words, band, least, hash): the least of a band's hashes, and the shingle it is of, n for each template."""
+    band = lambda k: F.struct(F.lit(k).alias("band"), F.array_min(F.transform("hashes", lambda h: F.struct(F.xxhash64(h, F.lit(k)).alias("least"), h.alias("hash")))).alias("best"))
+    signed = templates.select("template_id", "words", F.explode(F.array(*map(band, range(n)))).alias("s"))
+    return signed.select("template_id", "words", "s.band", "s.best.least", "s.best.hash")
 
 
-def scan(docs: DataFrame, templates: tuple = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple | DataFrame = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, template_id, license, first_word, containment): the templates whose shingles a window of the text holds to `containment`.
 
+    `templates` are rows (template_id, license, wording), of SHINGLE words at least and MAX_TEMPLATES at most.
+
     The best window of each document and template counts, of equals the first; it reaches a quarter of the
     template's length beyond the window on either side. Null and short texts match nothing; rows that repeat a
     doc_id count as one document; texts are read whole; extra columns are ignored; empty tables give no rows.
     """
     spark, n = docs.sparkSession, bands(containment)
-    told = template_table(spark, templates).collect()  # a fixed table, given by the caller
-    if short := [t["template_id"] for t in told if t["words"] < SHINGLE]:
-        raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
-    table = F.broadcast(template_table(spark, templates))
-    every = F.array(*(F.lit(h) for h in sorted({h for t in told for h in t["hashes"]})))
+    table = template_table(spark, templates)
+    told = table.agg(F.count("*").alias("n"), F.count_if(F.col("words") < SHINGLE).alias("short")).first()
+    if told["short"] or told["n"] > MAX_TEMPLATES:
+        raise ValueError(f"{told['short']} templates of fewer than {SHINGLE} words, {told['n']} in all; at most {MAX_TEMPLATES}")
     found = docs.select("doc_id", _words(F.col("text").cast("string")).alias("found"))
-    # The row number keeps the condition above the hashes: pushed below them, it would take the words anew for each shingle.
+    # The row number keeps conditions above the hashes: pushed below them, they would take the words anew for each shingle.
     hashed = found.select("doc_id", "found", _hashes(F.col("found")).alias("hashes"), F.monotonically_increasing_id().alias("row"))
-    some = hashed.where((F.col("row") >= 0) & F.arrays_overlap("hashes", every))
-    lengths = sorted({t["words"] for t in told})
-    starts = [_window_starts(m, sorted({h for t in told if t["words"] == m for h in t["hashes"]})) for m in lengths]
-    windows = some.select("doc_id", "found", "hashes", F.explode(F.concat(*starts)).alias("w")).select("doc_id", "w.start", "w.words", F.slice("hashes", F.col("w.start") + 1, F.greatest(F.lit(1), F.col("w.words") - (SHINGLE - 1))).alias("own"), "found")
+    placed = hashed.select("doc_id", "row", "found", "hashes", F.posexplode("hashes").alias("pos", "hash"))
+    hits = placed.join(F.broadcast(band_table(table, n)), "hash").withColumn("step", F.greatest(F.lit(1), F.floor(F.col("words") / STEPS).cast("int")))
+    low, high = F.ceil((F.col("pos") - F.col("words") + SHINGLE) / F.col("step")), F.floor(F.col("pos") / F.col("step"))
+    windows = hits.withColumn("k", F.explode(F.sequence(F.greatest(F.lit(0), low.cast("int")), high.cast("int")))).withColumn("start", F.col("k") * F.col("step"))
+    own = F.slice("hashes", F.col("start") + 1, F.col("words") - (SHINGLE - 1))
+    agree = F.array_min(F.transform(own, lambda h: F.xxhash64(h, F.col("band")))) == F.col("least")
     margin = F.floor(F.col("words") / 4).cast("int")
-    low = F.greatest(F.lit(0), F.col("start") - margin)
-    around = F.slice("found", low + 1, F.col("start") - low + F.col("words") + margin)
-    signed = windows.select("doc_id", "start", "words", around.alias("around"), F.explode(_signature(F.array_distinct("own"), n)).alias("s"))
-    keyed = table.select("template_id", "license", "words", "shingles", F.explode(_signature(F.array_distinct("hashes"), n)).alias("s")).select("template_id", "license", "words", "shingles", "s.band", "s.least")
-    met = signed.select("doc_id", "start", "words", "around", "s.band", "s.least").join(F.broadcast(keyed), ["words", "band", "least"])
+    first = F.greatest(F.lit(0), F.col("start") - margin)
+    around = F.slice("found", first + 1, F.col("start") - first + F.col("words") + margin)
+    met = windows.where(agree).select("doc_id", "row", "template_id", "start", around.alias("around")).dropDuplicates(["row", "template_id", "start"])
     share = F.size(F.array_intersect("shingles", _shingles(F.col("around")))) / F.size("shingles")
-    held = met.dropDuplicates(["doc_id", "start", "template_id"]).select("doc_id", "template_id", "license", "start", share.alias("containment")).where(F.col("containment") >= containment)
+    held = met.join(table, "template_id").select("doc_id", "template_id", "license", "start", share.alias("containment")).where(F.col("containment") >= containment)
     best = held.groupBy("doc_id", "template_id", "license").agg(F.max(F.struct(F.col("containment"), (-F.col("start")).alias("back"))).alias("best"))
     return best.select("doc_id", "template_id", "license", (-F.col("best.back")).cast("long").alias("first_word"), F.col("best.containment").alias("containment"))
 

@@ -100,6 +100,28 @@ def test_license_scan(spark):
     assert (1 - 0.7375 / (2 - 0.7375)) ** licenses.bands() <= 0.001
 
 
+def test_license_scan_of_many_templates(spark):
+    """Four hundred templates of 5 to 300 words, from a table; texts hold some whole, some with edits."""
+    r = random.Random(6)
+    wide = ["".join(r.choices("abcdefghij", k=r.randint(3, 9))) for _ in range(5000)]
+    templates = [(f"t{k}", "L", prose(r.choice([5, 9, 40, 300]), wide, seed=500 + k)) for k in range(400)]
+    texts = []
+    for i in range(60):
+        parts = []
+        for k in r.sample(range(400), 3):
+            w = templates[k][2].split()
+            parts += [prose(r.randint(0, 60), wide), " ".join("edit" if len(w) > 20 and r.random() < 0.02 else x for x in w)]
+        texts.append((i, " ".join(parts)))
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    own = {t: shingles(x.split()) for t, _, x in templates}
+    expected = {(i, t) for i, x in texts for s in [shingles(x.split())] for t, o in own.items() if len(o & s) >= 0.8 * len(o)}
+    got = licenses.scan(frame(spark, texts), spark.createDataFrame(templates, "template_id string, license string, wording string"))
+    found = {(x["doc_id"], x["template_id"]) for x in got.collect()}
+    assert found <= expected and len(found) >= 0.995 * len(expected) and len(expected) > 100
+    with pytest.raises(ValueError):
+        licenses.scan(frame(spark, texts), (("x", "L", "too short"),))
+
+
 def test_quality_measures(spark):
     texts = [(i, "\n".join(prose(rnd.randint(0, 12), VOCABULARY[:9]) for _ in range(rnd.randint(0, 9))) + rnd.choice(["", " #$ a|b", "\n\n"])) for i in range(60)] + EDGES
     expected = []
