@@ -51,14 +51,21 @@ def _removed(text: Column, characters: str) -> Column:
 
 
 def _windows(found: Column) -> Column:
-    """The hashes of the 3-word windows with their places, sorted, so that equal windows are neighbours.
+    """The hashes of the 3-word windows, in order.
 
-    The places of those with an equal neighbour, sorted, are the starts of the repeated windows. Each start covers
-    three words, or fewer where the next start is nearer: n log n for any text, never all pairs.
+    Where some are equal, they are sorted with their places, so that equal windows are neighbours; the places of
+    those, sorted, are the starts of the repeated windows. Each start covers three words, or fewer where the next
+    start is nearer: n log n for any text, never all pairs.
     """
     n = F.size(found) - (WINDOW - 1)
-    hashed = F.transform(found, lambda w, i: F.struct(F.xxhash64(w, F.get(found, i + 1), F.get(found, i + 2)).alias("h"), i.alias("i")))
-    return F.sort_array(F.slice(hashed, 1, F.greatest(n, F.lit(0))))
+    hashed = F.transform(found, lambda w, i: F.xxhash64(w, F.get(found, i + 1), F.get(found, i + 2)))
+    return F.slice(hashed, 1, F.greatest(n, F.lit(0)))
+
+
+def _repeats(hashes: Column) -> Column:
+    """The hashes with their places, sorted; none where all hashes differ, which a set tells without sorting."""
+    placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    return F.sort_array(F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -71,7 +78,8 @@ def measures(docs: DataFrame) -> DataFrame:
     row = F.monotonically_increasing_id().alias("row")
     first = docs.select("doc_id", text.alias("text"), words(text).alias("found"), F.struct(*docs.columns).alias("given"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    second = first.select("doc_id", "given", "text", "found", lines.alias("lines"), _windows(F.col("found")).alias("hashed"))
+    windows = first.select("doc_id", "given", "text", "found", lines.alias("lines"), _windows(F.col("found")).alias("hashes"))
+    second = windows.select("doc_id", "given", "text", "found", "lines", _repeats(F.col("hashes")).alias("hashed"))
     third = second.select("doc_id", "given", "text", "found", "lines", F.sort_array(F.transform(F.filter("hashed", _twin(F.col("hashed"))), lambda x: x.i)).alias("starts"))
     ends = lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("starts"), i + 1) - x, F.lit(WINDOW)))
     stop = F.array(*map(F.lit, sorted(set(STOP_WORDS))))
