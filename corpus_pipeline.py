@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, mixing, quality, simhash, surrogates
+from corpusloom.llm import decontaminate, mixing, near_texts, quality, surrogates
 from corpusloom.sources.tables import checkpoint_dir, discard, scratch, table
 
 
@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash.near_dedup(docs)
+    return near_texts.near_dedup(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,18 @@
 """Near-duplicates of the pipeline: texts whose 5-word shingles are similar (Jaccard) to 0.8 and more.
 
+Candidates are the links of operator 8 (equal fingerprints and, by its Golay keys, those within two bits). SimHash
+alone can't find the others: at a similarity of 0.8 some 10 of 64 bits differ, and no keys of a fingerprint are
+complete for so many. So texts have further keys, and every candidate is verified by its shingles.
+
 A text has BANDS keys of ROWS minima of its shingles' hashes each; two texts at 0.8 share a key with probability
-1 - (1 - 0.8^4)^14 = 0.9994. Texts that share a key are compared shingle by shingle, never all with all: in each
-round a bucket's members are compared with its centres only, of which every round has twice as many. A text that is
-near to one before it goes, and a centre that was compared with all members leaves the bucket. Those that stay stay
-in their buckets until they were compared, so no two of them that share a key are near.
+1 - (1 - 0.8^4)^14 = 0.9994. In buckets of up to HOT texts these are candidates. Texts of larger buckets, as those
+that share a common passage, get other keys: of its n shingles, rarest first, the first n - 0.8 n + 1. Two texts
+similar to 0.8 share one of these for certain, and a passage that many texts share is none of the rarest.
+
+Candidates are compared shingle by shingle, never all with all: in each round a bucket's members are compared with
+its centres only, of which every round has twice as many. A text that is near to one before it goes, and a centre
+that was compared with all members leaves the bucket. Those that stay stay in their buckets until they were compared,
+so no two of them that share a key are near.
 """
 
 from __future__ import annotations
@@ -18,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._common import slices
+from corpusloom.llm.simhash import fingerprint, near_prints
 from corpusloom.sources.tables import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4
 #: Buckets of so many members are compared all with all after the first round.
 SMALL = 16
+#: Members of a larger bucket are keyed by their rarest shingles instead.
+HOT = 32
 SEEDS = np.random.Generator(np.random.PCG64(8)).integers(0, 2**63, BANDS * ROWS, np.uint64)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Shingles whose hashes are held at once.
@@ -66,7 +77,31 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = part.column("text").cast(pa.binary()).to_pylist()
         same = [xxhash.xxh3_64_intdigest(b" ".join(_words(t))) - (1 << 63) for t in texts]
         bands = [band_keys(shingles(t)) for t in texts]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(same, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "same", "bands"])
+        prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(same, pa.int64()), pa.array(prints), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "same", "print", "bands"])
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of the distinct shingles of each text."""
+    import xxhash
+
+    for part in slices(batches):
+        found = [[xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in shingles(t)] for t in part.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found, pa.list_(pa.int64()))], ["row", "found"])
+
+
+def rarest(held: DataFrame) -> DataFrame:
+    """(row, key): of the n shingles of each text (row, text), rarest among all these texts first, the first n - 0.8 n + 1 that another text has too.
+
+    Shingles of one text only come first and need no key: they take part in the count.
+    """
+    hashed = cut(held.select("row", "text").mapInArrow(_hashed, "row long, found array<long>"))
+    single = hashed.select("row", F.size("found").alias("size"), F.explode("found").alias("key"))
+    counts = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = single.join(counts, "key").groupBy("row", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("shared"))
+    alone = F.col("size") - F.size("shared")
+    first = F.col("size") - F.ceil(F.col("size") * F.lit(SIMILARITY) - 1e-9) + 1 - alone
+    return shared.select("row", F.explode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), first.cast("int")))).alias("s")).select("row", "s.key")
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,18 +148,24 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, without those whose text is near to that of a row that comes before.
 
     Rows come in order of doc_id, null last, then of a digest of the whole row, so null and repeated doc_ids are rows
-    of their own. Of equal texts (but for case and white space) the first stays, also of null, empty and blank ones.
-    Each row that goes is linked to one that stays by a chain of near texts. An empty table gives no rows.
+    of their own. Of equal texts (but for case and white space) the first stays, also of null, empty and blank ones. Each row that goes is linked to one that stays by a chain of
+    near texts. An empty table gives no rows.
     """
     whole = F.xxhash64(*docs.columns).alias("row")
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole, F.col("text").cast("string").alias("text"))
-    signed = cut(told.mapInArrow(_signed, "doc_id long, row long, same long, bands array<long>"))
+    signed = cut(told.mapInArrow(_signed, "doc_id long, row long, same long, print long, bands array<long>"))
     place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")
-    distinct = cut(signed.groupBy("same").agg(F.min(F.struct(place.alias("place"), "bands")).alias("first")).select("first.place", "first.bands"))
-    members = distinct.select("place", F.explode("bands").alias("key"))
-    members = cut(members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"))
+    distinct = cut(signed.groupBy("same").agg(F.min(F.struct(place.alias("place"), "print", "bands")).alias("first")).select("first.*"))
+    prints = distinct.groupBy("print").agg(F.min("place").alias("place"))
+    links = near_prints(prints.select("print", F.col("print").alias("node"))).select(F.explode(F.array("node_a", "node_b")).alias("print"), F.xxhash64(F.lit("link"), "node_a", "node_b").alias("key"))
+    members = distinct.select("place", F.explode(F.concat("bands", F.array(F.xxhash64(F.lit("print"), "print")))).alias("key"))
+    members = members.unionByName(links.join(prints, "print").select("place", "key"))
+    members = cut(members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     asked = members.select(F.col("place.row").alias("row")).distinct()
     held = cut(told.select("row", "text").join(asked, "row", "left_semi").dropDuplicates(["row"]))
+    hot = cut(members.where(F.col("n") > HOT).select("place", F.col("place.row").alias("row")).distinct())
+    keyed = rarest(held.join(hot, "row", "left_semi")).join(hot, "row").select("place", "key")
+    members = members.where(F.col("n") <= HOT).select("place", "key").unionByName(keyed)
     kept = distinct.select(F.col("place.row").alias("_kept_row"))
     if gone := dropped(members, held):
         kept = kept.join(reduce(DataFrame.unionByName, gone).distinct(), F.col("_kept_row") == F.col("row"), "left_anti")

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm._common import documents, slices
-from corpusloom.llm.near_texts import near_dedup  # noqa: F401  the pipeline's stage
 from corpusloom.operators.components import connected_components
 from corpusloom.sources.tables import cut
 

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chunks, decontaminate, language, licenses, mixing, quality, simhash, suffixes, surrogates, token_counts
+from corpusloom.llm import chunks, decontaminate, language, licenses, mixing, near_texts, quality, simhash, suffixes, surrogates, token_counts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names clash with what the operators add.
@@ -52,7 +52,7 @@ APPLY = {
     "suffixes": lambda d: suffixes.removed(d),
     "chunks": lambda d: chunks.marked(d),
     "simhash": lambda d: simhash.components(d),
-    "near_dedup": lambda d: simhash.near_dedup(d),
+    "near_dedup": lambda d: near_texts.near_dedup(d),
     "overlaps": lambda d: decontaminate.overlaps(d, bench(d.sparkSession)),
     "decontaminate": lambda d: decontaminate.decontaminate(d, bench(d.sparkSession)),
     "pii": lambda d: surrogates.replace_pii(d),
@@ -343,17 +343,28 @@ def test_near_dedup_meets_edited_copies(spark):
             w[r.randrange(len(w))] = "edit"
         texts.append((100 + k, " ".join(w)))
     near = {(i, j) for (i, a), (j, b) in combinations(texts, 2) if brute_similarity(a, b) >= 0.8}
-    stay = {x["doc_id"] for x in simhash.near_dedup(frame(spark, texts)).collect()}
+    stay = {x["doc_id"] for x in near_texts.near_dedup(frame(spark, texts)).collect()}
     assert len(near) > 200 and not [p for p in near if stay.issuperset(p)]
     later = {j for _, j in near}
     assert {i for i, _ in texts} - stay <= later and set(range(30)) <= stay
 
 
+def test_near_dedup_of_a_common_passage(spark):
+    """Texts that share half of their words, many more than a bucket holds, all stay; edited copies among them go."""
+    passage = prose(80, seed=900)
+    texts = [(k, f"{passage} {prose(80, seed=3000 + k)}") for k in range(150)]
+    texts += [(1000 + k, texts[k][1].replace(" ", "  ", 9).rsplit(" ", 3)[0]) for k in range(20)] + [(2000 + k, f"{passage} {passage.upper()} {prose(12, seed=k)}") for k in range(60)]
+    near = {(i, j) for (i, a), (j, b) in combinations(texts, 2) if brute_similarity(a, b) >= 0.8}
+    stay = {x["doc_id"] for x in near_texts.near_dedup(frame(spark, texts)).collect()}
+    assert set(range(150)) <= stay and len(near) >= 20 and not [p for p in near if stay.issuperset(p)]
+    assert {i for i, _ in texts} - stay <= {j for _, j in near}
+
+
 def test_near_dedup_keeps_rows_apart(spark):
     """Null and repeated doc_ids with different texts stay; of equal texts one row stays."""
     a, b, c, d = (prose(60, seed=k) for k in (61, 62, 63, 64))
     texts = [(None, a), (None, b), (7, c), (7, d), (8, a), (None, c), (9, d), (9, d)]
-    got = simhash.near_dedup(frame(spark, texts)).collect()
+    got = near_texts.near_dedup(frame(spark, texts)).collect()
     assert sorted((x["doc_id"], x["text"]) for x in got if x["doc_id"]) == sorted([(7, c), (7, d), (8, a)])
     assert [x["text"] for x in got if x["doc_id"] is None] == [b]
 
