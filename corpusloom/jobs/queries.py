@@ -7,35 +7,20 @@ evidence between papers, concepts and threads.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import decisions, flatten, gates, graph, merging, packing, reviews, search
+from corpusloom.jobs.registry import QUERIES, SQL, query  # noqa: F401
+from corpusloom.operators import decisions, gates, graph, merging, packing, reviews, search
 from corpusloom.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 #: The stated queries of the search jobs: text, and the vector of an embedding.
 TEXTS = {"q1": "the of and with", "q2": "der die und ist", "q3": "que los las para"}
 VECTOR_IDS = {"q1": 0, "q2": 1, "q3": 2}
 WORDS = r"[\p{L}\p{N}_]+"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), F.col("source").alias("paper_id"), F.col("lang").alias("type"), "text", "n_chars")
 
@@ -111,12 +96,6 @@ def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     return cut.select("doc_id", F.when(empty, 0).otherwise(F.size("x")).cast("long").alias("n_sentences"), F.array_max(F.transform("x", F.length)).cast("long").alias("longest"))
 
 
-@query()
-def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Every text in chunks of 4,000 characters along its sentences."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk", "chunk_text"))
-
-
 @query(r"""SELECT p_partkey, substr(sha256(concat_ws('|', regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g'), regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g'), p_size::VARCHAR)), 1, 12) AS paper_id,
 regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, replace(p_type, ' ', '_') AS folder,
 CASE WHEN regexp_matches(p_name || ' 20' || lpad(p_size::VARCHAR, 2, '0'), '(19|20)\d{2}') THEN regexp_extract(p_name || ' 20' || lpad(p_size::VARCHAR, 2, '0'), '((?:19|20)\d{2})', 1)::INT END AS year FROM part""")
@@ -270,13 +249,6 @@ def work_batches(spark: SparkSession, d: str) -> DataFrame:
     return packing.batches(items, 25, 12)
 
 
-@query()
-def evidence_bundles(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as evidence of parts by supplier, packed into a budget of 6,000 characters for each part."""
-    own = table(spark, d, "lineitem").select(F.col("l_partkey").alias("thread"), F.col("l_suppkey").alias("paper"), F.concat_ws("/", F.lit(""), "l_orderkey", "l_linenumber").alias("path"), F.col("l_discount").alias("relevance"), (F.col("l_returnflag") == "R").alias("boundary"), F.repeat(F.lit("x"), F.col("l_quantity").cast("int") * 3).alias("value"))
-    return packing.bundle(own, 6000, longest=120)
-
-
 @query("""WITH s AS (SELECT o_custkey AS target, o_orderstatus = 'F' AND o_totalprice > 20000 AS good, o_orderpriority <> '5-LOW' AS retrieved FROM orders)
 SELECT target, count(*) AS total, count(*) FILTER (WHERE good) AS accepted, round(count(*) FILTER (WHERE good) / count(*), 6) AS coverage, bool_and(retrieved) AND count(*) FILTER (WHERE good) / count(*) >= 0.4 AS met FROM s GROUP BY target""")
 def coverage_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -387,46 +359,6 @@ def lineage_breaks(spark: SparkSession, d: str) -> DataFrame:
     return gates.chain_breaks(stages.drop("before"), "o_custkey", "pos", "parent", "result")
 
 
-def _papers(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as nested analyses: lines are key results, sentences of the first line claims, the rest by length."""
-    text = F.coalesce("text", F.lit(""))
-    lines = F.split(text, "\n")
-    doc = F.struct(
-        F.struct(F.lit("A title.").alias("title"), F.lit("2024").alias("year"), F.array("lang").alias("research_areas"), F.array("source", "lang").alias("keywords")).alias("paper_metadata"),
-        F.transform(lines, lambda x: F.struct(x.alias("finding"))).alias("key_results"),
-        F.transform(T.sentences(F.element_at(lines, 1)), lambda x: F.struct(x.alias("claim"), F.lit("empirical").alias("claim_type"))).alias("claims_and_evidence"),
-        F.struct(F.when(F.length(text) > 1000, F.array(F.struct(F.element_at(lines, -1).alias("limitation")))).alias("author_stated")).alias("limitations"),
-    )
-    told = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.to_json(doc).alias("json"), F.lit(None).cast("string").alias("title"), F.col("source").alias("venue"), F.lit(None).cast("string").alias("year"))
-    return told.select("paper_id", F.from_json("json", flatten.schema()).alias("doc"), "title", "venue", "year")
-
-
-_SENTENCES = r"string_split(regexp_replace(string_split(t, chr(10))[1], '([.!?])[\s\p{Z}]+', '\1' || chr(1), 'g'), chr(1))"
-_TYPES = rf"""WITH d AS (SELECT doc_id::VARCHAR AS paper_id, coalesce(text, '') AS t, source FROM documents)
-SELECT paper_id, 'key_result' AS type, length(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS n FROM d WHERE n > 0
-UNION ALL SELECT paper_id, 'claim', length(list_filter({_SENTENCES}, lambda x: trim(x) <> ''))::BIGINT AS n FROM d WHERE n > 0
-UNION ALL SELECT paper_id, 'limitation_author', 1 FROM d WHERE length(t) > 1000 AND trim(string_split(t, chr(10))[-1]) <> ''
-UNION ALL SELECT paper_id, 'tags', 1 FROM d"""
-
-
-@query(_TYPES)
-def statement_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Statements by paper and type; the chunks of one statement count once."""
-    own = flatten.records(_papers(spark, d)).select("paper_id", "type", F.regexp_replace("record_id", "#p[0-9]+$", "").alias("statement"))
-    return own.distinct().groupBy("paper_id", "type").agg(F.count("*").alias("n"))
-
-
-@query()
-def statement_records(spark: SparkSession, d: str) -> DataFrame:
-    """Every typed record of every document."""
-    return flatten.records(_papers(spark, d)).select("record_id", "paper_id", "type", "text", "year", "venue")
-
-
-@query()
-def evidence_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.evidence(_papers(spark, d)).select("paper_id", "kind", "path", "value", "boundary", F.size("tokens").alias("n_tokens"))
-
-
 @query("""SELECT source AS paper_id, count(DISTINCT x)::BIGINT AS n_hints FROM (SELECT source, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9\\-]{2,}'), lambda x: NOT list_contains(""" + _STOP + """, x))) AS x FROM documents) GROUP BY source""")
 def search_hints(spark: SparkSession, d: str) -> DataFrame:
     """How many distinct tokens the records of each venue offer as hints."""
@@ -458,3 +390,6 @@ def proposal_changes(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderdate")
     new = table(spark, d, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("o_orderpriority"), F.date_trunc("year", "o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
     return reviews.scientific_changes(old, new, "o_orderkey", ["o_orderdate"])
+
+
+from corpusloom.jobs import analyses  # noqa: E402, F401  its queries

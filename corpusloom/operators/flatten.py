@@ -1,4 +1,4 @@
-"""Nested document analyses as typed statement records, paper rows and evidence candidates.
+"""Nested document analyses as typed statement records.
 
 Every record type is one line of a contract: where its rows are, which fields make its text, which its metadata.
 All types become one array expression and one explode, so a document is read and parsed once, not once for each
@@ -73,32 +73,31 @@ tags | retrieval_tags | problems* methods* architectures* model_families* traini
 #: `method` and `architecture` make one record between them.
 JOINED = {"architecture": "method"}
 
-#: Evidence kinds: (kind, place, fields of the value, whether a boundary). Places as above; the provenance is the row itself.
-EVIDENCE = (
-    ("key result", "key_results[]", "finding quantitative_result comparison", False),
-    ("experiment", "experiments[]", "experiment_name setup key_result authors_conclusion", False),
-    ("ablation", "ablations[]", "component_or_variable change result quantitative_change", False),
-    ("scaling", "scaling_and_sensitivity[]", "variable observed_trend interpretation", False),
-    ("interesting finding", "interesting_findings[]", "finding why_interesting", None),
-    ("failure case", "failure_cases[]", "failure conditions observed_behavior", True),
-    ("author-stated limitation", "limitations.author_stated[]", "limitation impact", True),
-    ("inferred limitation", "limitations.inferred[]", "limitation reasoning", True),
-    ("claim", "claims_and_evidence[]", "claim evidence", False),
-    ("method component", "method.components[]", "name purpose technical_details", False),
-    ("contribution", "contributions[]", "contribution novelty_claim", False),
-    ("research gap", "research_gap", "gap_description evidence_for_gap", False),
-    ("systems characteristics", "method.systems_characteristics", "time_complexity memory latency throughput", False),
-    ("method idea", "method", "high_level_idea", False),
-    ("author future work", "future_work.author_proposed[]", "direction motivation", True),
-    ("inferred opportunity", "future_work.inferred_research_opportunities[]", "observation_or_limitation research_question", True),
-    ("evaluation setup", "experimental_setup", "statistical_testing", False),
-)
+#: Fields of the document that no record's text has: of the paper itself, and such as are read by their path alone.
+PAPER_FIELDS = """
+paper_metadata.title paper_metadata.authors* paper_metadata.venue paper_metadata.year paper_metadata.paper_type
+paper_metadata.identifiers[].name paper_metadata.identifiers[].value paper_metadata.research_areas* paper_metadata.keywords*
+experimental_setup.number_of_runs reproducibility.code_available reproducibility.code_url reproducibility.data_available
+reproducibility.data_url reproducibility.model_checkpoints_available
+""".split()
+ON_DEMAND = """
+prior_work[].citations_mentioned_in_paper* method.objectives_and_losses[].equation method.important_equations[].equation_identifier
+method.important_equations[].equation method.important_equations[].variables[].symbol method.important_equations[].variables[].meaning
+method.training.important_hyperparameters[].name method.training.important_hyperparameters[].value models[].configuration[].name
+models[].configuration[].value models[].pretrained datasets[].train_split datasets[].validation_split datasets[].test_split
+metrics[].better_direction experimental_setup.training_configuration[].name experimental_setup.training_configuration[].value
+experimental_setup.inference_configuration[].name experimental_setup.inference_configuration[].value experimental_setup.random_seeds
+experiments[].results[].method experiments[].results[].metric experiments[].results[].value experiments[].results[].raw_value
+experiments[].results[].unit experiments[].results[].dataset_or_setting reproducibility.reproduction_steps*
+""".split()
+#: The one place whose locations have another name.
+OTHER_LOCATIONS = {"future_work.inferred_research_opportunities[]": "supporting_source_locations"}
 LOCATION = t.StructType([t.StructField("page", t.IntegerType()), *(t.StructField(n, t.StringType()) for n in ("section", "table", "figure", "equation", "appendix"))])
 
 
 def schema() -> t.StructType:
     """The nested schema that the contract implies, for from_json."""
-    tree: dict = {"paper_metadata": {n: t.StringType() for n in ("title", "year", "venue")} | {n: t.ArrayType(t.StringType()) for n in ("research_areas", "keywords")}}
+    tree: dict = {}
 
     def put(path: list[str], leaf: str, kind) -> None:
         node = tree
@@ -115,7 +114,10 @@ def schema() -> t.StructType:
             put(path, part.strip(".*"), t.ArrayType(t.StringType()) if part.endswith("*") else t.StringType())
         for m in r.meta:
             put(path, m, t.StringType())
-        put(path, "source_locations", t.ArrayType(LOCATION))
+        put(path, OTHER_LOCATIONS.get(r.path, "source_locations"), t.ArrayType(LOCATION))
+    for field in (*PAPER_FIELDS, *ON_DEMAND):
+        *path, leaf = field.rstrip("*").split(".")
+        put(path, leaf, t.ArrayType(t.StringType()) if field.endswith("*") else t.StringType())
 
     def made(node) -> t.DataType:
         if not isinstance(node, dict):
@@ -158,7 +160,7 @@ def _typed(doc: Column, r: RecordType) -> Column:
         parent = doc[r.path.split(".")[0]]
         rows = F.transform(place, lambda x: record(x, F.when(F.trim(x) != "", F.concat(F.lit(f"{_label(r.parts[0])}: "), F.trim(x))), parent["source_locations"]))
     elif r.path.endswith("[]"):
-        rows = F.transform(place, lambda x: record(x, _text(x, r.parts), x["source_locations"]))
+        rows = F.transform(place, lambda x: record(x, _text(x, r.parts), x[OTHER_LOCATIONS.get(r.path, "source_locations")]))
     elif r.name == "method":
         both = F.trim(F.concat_ws(" ", _text(place, r.parts), _text(place["architecture"], RECORD_TYPES[[x.name for x in RECORD_TYPES].index("architecture")].parts)))
         rows = F.array(record(place, both, place["architecture"]["source_locations"]))
@@ -188,21 +190,35 @@ def records(papers: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
     return own.select(F.when(F.size("pieces") > 1, F.concat(name, F.lit("#p"), F.col("k").cast("string"))).otherwise(name).alias("record_id"), "paper_id", F.col("r.type").alias("type"), F.concat("prefix", "piece").alias("text"), F.col("r.source_locations").alias("source_locations"), F.col("r.meta").alias("meta"), "year", "venue", "research_areas")
 
 
-def evidence(papers: DataFrame) -> DataFrame:
-    """(paper_id, kind, path, value, boundary, tokens): evidence candidates with their JSON pointers."""
+def shaped(kind: t.StructType, given: dict) -> Column:
+    """A struct of the schema's type: given columns by field, dicts for structs, (array, function of an element to a dict) for arrays of structs; null otherwise."""
+    fields = []
+    for f in kind:
+        own = given.get(f.name)
+        if own is None:
+            column = F.lit(None).cast(f.dataType)
+        elif isinstance(own, dict):
+            column = shaped(f.dataType, own)
+        elif isinstance(own, tuple):
+            column = F.transform(own[0], _element(f.dataType.elementType, own[1]))
+        else:
+            column = own.cast(f.dataType)
+        fields.append(column.alias(f.name))
+    return F.struct(*fields)
 
-    def found(kind: str, path: str, fields: str, boundary: bool | None) -> Column:
-        place = F.col("doc")
-        for step in path.split("."):
-            place = place[step.rstrip("[]")]
-        pointer = "/" + path.replace(".", "/").rstrip("[]")
-        edge = lambda x: F.coalesce(x["expected_or_unexpected"] == "unexpected", F.lit(False)) if boundary is None else F.lit(boundary)
-        made = lambda x, at: F.struct(F.lit(kind).alias("kind"), at.alias("path"), F.concat_ws(" ", *(F.nullif(F.trim(x[f]), F.lit("")) for f in fields.split())).alias("value"), edge(x).alias("boundary"))
-        rows = F.transform(place, lambda x, i: made(x, F.concat(F.lit(f"{pointer}/"), i.cast("string")))) if path.endswith("[]") else F.array(made(place, F.lit(pointer)))
-        return F.coalesce(rows, F.array().cast("array<struct<kind:string,path:string,value:string,boundary:boolean>>"))
 
-    own = papers.select("paper_id", F.explode(F.concat(*(found(*e) for e in EVIDENCE))).alias("e"))
-    return own.select("paper_id", "e.kind", "e.path", "e.value", "e.boundary").where("value <> ''").withColumn("tokens", T.tokens(F.col("value")))
+def _element(kind: t.StructType, fields):
+    return lambda x: shaped(kind, fields(x))
+
+
+def buckets() -> dict[str, list[str]]:
+    """The fields of the documents by what becomes of them: TEXT of records, META of records and papers, ONDEMAND by path alone."""
+    told: dict[str, list[str]] = {"TEXT": [], "META": [f.rstrip("*") for f in PAPER_FIELDS], "ONDEMAND": [f.rstrip("*") for f in ON_DEMAND]}
+    for r in RECORD_TYPES:
+        path = r.path.rstrip("*")
+        told["TEXT"] += [path] if r.path.endswith("*") else [f"{path}.{p.strip('.*')}" for p in r.parts]
+        told["META"] += [f"{path}.{m}" for m in r.meta]
+    return told
 
 
 def leaves(kind: t.DataType, prefix: str = "") -> list[str]:
