@@ -156,27 +156,6 @@ def quote_containment(spark: SparkSession, d: str) -> DataFrame:
     return graph.quote_matches(quotes, table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"))
 
 
-def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    items = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("key"), F.col("embedding").alias("vector"))
-    return items, graph.similar_pairs(items, 0.8)
-
-
-_PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.8"
-
-
-@query(f"SELECT a, b, round(similarity, 6) AS similarity FROM ({_PAIRS})")
-def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d)[1].withColumn("similarity", F.round("similarity", 6))
-
-
-@query(f"""WITH RECURSIVE p AS ({_PAIRS}), e AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p),
-r AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.id WHERE r.c < e.v)
-SELECT id, min(c) AS cluster FROM r GROUP BY id""")
-def cluster_members(spark: SparkSession, d: str) -> DataFrame:
-    items, pairs = _pairs(spark, d)
-    return graph.clusters(items, pairs)
-
-
 def _triples(spark: SparkSession, d: str) -> DataFrame:
     kinds = F.create_map(*map(F.lit, ("A", "INTRODUCES", "R", "HURTS", "N", "REDUCES")))
     line, part, supplier = (table(spark, d, t) for t in ("lineitem", "part", "supplier"))
@@ -200,14 +179,6 @@ def concept_contradictions(spark: SparkSession, d: str) -> DataFrame:
     return graph.contradictions(graph.relationships(_triples(spark, d)))
 
 
-@query(f"""WITH r AS ({_RELATIONS}), e AS (SELECT source AS concept, support FROM r UNION ALL SELECT target, support FROM r)
-SELECT concept, max(support) AS best_support FROM e GROUP BY concept HAVING max(support) < 60""")
-def sparse_concepts(spark: SparkSession, d: str) -> DataFrame:
-    found = graph.relationships(_triples(spark, d))
-    concepts = found.select(F.col("source").alias("concept")).unionByName(found.select(F.col("target").alias("concept")))
-    return graph.sparse_concepts(concepts, found, 60)
-
-
 @query("SELECT p_brand AS concept, count(DISTINCT l_suppkey) AS n_papers, list_sort(list(DISTINCT l_suppkey))[1] AS first_paper FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
 def concept_groups(spark: SparkSession, d: str) -> DataFrame:
     mentions = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("concept"), F.col("l_suppkey").alias("paper_id"))
@@ -217,7 +188,7 @@ def concept_groups(spark: SparkSession, d: str) -> DataFrame:
 _STANCES = """papers AS (SELECT DISTINCT o_custkey AS thread, o_orderkey AS paper FROM orders),
 ev AS (SELECT o_custkey AS thread, o_orderkey AS paper, CASE l_returnflag WHEN 'N' THEN 'supports' WHEN 'A' THEN 'qualifies' ELSE 'contradicts' END AS stance FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 25),
 k AS (SELECT p.thread, p.paper, bool_or(stance = 'supports') AS s, bool_or(stance = 'qualifies') AS q, bool_or(stance = 'contradicts') AS c FROM papers p LEFT JOIN ev USING (thread, paper) GROUP BY ALL),
-g AS (SELECT thread, CASE WHEN c AND (s OR q) THEN 'mixed' WHEN c THEN 'contradicts' WHEN q THEN 'qualifies' WHEN s THEN 'supports' ELSE 'unknown' END AS kind FROM k),
+g AS (SELECT thread, CASE WHEN c AND s THEN 'mixed' WHEN c THEN 'contradicts' WHEN q THEN 'qualifies' WHEN s THEN 'supports' ELSE 'unknown' END AS kind FROM k),
 agreed AS (SELECT thread, count(*) FILTER (WHERE kind = 'supports') AS supports, count(*) FILTER (WHERE kind = 'qualifies') AS qualifies, count(*) FILTER (WHERE kind = 'contradicts') AS contradicts, count(*) FILTER (WHERE kind = 'mixed') AS mixed, count(*) FILTER (WHERE kind = 'unknown') AS unknown FROM g GROUP BY thread)"""
 
 
@@ -392,4 +363,4 @@ def proposal_changes(spark: SparkSession, d: str) -> DataFrame:
     return reviews.scientific_changes(old, new, "o_orderkey", ["o_orderdate"])
 
 
-from corpusloom.jobs import analyses  # noqa: E402, F401  its queries
+from corpusloom.jobs import analyses, landscape  # noqa: E402, F401  its queries

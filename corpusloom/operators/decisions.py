@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 def agreement(evidence: DataFrame, papers: DataFrame) -> DataFrame:
     """Per thread: papers that support, qualify, contradict, are mixed, or are unknown.
 
-    `evidence` carries thread, paper, stance. A paper with contradicting and other stances is mixed; else
-    contradicting before qualifying before supporting. A thread's papers without evidence are unknown.
+    `evidence` carries thread, paper, stance. A paper that supports and contradicts is mixed; else contradicting goes
+    before qualifying before supporting. A thread's papers without evidence are unknown.
     """
     has = lambda s: F.coalesce(F.bool_or(F.col("stance") == s), F.lit(False))
     told = papers.join(evidence, ["thread", "paper"], "left").groupBy("thread", "paper").agg(has("supports").alias("s"), has("qualifies").alias("q"), has("contradicts").alias("c"))
-    kind = F.when(F.col("c") & (F.col("s") | F.col("q")), "mixed").when(F.col("c"), "contradicts").when(F.col("q"), "qualifies").when(F.col("s"), "supports").otherwise("unknown")
+    kind = F.when(F.col("c") & F.col("s"), "mixed").when(F.col("c"), "contradicts").when(F.col("q"), "qualifies").when(F.col("s"), "supports").otherwise("unknown")
     return told.withColumn("kind", kind).groupBy("thread").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("supports", "qualifies", "contradicts", "mixed", "unknown")))
 
 

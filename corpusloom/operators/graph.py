@@ -2,54 +2,109 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import dot, slug
 from corpusloom.operators.components import connected_components
+from corpusloom.sources.tables import cut
 
 #: Relations that contradict each other.
 OPPOSED = (("REDUCES", "HURTS"), ("REDUCES", "INTRODUCES"), ("SOLVES", "FAILS_UNDER"))
-BANDS, BITS = 96, 12
+#: Items of a key up to which all are compared with all, in one task; larger keys are hashed.
+EXACT = 2048
+#: Items of a bucket on average, and the probability with which a pair at the threshold may be missed in a hashed key.
+BUCKET, MISSED = 64, 0.002
+
+
+def classes(items: DataFrame, key: str = "key") -> DataFrame:
+    """(id, representative): the least id of the items of one key that have the same vector."""
+    told = items.select("id", F.col(key).alias("_key"), "vector")
+    first = told.groupBy("_key", "vector").agg(F.min("id").alias("representative"))
+    same = [told["_key"].eqNullSafe(first["_key"]), told["vector"] == first["vector"]]
+    return told.join(first, same).select("id", "representative")
+
 
+def hashing(largest: int, threshold: float) -> tuple[int, int]:
+    """(bits, bands) for a key of so many items: bits so that a bucket stays small, bands so that no more than MISSED of the pairs at the threshold are lost."""
+    bits = max(4, math.ceil(math.log2(max(2, largest / BUCKET))))
+    agree = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
+    return bits, max(1, math.ceil(math.log(MISSED) / math.log1p(-min(agree, 1 - 1e-12))))
 
-def similar_pairs(items: DataFrame, threshold: float, key: str = "key", bands: int = BANDS, bits: int = BITS) -> DataFrame:
+
+def similar_pairs(items: DataFrame, threshold: float, key: str = "key", exact: int = EXACT) -> DataFrame:
     """(a, b, similarity) of items (id, key, vector of unit length) of one key whose cosine is `threshold` at least, a < b.
 
-    Candidates share the signs of `bits` fixed random projections in one of `bands` bands, and are verified exactly:
-    a pair at cosine c is missed with probability (1 - (1 - acos(c) / pi)^bits)^bands. Nothing is compared with a
-    whole group, so a key that holds a third of all items is no bottleneck.
+    Of items with the same vector the least id stands for all (`classes` tells which). Keys of up to `exact`
+    different vectors are compared all with all. In larger ones candidates share the signs of random projections in
+    one of several bands, and are verified exactly; bits and bands grow with the largest key, so that buckets stay
+    small and a pair at the threshold is missed with probability MISSED at most, one farther above it less.
     """
-    import numpy as np
-
-    size = len(items.select("vector").first()[0]) if not items.isEmpty() else 1
-    planes = np.random.default_rng(7).standard_normal((bands * bits, size))
+    own = items.select("id", F.col(key).alias("key"), "vector").groupBy("key", "vector").agg(F.min("id").alias("id")).select("id", "key", "vector")
+    own = cut(own)
+    sizes = own.groupBy("key").agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+    result = f"a {kinds['id']}, b {kinds['id']}, similarity double"
+
+    def compared(group):
+        import pandas as pd
+
+        ids, vectors = group["id"].to_numpy(), np.array(group["vector"].tolist(), float)
+        out = []
+        for at in range(0, len(ids), 512):
+            near = vectors[at : at + 512] @ vectors.T
+            rows, columns = np.nonzero((near >= threshold) & (ids[at : at + 512, None] < ids[None, :]))
+            out.append(pd.DataFrame({"a": ids[at + rows], "b": ids[columns], "similarity": near[rows, columns]}))
+        return pd.concat(out)
+
+    few = own.join(sizes.where(F.col("n") <= exact).select("key"), own["key"].eqNullSafe(sizes["key"]), "left_semi").groupBy("key").applyInPandas(compared, result)
+    if largest <= exact:
+        return few
+    many = own.join(sizes.where(F.col("n") > exact).select("key"), own["key"].eqNullSafe(sizes["key"]), "left_semi")
+    bits, bands = hashing(largest, threshold)
+    planes = np.random.default_rng(7).standard_normal((bands * bits, len(own.select("vector").first()[0])))
 
     def signed(batches):
         import pyarrow as pa
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = np.array(batch.column("vector").to_pylist(), float)
-            signs = (vectors @ planes.T > 0).reshape(len(vectors), bands, bits)
-            codes = signs @ (1 << np.arange(bits)) + (np.arange(bands) << bits)
-            rows = np.repeat(np.arange(len(vectors)), bands)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), batch.column("key").take(pa.array(rows)), pa.array(codes.ravel())], ["id", "key", "band"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
-    own = items.select("id", F.col(key).alias("key"), "vector")
-    bucketed = own.mapInArrow(signed, f"id {kinds['id']}, key {kinds[key]}, band long")
-    met = bucketed.withColumnRenamed("id", "a").join(bucketed.withColumnRenamed("id", "b"), ["key", "band"]).where("a < b").select("a", "b").distinct()
-    left, right = own.select(F.col("id").alias("a"), F.col("vector").alias("va")), own.select(F.col("id").alias("b"), F.col("vector").alias("vb"))
-    scored = met.join(left, "a").join(right, "b").select("a", "b", dot(F.col("va"), F.col("vb")).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
-
-
-def clusters(items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, cluster) of every item: single linkage over the pairs, the cluster named by its least id."""
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                vectors = np.array(part.column("vector").to_pylist(), float)
+                signs = (vectors @ planes.T > 0).reshape(len(vectors), bands, bits)
+                codes = signs @ (1 << np.arange(bits)) + (np.arange(bands) << bits)
+                rows = pa.array(np.repeat(np.arange(len(vectors)), bands))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(rows), part.column("key").take(rows), pa.array(codes.ravel())], ["id", "key", "band"])
+
+    bucketed = many.mapInArrow(signed, f"id {kinds['id']}, key {kinds['key']}, band long")
+    left, right = bucketed.withColumnRenamed("id", "a"), bucketed.withColumnRenamed("id", "b")
+    met = left.join(right, (left["band"] == right["band"]) & left["key"].eqNullSafe(right["key"])).where("a < b").select("a", "b").distinct()
+    va, vb = many.select(F.col("id").alias("a"), F.col("vector").alias("va")), many.select(F.col("id").alias("b"), F.col("vector").alias("vb"))
+    scored = met.join(va, "a").join(vb, "b").select("a", "b", dot(F.col("va"), F.col("vb")).alias("similarity"))
+    return few.unionByName(scored.where(F.col("similarity") >= threshold))
+
+
+def clusters(items: DataFrame, pairs: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(id, cluster) of every item: single linkage over the pairs, the cluster named by its least id. `members` are the classes whose representatives the pairs have."""
     linked = connected_components(pairs, "a", "b")
-    return items.select("id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+    own = members if members is not None else items.select("id", F.col("id").alias("representative"))
+    return own.join(linked.withColumnRenamed("node", "representative"), "representative", "left").select("id", F.coalesce("component", "representative").alias("cluster"))
+
+
+def aggregated_statements(statements: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster, kind, statement, n_papers, n_statements) of statements (id, kind, text, paper_id) and their clusters.
+
+    The shortest text speaks for its cluster, of equals the first by id. The papers behind it stay rows: join
+    `members` for them.
+    """
+    told = statements.join(members, "id")
+    best = F.min(F.struct(F.length("text").alias("n"), "id", "text", "kind")).alias("best")
+    grouped = told.groupBy("cluster").agg(best, F.countDistinct("paper_id").alias("n_papers"), F.count("*").alias("n_statements"))
+    return grouped.select("cluster", "best.kind", F.col("best.text").alias("statement"), "n_papers", "n_statements")
 
 
 def canonical_labels(members: DataFrame) -> DataFrame:
@@ -83,11 +138,26 @@ def contradictions(found: DataFrame, opposed: tuple = OPPOSED) -> DataFrame:
     return told.where("opposed or relation_a = 'CONTRADICTS' or relation_b = 'CONTRADICTS'").select("source", "target", "relation_a", "relation_b", "support_a", "support_b")
 
 
-def sparse_concepts(concepts: DataFrame, found: DataFrame, min_support: int) -> DataFrame:
-    """(concept, best_support) of the concepts none of whose relations has `min_support` papers. A concept without relations has 0."""
-    ends = found.select(F.col("source").alias("concept"), "support").unionByName(found.select(F.col("target").alias("concept"), "support"))
+def relationship_evidence(triples: DataFrame, matches: DataFrame) -> DataFrame:
+    """(source, relation, target, paper_id, record_id, page): the records, and the pages they name, that a paper's triple rests on.
+
+    `triples` carry quote_id, `matches` (quote_id, record_id, pages). Rows, not lists: a relation may rest on any number of records.
+    """
+    told = triples.join(matches, "quote_id").select("source", "relation", "target", "paper_id", "record_id", F.explode_outer("pages").alias("page"))
+    return told.distinct()
+
+
+def sparse_concepts(mentions: DataFrame, found: DataFrame, min_support: int = 2) -> DataFrame:
+    """(concept, n_mentions, best_support) of the concepts that few papers mention and none of whose relations has many.
+
+    Few and many are below and from `min_support`. `mentions` are (concept, paper_id); the ends of relations count
+    as mentions when they are among them. A concept without relations has 0.
+    """
+    counted = mentions.groupBy("concept").agg(F.countDistinct("paper_id").alias("n_mentions"))
+    ends = found.select(F.explode(F.array("source", "target")).alias("concept"), "support")
     best = ends.groupBy("concept").agg(F.max("support").alias("best_support"))
-    return concepts.select("concept").distinct().join(best, "concept", "left").select("concept", F.coalesce("best_support", F.lit(0)).cast("long").alias("best_support")).where(F.col("best_support") < min_support)
+    told = counted.join(best, "concept", "left").select("concept", "n_mentions", F.coalesce("best_support", F.lit(0)).cast("long").alias("best_support"))
+    return told.where((F.col("n_mentions") < min_support) & (F.col("best_support") < min_support))
 
 
 def resolved_facets(mentions: DataFrame, fallback: str) -> DataFrame:
@@ -96,21 +166,83 @@ def resolved_facets(mentions: DataFrame, fallback: str) -> DataFrame:
     return first.select("concept", F.coalesce("facet", F.lit(fallback)).alias("facet"))
 
 
+#: Quotes of fewer than three words, which go to every task; more are refused.
+MAX_SHORT = 1000
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " ")
+
+
+def _seeds(found: Column, width: int) -> Column:
+    """The distinct hashes of the runs of `width` words."""
+    hashed = F.transform(found, lambda w, i: F.xxhash64(F.lit(width), w, *(F.get(found, i + k) for k in range(1, width))))
+    return F.array_distinct(F.slice(hashed, 1, F.greatest(F.lit(0), F.size(found) - (width - 1))))
+
+
 def quote_matches(quotes: DataFrame, texts: DataFrame, seed_words: int = 5) -> DataFrame:
     """(quote_id, text_id) of texts that contain a quote literally, case aside.
 
-    A quote's second to sixth word stand whole in any text that contains it: their hash is the key of an
-    equi-join, and the text is searched only where it meets. Quotes of fewer than seven words are searched for in
-    every text; they are few and broadcast by size.
+    The inner words of a quote stand whole in any text that contains it: the hash of the second and up to four more
+    is the key of an equi-join, and the text is searched only where it meets. Quotes of one or two words have no
+    inner words and are searched for in every text; there may be MAX_SHORT of them.
+    """
+    parsed = quotes.select("quote_id", F.lower("quote").alias("quote"), _words(F.col("quote")).alias("w")).where("quote <> ''").withColumn("width", F.least(F.lit(seed_words), F.size("w") - 2))
+    own = texts.select("text_id", F.lower("text").alias("text"), _words(F.col("text")).alias("w"))
+    widths = [r[0] for r in parsed.where("width > 0").select("width").distinct().orderBy("width").collect()]  # seed_words numbers at most
+    short = parsed.where("width <= 0").select("quote_id", "quote")
+    if (n := short.count()) > MAX_SHORT:
+        raise ValueError(f"{n} quotes of fewer than three words; at most {MAX_SHORT}")
+    direct = own.join(F.broadcast(short), F.contains(own["text"], short["quote"])).select("quote_id", "text_id")
+    for width in widths:
+        inner = [F.get("w", F.lit(1 + k)) for k in range(width)]
+        seeds = parsed.where(F.col("width") == width).select("quote_id", "quote", F.xxhash64(F.lit(width), *inner).alias("seed"))
+        met = own.select("text_id", F.explode(_seeds(F.col("w"), width)).alias("seed")).join(seeds, "seed").select("quote_id", "quote", "text_id").distinct()
+        direct = direct.unionByName(met.join(own.select("text_id", "text"), "text_id").where(F.contains("text", F.col("quote"))).select("quote_id", "text_id"))
+    return direct.distinct()
+
+
+def resolved_quotes(quotes: DataFrame, records: DataFrame) -> DataFrame:
+    """(quote_id, record_id, pages) of quotes (quote_id, paper_id, quote) and records (record_id, paper_id, text, pages) of the same paper, one of which contains the other, case aside.
+
+    Empty texts match nothing. The join is by paper; containment is its condition.
+    """
+    folded = lambda c: F.replace(F.lower(F.trim(c)), F.lit("ß"), F.lit("ss"))
+    a = quotes.select("quote_id", "paper_id", folded(F.col("quote")).alias("_quote")).where("_quote <> ''")
+    b = records.select("record_id", F.col("paper_id").alias("_paper"), "pages", folded(F.col("text")).alias("_text")).where("_text <> ''")
+    met = (F.col("paper_id") == F.col("_paper")) & (F.contains("_text", F.col("_quote")) | F.contains("_quote", F.col("_text")))
+    return a.join(b, met).select("quote_id", "record_id", "pages")
+
+
+def stable_id(kind: str, *parts: Column) -> Column:
+    """The kind and 24 hexadecimal digits of its parts, as one JSON array of strings."""
+    return F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(F.to_json(F.array(*(p.cast("string") for p in parts))), 256), 1, 24))
+
+
+def landscape_violations(papers: DataFrame, groups: DataFrame, found: DataFrame, support: DataFrame, opposed: DataFrame, sparse: DataFrame) -> DataFrame:
+    """(rule, key, detail) of what does not hold together in a landscape.
+
+    papers (paper_id), groups (concept, n_papers), relations `found` (source, relation, target, support) with their
+    papers `support` (source, relation, target, paper_id), contradictions `opposed`, `sparse` (concept, n_mentions, best_support).
     """
-    parsed = quotes.select("quote_id", F.lower("quote").alias("quote"), F.split(F.trim(F.regexp_replace(F.lower("quote"), r"\s+", " ")), " ").alias("w"))
-    seeds = parsed.where(F.size("w") >= seed_words + 2).select("quote_id", "quote", F.xxhash64(F.array_join(F.slice("w", 2, seed_words), " ")).alias("seed"))
-    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")
-    own = texts.select("text_id", F.lower("text").alias("text"), words.alias("w"))
-    starts = F.when(F.size("w") >= seed_words, F.sequence(F.lit(1), F.size("w") - seed_words + 1)).otherwise(F.array().cast("array<int>"))
-    shingled = own.select("text_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, seed_words), " "))))).alias("seed"))
-    met = shingled.join(seeds, "seed").select("quote_id", "quote", "text_id").distinct()
-    long = met.join(own.select("text_id", "text"), "text_id").where(F.contains("text", F.col("quote"))).select("quote_id", "text_id")
-    short = parsed.where(F.size("w") < seed_words + 2).select("quote_id", "quote")
-    direct = own.join(short, F.contains(own["text"], short["quote"])).select("quote_id", "text_id")
-    return long.unionByName(direct).distinct()
+    from corpusloom.operators import gates
+
+    ends = found.select(F.explode(F.array("source", "target")).alias("concept"), "support")
+    counted = support.groupBy("source", "relation", "target").agg(F.countDistinct("paper_id").alias("_n"))
+    told = found.join(counted, ["source", "relation", "target"], "left")
+    sides = opposed.select("source", "target", F.explode(F.array(F.struct(F.col("relation_a").alias("relation"), F.col("support_a").alias("support")), F.struct(F.col("relation_b").alias("relation"), F.col("support_b").alias("support")))).alias("s")).select("source", "target", "s.*")
+    unmatched = sides.join(found, ["source", "relation", "target", "support"], "left_anti")
+    best = ends.groupBy("concept").agg(F.max("support").alias("_best"))
+    checked = sparse.join(groups.select("concept", "n_papers"), "concept", "left").join(best, "concept", "left")
+    wrong = ~F.col("n_mentions").eqNullSafe(F.col("n_papers")) | (F.col("best_support") != F.coalesce("_best", F.lit(0)))
+    key = F.concat_ws("|", "source", "relation", "target")
+    return gates.gate(
+        gates.repeated(papers, ["paper_id"], "duplicate_paper"),
+        gates.repeated(groups, ["concept"], "duplicate_concept"),
+        gates.dangling(ends, "concept", groups, "concept", "unknown_concept"),
+        gates.dangling(support, "paper_id", papers, "paper_id", "unknown_paper"),
+        gates.repeated(found, ["source", "relation", "target"], "duplicate_relation"),
+        gates.violations(told, "support_count", ~F.col("support").eqNullSafe(F.coalesce("_n", F.lit(0))), key),
+        gates.violations(unmatched, "contradiction_side", F.lit(True), key),
+        gates.violations(checked, "sparse_counts", wrong, F.col("concept")),
+    )
