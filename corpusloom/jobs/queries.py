@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.jobs.registry import QUERIES, SQL, query  # noqa: F401
-from corpusloom.operators import decisions, gates, graph, merging, packing, reviews, search
+from corpusloom.operators import decisions, gates, graph, merging, packing, search
+from corpusloom.operators import reviews as review_operators
 from corpusloom.sources.tables import table
 
 #: The stated queries of the search jobs: text, and the vector of an embedding.
@@ -334,14 +335,14 @@ def lineage_breaks(spark: SparkSession, d: str) -> DataFrame:
 def search_hints(spark: SparkSession, d: str) -> DataFrame:
     """How many distinct tokens the records of each venue offer as hints."""
     matches = table(spark, d, "documents").select(F.col("source").alias("paper_id"), "text")
-    return reviews.hint_tokens(matches).select("paper_id", F.size("hints").cast("long").alias("n_hints"))
+    return review_operators.hint_tokens(matches).select("paper_id", F.size("hints").cast("long").alias("n_hints"))
 
 
 @query("""SELECT l_suppkey AS paper_id, array_to_string(list_sort(list(DISTINCT CASE l_returnflag WHEN 'R' THEN 'cited' ELSE 'compared' END)), ',') AS roles, count(DISTINCT l_partkey) AS n_candidates, count(DISTINCT l_linenumber) AS n_pages FROM lineitem GROUP BY l_suppkey""")
 def paper_inventory(spark: SparkSession, d: str) -> DataFrame:
     """In which roles, for which candidates and with which pages each paper is used."""
     line = table(spark, d, "lineitem").select("l_returnflag", F.col("l_suppkey").alias("paper_id"), F.col("l_partkey").alias("candidate"), F.col("l_linenumber").alias("page"))
-    told = reviews.inventory(("cited", line.where("l_returnflag = 'R'")), ("compared", line.where("l_returnflag <> 'R'")))
+    told = review_operators.inventory(("cited", line.where("l_returnflag = 'R'")), ("compared", line.where("l_returnflag <> 'R'")))
     return told.select("paper_id", F.array_join("roles", ",").alias("roles"), F.size("candidates").cast("long").alias("n_candidates"), F.size("pages").cast("long").alias("n_pages"))
 
 
@@ -352,7 +353,7 @@ def control_coverage(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders")
     pool = search.ranked(orders.select(F.col("o_custkey").alias("target"), F.col("o_orderkey").alias("paper"), F.col("o_totalprice").alias("score")), 8, ["target"], key="paper")
     controls = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("target"), F.col("o_orderkey").alias("paper"))
-    return reviews.control_coverage(pool, controls, 3).withColumn("rank", F.coalesce("rank", F.lit(0)).cast("long"))
+    return review_operators.control_coverage(pool, controls, 3).withColumn("rank", F.coalesce("rank", F.lit(0)).cast("long"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'removed' WHEN o_orderpriority = '5-LOW' THEN 'changed' ELSE 'same' END AS change FROM orders""")
@@ -360,7 +361,7 @@ def proposal_changes(spark: SparkSession, d: str) -> DataFrame:
     """Proposals (orders) whose science changed between two versions; the date only explains."""
     old = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderdate")
     new = table(spark, d, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("o_orderpriority"), F.date_trunc("year", "o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
-    return reviews.scientific_changes(old, new, "o_orderkey", ["o_orderdate"])
+    return review_operators.scientific_changes(old, new, "o_orderkey", ["o_orderdate"])
 
 
-from corpusloom.jobs import analyses, landscape  # noqa: E402, F401  its queries
+from corpusloom.jobs import analyses, landscape, reviews  # noqa: E402, F401  its queries
