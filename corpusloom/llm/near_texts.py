@@ -6,13 +6,14 @@ complete for so many. So texts have further keys, and every candidate is verifie
 
 A text has BANDS keys of ROWS minima of its shingles' hashes each; two texts at 0.8 share a key with probability
 1 - (1 - 0.8^4)^14 = 0.9994. In buckets of up to HOT texts these are candidates. Texts of larger buckets, as those
-that share a common passage, get other keys: of its n shingles, rarest first, the first n - 0.8 n + 1. Two texts
-similar to 0.8 share one of these for certain, and a passage that many texts share is none of the rarest.
+that share a common passage, get other keys: of its n shingles, rarest first, the first n - 0.8 n + 1, of which the
+first n - 0.89 n + 1 are its core (2 * 0.8 / 1.8 = 0.89). Two texts similar to 0.8 share for certain a key that is core
+to the smaller one, and a passage that many texts share is none of the rarest.
 
 Candidates are compared shingle by shingle, never all with all: in each round a bucket's members are compared with
-its centres only, of which every round has twice as many. A text that is near to one before it goes, and a centre
-that was compared with all members leaves the bucket. Those that stay stay in their buckets until they were compared,
-so no two of them that share a key are near.
+its centres only, of which every round has twice as many, chosen among those to which the key is core. A text that is
+near to one before it goes, and a centre that was compared with all members leaves the bucket. Those that stay stay
+in their buckets until they were compared, so no two of them that share a key are near.
 """
 
 from __future__ import annotations
@@ -76,9 +77,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         texts = part.column("text").cast(pa.binary()).to_pylist()
         same = [xxhash.xxh3_64_intdigest(b" ".join(_words(t))) - (1 << 63) for t in texts]
-        bands = [band_keys(shingles(t)) for t in texts]
+        found = [shingles(t) for t in texts]
+        bands, sizes = [band_keys(f) for f in found], [len(f) for f in found]
         prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(same, pa.int64()), pa.array(prints), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "same", "print", "bands"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(same, pa.int64()), pa.array(prints), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["doc_id", "row", "same", "print", "bands", "size"])
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +93,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rarest(held: DataFrame) -> DataFrame:
-    """(row, key): of the n shingles of each text (row, text), rarest among all these texts first, the first n - 0.8 n + 1 that another text has too.
+    """(row, key, core, size): of the n shingles of each text (row, text), rarest among all these texts first, those of the first n - 0.8 n + 1 that another text has too.
 
     Shingles of one text only come first and need no key: they take part in the count.
     """
@@ -100,8 +102,9 @@ def rarest(held: DataFrame) -> DataFrame:
     counts = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = single.join(counts, "key").groupBy("row", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("shared"))
     alone = F.col("size") - F.size("shared")
-    first = F.col("size") - F.ceil(F.col("size") * F.lit(SIMILARITY) - 1e-9) + 1 - alone
-    return shared.select("row", F.explode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), first.cast("int")))).alias("s")).select("row", "s.key")
+    prefix = lambda share: (F.col("size") - F.ceil(F.col("size") * F.lit(share) - 1e-9) + 1 - alone).cast("int")
+    first = shared.select("row", "size", prefix(2 * SIMILARITY / (1 + SIMILARITY)).alias("core"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), prefix(SIMILARITY)))).alias("pos", "s"))
+    return first.select("row", "s.key", (F.col("pos") < F.col("core")).alias("core"), "size")
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,18 +127,20 @@ def _near_later(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def dropped(members: DataFrame, held: DataFrame) -> list[DataFrame]:
-    """Rows of the texts that are near to an earlier one, of members (key, place), place ending in the row, and texts (row, text)."""
+    """Rows of the texts that are near to an earlier one, of members (key, place, core, size), place ending in the row, and texts (row, text)."""
     active, gone, turn = members, [], 0
     while True:
-        sizes = active.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        active = cut(active.select("key", "place").join(sizes, "key"))
+        sizes = active.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("core").alias("some")).where("n > 1 and some").select("key", "n")
+        active = cut(active.select("key", "place", "core", "size").join(sizes, "key"))
         if active.isEmpty():
             return gone
         small = F.lit(turn > 0) & (F.col("n") <= SMALL)
-        some = active.where(~small).groupBy("key", F.pmod(F.hash("place.row"), F.lit(1 << min(turn, 30)))).agg(F.min("place").alias("centre")).select("key", "centre")
-        centres = cut(some.unionByName(active.where(small).select("key", F.col("place").alias("centre"))))
+        own = active.where("core").select("key", "n", F.struct("place", "size").alias("centre"))
+        some = own.where(~small).groupBy("key", F.pmod(F.hash("centre.place.row"), F.lit(1 << min(turn, 30)))).agg(F.min("centre").alias("centre")).select("key", "centre")
+        centres = cut(some.unionByName(own.where(small).select("key", "centre")).select("key", F.col("centre.place").alias("centre"), F.col("centre.size").alias("centre_size")))
         before = F.col("centre") < F.col("place")
-        met = active.join(centres, "key").where("centre.row <> place.row")
+        alike = (F.least("size", "centre_size") >= F.greatest("size", "centre_size") * F.lit(SIMILARITY) - 1e-9) & (F.col("core") | (F.col("centre_size") <= F.col("size")))
+        met = active.join(centres, "key").where((F.col("centre.row") != F.col("place.row")) & alike)
         pairs = met.select(F.when(before, F.col("centre.row")).otherwise(F.col("place.row")).alias("earlier"), F.when(before, F.col("place.row")).otherwise(F.col("centre.row")).alias("later")).distinct()
         near = cut(_near_later(pairs, held))
         gone.append(near)
@@ -153,19 +158,19 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """
     whole = F.xxhash64(*docs.columns).alias("row")
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole, F.col("text").cast("string").alias("text"))
-    signed = cut(told.mapInArrow(_signed, "doc_id long, row long, same long, print long, bands array<long>"))
+    signed = cut(told.mapInArrow(_signed, "doc_id long, row long, same long, print long, bands array<long>, size int"))
     place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")
-    distinct = cut(signed.groupBy("same").agg(F.min(F.struct(place.alias("place"), "print", "bands")).alias("first")).select("first.*"))
-    prints = distinct.groupBy("print").agg(F.min("place").alias("place"))
+    distinct = cut(signed.groupBy("same").agg(F.min(F.struct(place.alias("place"), "print", "bands", "size")).alias("first")).select("first.*"))
+    prints = distinct.groupBy("print").agg(F.min(F.struct("place", "size")).alias("first")).select("print", "first.*")
     links = near_prints(prints.select("print", F.col("print").alias("node"))).select(F.explode(F.array("node_a", "node_b")).alias("print"), F.xxhash64(F.lit("link"), "node_a", "node_b").alias("key"))
-    members = distinct.select("place", F.explode(F.concat("bands", F.array(F.xxhash64(F.lit("print"), "print")))).alias("key"))
-    members = members.unionByName(links.join(prints, "print").select("place", "key"))
+    members = distinct.select("place", "size", F.explode(F.concat("bands", F.array(F.xxhash64(F.lit("print"), "print")))).alias("key"))
+    members = members.unionByName(links.join(prints, "print").select("place", "size", "key"))
     members = cut(members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     asked = members.select(F.col("place.row").alias("row")).distinct()
     held = cut(told.select("row", "text").join(asked, "row", "left_semi").dropDuplicates(["row"]))
     hot = cut(members.where(F.col("n") > HOT).select("place", F.col("place.row").alias("row")).distinct())
-    keyed = rarest(held.join(hot, "row", "left_semi")).join(hot, "row").select("place", "key")
-    members = members.where(F.col("n") <= HOT).select("place", "key").unionByName(keyed)
+    keyed = rarest(held.join(hot, "row", "left_semi")).join(hot, "row").select("place", "size", "key", "core")
+    members = members.where(F.col("n") <= HOT).select("place", "size", "key", F.lit(True).alias("core")).unionByName(keyed)
     kept = distinct.select(F.col("place.row").alias("_kept_row"))
     if gone := dropped(members, held):
         kept = kept.join(reduce(DataFrame.unionByName, gone).distinct(), F.col("_kept_row") == F.col("row"), "left_anti")

@@ -2,9 +2,10 @@
 
 Pre-tokens are found by a deterministic transducer over character classes. A text is cut into chunks; stepping
 all states through a chunk gives its state map; the maps compose associatively, so a parallel prefix scan over
-them gives the state in which each chunk begins, and a second pass marks where pre-tokens start. The accepting
-transition of a pre-token emits the number of tokens that its byte-pair merges leave, which a second transducer,
-a trie over the symbols that is grown as words are met, holds at the word's last state.
+them gives the state in which each chunk begins, and a second pass marks where pre-tokens start. What the transition
+that ends a pre-token emits is the number of tokens that its byte-pair merges leave. That number is no property of a
+transition between character classes: it is computed for each different word by the merges, for many words at once,
+and kept by the word in a bounded table of the worker.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import chunks, decontaminate, language, licenses, mixing, near_texts, quality, simhash, suffixes, surrogates, token_counts
 
+chunks_module = chunks
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names clash with what the operators add.
 EXTRA = ("size", "kept", "print", "row", "target", "n_entities", "found", "component_id", "given", "range", "key", "one")
@@ -236,6 +237,48 @@ def test_code_lengths_are_those_of_the_tree():
     assert model.code_lengths(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0, 0] == pytest.approx(total, rel=1e-5)
 
 
+def ppm(counts, context, byte, told):
+    """The probability of a byte after a context by the definition: method C with exclusion, contexts as bytes, the longest first. `told` keeps what was computed."""
+    if (context, byte) not in told:
+        told[context, byte] = escaped(counts.get(context, {}), lambda b: ppm(counts, context[1:], b, told) if context else 1 / 256, byte)
+    return told[context, byte]
+
+
+def escaped(own, shorter, byte):
+    if not own:
+        return shorter(byte)
+    n, kinds = sum(own.values()), len(own)
+    if byte in own:
+        return own[byte] / (n + kinds)
+    free = sum(shorter(b) for b in range(256) if b not in own)
+    return kinds / (n + kinds) * shorter(byte) / free
+
+
+def test_code_lengths_are_those_of_the_definition():
+    """Two small languages, contexts counted apart, against the recursion over probabilities."""
+    texts = {"x": ["abracadabra abra", "banana cabana Banana", "zebra"], "y": ["der die das dem", "den dessen deren", "ab und an"]}
+    grams, counts, total = [], {}, Counter()
+    for lang, own in texts.items():
+        counts[lang] = defaultdict(Counter)
+        for text in own:
+            raw = b"\0\0\0" + text.lower().encode()
+            for k in range(3, len(raw)):
+                grams.append((lang, int.from_bytes(raw[k - 3 : k + 1], "big")))
+                total[raw[k - 3 : k]] += 1
+                for order in range(4):
+                    counts[lang][raw[k - order : k]][raw[k]] += 1
+    for lang in counts:  # rare contexts of order three have no state
+        for context in [c for c in counts[lang] if len(c) == 3 and total[c] < language.MIN_SEEN]:
+            del counts[lang][context]
+    model = language.compile_model([(lang, g, n) for (lang, g), n in Counter(grams).items()])
+    told = {lang: {} for lang in counts}
+    for text in ("a banana abra", "die Zebra und q?", "dem"):
+        raw = b"\0\0\0" + text.lower().encode()
+        expected = [-sum(np.log(ppm(counts[lang], raw[k - 3 : k], raw[k], told[lang])) for k in range(3, len(raw))) for lang in model.langs]
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert model.code_lengths(data, np.array([0, len(data)]))[0] == pytest.approx(expected, rel=1e-4)
+
+
 def brute_removed(texts, length):
     seen = Counter(b[k : k + length] for _, t in texts for b in [(t or "").encode()] for k in range(len(b) - length + 1))
     for i, t in texts:
@@ -283,6 +326,49 @@ def test_chunking_resists_shifts(spark):
         assert k < 31 or direct == int(chunks.gear(data)[k])
 
 
+def brute_chunks(texts):
+    """Chunks by rolling over each byte, digests by counting all of them, runs by walking over the chunks."""
+    import xxhash
+
+    own = {}
+    for i, text in texts:
+        raw, value, start, chunks = (text or "").encode(), 0, 0, []
+        for k, b in enumerate(raw):
+            value = (value << 1) + int(chunks_module.GEAR[b]) & 0xFFFFFFFF
+            if (k >= 31 and value < 2**32 // chunks_module.MEAN) or k + 1 - start == chunks_module.MAX_CHUNK or k + 1 == len(raw):
+                chunks.append((start, k + 1, xxhash.xxh3_64_intdigest(raw[max(0, start - 32) : k + 1])))
+                start = k + 1
+        own[i] = raw, chunks
+    places = defaultdict(list)
+    for i, (_, found) in sorted(own.items()):
+        for c in found:
+            places[c[2]].append(i)
+    for i, (raw, found) in own.items():
+        marks, runs, seen, gone, n_dup = [c for c in found if len(places[c[2]]) > 1], [], set(), bytearray(len(raw)), 0
+        for c in marks:
+            if runs and runs[-1][-1][1] == c[0]:
+                runs[-1].append(c)
+            else:
+                runs.append([c])
+        for run in runs:
+            counts = run[-1][1] - run[0][0] >= chunks_module.MIN_RUN or run[-1][1] - run[0][0] == len(raw)
+            n_dup += len(run) * counts
+            for a, b, digest in run:
+                if counts and (places[digest][0] < i or digest in seen):
+                    gone[a:b] = b"\1" * (b - a)
+                seen.add(digest)
+        spans = sum(1 for k, x in enumerate(gone) if x and (not k or not gone[k - 1]))
+        yield i, len(raw), len(found), n_dup, sum(gone), spans, bytes(b for b, x in zip(raw, gone, strict=True) if not x).decode("utf-8", "ignore")
+
+
+def test_chunks_against_brute_force(spark):
+    r = random.Random(77)
+    shared = [prose(r.randint(20, 300), seed=700 + k) for k in range(6)]
+    texts = [(i, " ".join(x for _ in range(r.randint(0, 4)) for x in (prose(r.randint(1, 60)), r.choice(shared)[r.randint(0, 40) :]))) for i in range(60)]
+    texts += [(100, "é" * 3000), (101, "é" * 3000), (102, "same line\n" * 40), (103, None), (104, texts[3][1])]
+    assert rows(chunks.marked(frame(spark, texts))) == sorted(brute_chunks(texts), key=str)
+
+
 def test_short_passages_are_met(spark):
     """Of many passages of 51 words that two texts share, 97 in a hundred are marked in both."""
     r = random.Random(51)
