@@ -364,4 +364,4 @@ def proposal_changes(spark: SparkSession, d: str) -> DataFrame:
     return review_operators.scientific_changes(old, new, "o_orderkey", ["o_orderdate"])
 
 
-from corpusloom.jobs import analyses, landscape, reviews  # noqa: E402, F401  its queries
+from corpusloom.jobs import analyses, indexing, landscape, reviews  # noqa: E402, F401  its queries

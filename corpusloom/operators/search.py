@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import all_tokens, dot
+from corpusloom.sources.tables import cut
 
 RRF_K, DECAY = 60, 0.5
 #: The usual constants of BM25.
@@ -52,7 +53,8 @@ def ranked(hits: DataFrame, k: int, by: Sequence[str], score: str = "score", key
 def bm25(records: DataFrame, queries: dict[str, str], k: int, text: str = "text") -> DataFrame:
     """(query_id, record_id, score, rank) of the records of positive score. Statistics are those of all `records`.
 
-    Only the occurrences of query terms leave the scan; document counts are aggregated map-side.
+    The texts are read once: what leaves the scan are the lengths of the records and the occurrences of query terms,
+    which are kept, for statistics and scores both rest on them.
     """
     import re
 
@@ -62,7 +64,7 @@ def bm25(records: DataFrame, queries: dict[str, str], k: int, text: str = "text"
         return records.sparkSession.createDataFrame([], f"query_id string, record_id {records.schema['record_id'].dataType.simpleString()}, score double, rank int")
     wanted = F.array(*map(F.lit, every))
     parsed = records.select("record_id", all_tokens(F.col(text)).alias("found"))
-    counted = parsed.select("record_id", F.size("found").alias("length"), F.filter("found", lambda t: F.array_contains(wanted, t)).alias("hits"))
+    counted = cut(parsed.select("record_id", F.size("found").alias("length"), F.filter("found", lambda t: F.array_contains(wanted, t)).alias("hits")))
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length")).first()  # two numbers
     per_term = counted.select("record_id", "length", F.explode("hits").alias("term")).groupBy("record_id", "length", "term").agg(F.count("*").alias("tf"))
     df = per_term.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as query terms
