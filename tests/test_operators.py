@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import models
 from corpusloom.functions import text as T
-from corpusloom.operators import decisions, flatten, gates, graph, merging, packing, ranking, reviews, search
+from corpusloom.operators import decisions, evidence, flatten, gates, graph, merging, packing, ranking, reviews, search
 from corpusloom.operators.components import connected_components
 from corpusloom.streaming import status
 
@@ -127,13 +127,16 @@ def test_graph(spark):
     found = graph.relationships(triples)
     assert rows(found) == [("caching", "HURTS", "latency", 1), ("caching", "REDUCES", "latency", 2)]
     assert rows(graph.contradictions(found)) == [("caching", "latency", "HURTS", "REDUCES", 1, 2)]
-    concepts = spark.createDataFrame([("caching",), ("offloading",)], "concept string")
-    assert rows(graph.sparse_concepts(concepts, found, 2)) == [("offloading", 0)]
+    mentions = spark.createDataFrame([("caching", f"P{i}") for i in (1, 2, 3)] + [("latency", "P1"), ("offloading", "P4"), ("batching", "P4"), ("batching", "P5")], "concept string, paper_id string")
+    assert rows(graph.sparse_concepts(mentions, found, 2)) == [("offloading", 1, 0)]  # latency has a relation of two papers, batching two papers
     labels = spark.createDataFrame([(1, "Long label", 0), (1, "KV", 1), (1, "ab", 2)], "cluster int, label string, pos int")
     assert rows(graph.canonical_labels(labels)) == [(1, "KV", "kv")]
-    quotes = spark.createDataFrame([(1, "ALPHA beta gamma delta eps zeta eta"), (2, "x"), (3, "alpha beta gamma delta eps zeta theta")], "quote_id int, quote string")
+    quotes = spark.createDataFrame([(1, "ALPHA beta gamma delta eps zeta eta"), (2, "x"), (3, "alpha beta gamma delta eps zeta theta"), (4, "pha beta gam"), (5, ""), (6, None)], "quote_id int, quote string")
     texts = spark.createDataFrame([(1, "so alpha beta gamma delta eps zeta etas."), (2, "box"), (3, None)], "text_id int, text string")
-    assert rows(graph.quote_matches(quotes, texts)) == [(1, 1), (2, 2)]
+    assert rows(graph.quote_matches(quotes, texts)) == [(1, 1), (2, 2), (4, 1)]
+    records = spark.createDataFrame([("r1", 1, "Long text that says KV caches help.", [3]), ("r2", 1, "caches", [4]), ("r3", 2, "KV caches help", [5]), ("r4", 1, " ", [6])], "record_id string, paper_id int, text string, pages array<int>")
+    asked = spark.createDataFrame([("q", 1, "kv CACHES help"), ("e", 1, " ")], "quote_id string, paper_id int, quote string")
+    assert {(r["quote_id"], r["record_id"]) for r in graph.resolved_quotes(asked, records).collect()} == {("q", "r1"), ("q", "r2")}
 
 
 def test_similar_pairs(spark):
@@ -145,9 +148,15 @@ def test_similar_pairs(spark):
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     items = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(vectors)], "id int, key int, vector array<double>")
     expected = {(i, j) for i in range(80) for j in range(i + 1, 80) if i % 2 == j % 2 and vectors[i] @ vectors[j] >= 0.8}
-    found = graph.similar_pairs(items, 0.8)
-    assert {(r["a"], r["b"]) for r in found.collect()} == expected and expected
+    for exact in (graph.EXACT, 10):  # all with all, and hashed
+        found = graph.similar_pairs(items, 0.8, exact=exact)
+        assert {(r["a"], r["b"]) for r in found.collect()} == expected and expected
     assert graph.clusters(items, found).count() == 80
+    copies = items.unionByName(items.where("id < 10").withColumn("id", F.col("id") + 100))
+    assert {(r["a"], r["b"]) for r in graph.similar_pairs(copies, 0.8).collect()} == expected  # copies make no pairs
+    told = {r["id"]: r["cluster"] for r in graph.clusters(copies, found, graph.classes(copies)).collect()}
+    assert len(told) == 90 and all(told[i] == told[i + 100] for i in range(10))
+    assert graph.hashing(10**9, 0.8)[0] > graph.hashing(10**5, 0.8)[0] > 8
 
 
 @pytest.mark.parametrize("cap", [1, 3, 4, 12])
@@ -170,9 +179,11 @@ def test_packing(spark):
     assert [r["paper"] for r in chosen if r["chosen"]] == ["p1", "p9", "p3", "p2"]
     items = spark.createDataFrame([([(5,), (4,), (1,), (2,)],)], "x array<struct<size:long>>")
     assert [x["size"] for x in items.select(packing.greedy_pack(F.col("x"), 8)).first()[0]] == [5, 1, 2]
-    many = spark.createDataFrame([("t", "p", f"/x/{i}", i / 10, i % 3 == 0, "v" * (30 + i)) for i in range(12)], "thread string, paper string, path string, relevance double, boundary boolean, value string")
+    many = spark.createDataFrame([("t", "p", f"/x/{i}", i / 10, i % 3 == 0, "v" * (30 + i), "c" * i) for i in range(12)], "thread string, paper string, path string, relevance double, boundary boolean, value string, context string")
     got = packing.bundle(many, 200, boundary_share=0.5).first()
     assert got["used"] <= 200 and got["omitted"] and any(int(p[3:]) % 3 == 0 for p in got["kept"])
+    items = packing.bundle_items(packing.bundle(many, 200, boundary_share=0.5, longest=35), many, 35).orderBy("evidence_id").collect()
+    assert [r["evidence_id"] for r in items] == [f"t-e{k + 1:03d}" for k in range(len(items))] and all(len(r["value"] + r["context"]) <= 35 for r in items) and any(r["truncated"] for r in items)
     assert rows(packing.bundle(many.repartition(7), 200, boundary_share=0.5)) == rows(packing.bundle(many.coalesce(1), 200, boundary_share=0.5))
 
 
@@ -200,9 +211,9 @@ def test_gates(spark):
 
 
 def test_decisions(spark):
-    evidence = spark.createDataFrame([("t", "a", "supports"), ("t", "b", "supports"), ("t", "b", "contradicts"), ("t", "c", "qualifies"), ("t", "c", "supports"), ("t", "z", "supports")], "thread string, paper string, stance string")
+    stances = spark.createDataFrame([("t", "a", "supports"), ("t", "b", "supports"), ("t", "b", "contradicts"), ("t", "c", "qualifies"), ("t", "c", "supports"), ("t", "z", "supports")], "thread string, paper string, stance string")
     papers = spark.createDataFrame([("t", p) for p in "abcd"], "thread string, paper string")
-    got = decisions.agreement(evidence, papers)
+    got = decisions.agreement(stances, papers)
     assert rows(got) == [("t", 1, 1, 0, 1, 1)] and got.select(decisions.confidence()).first()[0] == "low"
     kinds = spark.createDataFrame([(0, False, 0), (1, False, 0), (2, False, 0), (2, True, 2), (1, True, 2)], "n int, tension boolean, sides int").select(decisions.candidate_kind(F.col("n"), F.col("tension"), F.col("sides"))).collect()
     assert [k[0] for k in kinds] == ["diagnostic", "observation", "finding", "tension", "diagnostic"]
@@ -233,7 +244,7 @@ def test_flatten_contract(spark):
 
     def sentinel(kind, path):
         if isinstance(kind, t.StructType):
-            return {f.name: sentinel(f.dataType, f"{path}_{f.name}") for f in kind if f.name != "source_locations"}
+            return {f.name: sentinel(f.dataType, f"{path}_{f.name}") for f in kind if not f.name.endswith("source_locations")}
         if isinstance(kind, t.ArrayType):
             return [sentinel(kind.elementType, path)]
         return f"tok{path}"
@@ -253,9 +264,15 @@ def test_flatten_contract(spark):
         for m in r.meta:
             assert by[name]["meta"][m] == f"{path}_{m}" and f"{path}_{m}" not in by[name]["text"]
     assert {r["record_id"] for r in got} == {f"p1#{x}/0" for x in by}
-    candidates = flatten.evidence(papers).collect()
-    assert {c["kind"] for c in candidates} == {e[0] for e in flatten.EVIDENCE}
-    assert {c["path"] for c in candidates if c["kind"] == "experiment"} == {"/experiments/0"}
+    texts = " ".join(r["text"] for r in got)
+    words = set(re.findall(r"tok\w+", texts)) | {v for r in got for v in r["meta"].values()}
+    told = flatten.buckets()
+    assert not words & {"tok_" + f.replace("[]", "").replace(".", "_") for f in told["ONDEMAND"]}
+    assert {f for own in told.values() for f in own} == {f for f in flatten.leaves(flatten.schema()) if "source_locations" not in f} and len(told["ONDEMAND"]) == 27
+    found = {c["value_path"]: c for c in evidence.candidates(papers).where("paper_id = 'p1'").collect()}
+    assert len(found) == 18 and found["/experiments/0/results/0"]["provenance_path"] == "/experiments/0" and found["/method/high_level_idea"]["provenance_path"] == "/method/architecture"
+    assert found["/limitations/inferred/0"]["label"] == "extractor-inferred limitation (severity tok_limitations_inferred_severity)" and found["/failure_cases/0"]["boundary"] and not found["/interesting_findings/0"]["boundary"]
+    assert "tok_experiments_results_raw_value" in found["/experiments/0/results/0"]["source_value"] and "setup: tok_experiments_setup" in found["/experiments/0"]["context"]
 
 
 def test_models(spark):
