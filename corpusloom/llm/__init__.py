@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from corpusloom.llm import chunks, decontaminate, language, licenses, mixing, quality, simhash, suffixes, surrogates, token_counts
+    from corpusloom.llm import chunks, decontaminate, language, licenses, mixing, quality, ranked_search, simhash, suffixes, surrogates, token_counts
 
     found = (
         licenses.op1_license_scan,
@@ -17,11 +17,12 @@ def queries() -> dict:
         simhash.op8_simhash_near_dedup,
         decontaminate.op9_decontaminate,
         surrogates.op10_pii_surrogates,
+        ranked_search.op11_ranked_search,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from corpusloom.llm import mixing, quality
+    from corpusloom.llm import mixing, quality, ranked_search
 
-    return {"op2_quality_rules": quality.OP2_SQL, "op4_mix_sources": mixing.OP4_SQL}
+    return {"op2_quality_rules": quality.OP2_SQL, "op4_mix_sources": mixing.OP4_SQL, "op11_ranked_search": ranked_search.OP11_SQL}
