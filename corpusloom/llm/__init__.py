@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from corpusloom.llm import chunks, decontaminate, language, licenses, mixing, quality, ranked_search, simhash, suffixes, surrogates, token_counts
+    from corpusloom.llm import chunks, decontaminate, language, licenses, mixing, prefix_trie, quality, ranked_search, simhash, suffixes, surrogates, token_counts, warc
 
     found = (
         licenses.op1_license_scan,
@@ -18,11 +18,13 @@ def queries() -> dict:
         decontaminate.op9_decontaminate,
         surrogates.op10_pii_surrogates,
         ranked_search.op11_ranked_search,
+        prefix_trie.op12_prefix_trie,
+        warc.op13_warc,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from corpusloom.llm import mixing, quality, ranked_search
+    from corpusloom.llm import mixing, prefix_trie, quality, ranked_search, warc
 
-    return {"op2_quality_rules": quality.OP2_SQL, "op4_mix_sources": mixing.OP4_SQL, "op11_ranked_search": ranked_search.OP11_SQL}
+    return {"op2_quality_rules": quality.OP2_SQL, "op4_mix_sources": mixing.OP4_SQL, "op11_ranked_search": ranked_search.OP11_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL, "op13_warc": warc.OP13_SQL}
