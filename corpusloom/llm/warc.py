@@ -47,11 +47,11 @@ def _identity(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
-def _record(kind: str, record_id: Column, block: Column, content_type: str, date: str, uri: Column, *more: tuple[str, Column]) -> Column:
+def _record(kind: str, record_id: Column, block: Column, content_type: str, date: str, uri: Column, *more: tuple[str, Column], end: str = END) -> Column:
     """A WARC record; headers whose value is null are left out."""
     headers = [("WARC-Type", F.lit(kind)), ("WARC-Record-ID", record_id), ("WARC-Date", F.lit(date)), ("WARC-Target-URI", uri), *more, ("Content-Type", F.lit(content_type)), ("Content-Length", F.octet_length(block).cast("string"))]
     lines = F.concat_ws("\r\n", F.lit(OPENING + VERSION), *(F.concat(F.lit(f"{name}: "), value) for name, value in headers))
-    return F.concat(lines, F.lit(END), block, F.lit(END))
+    return F.concat(lines, F.lit(END), block, F.lit(end))
 
 
 def _payload() -> Column:
@@ -65,7 +65,7 @@ def _groups(pages: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, url, copy, sha1, size, kind, refers_page, refers_id, capture_id, html): a row for each row of `pages`, html for responses only.
+    """(page_id, url, copy, sha1, size, kind, capture_id, refers_id, html): a row for each row of `pages`, html for responses only.
 
     Of equal payloads of `least_bytes` or more the row with the largest page_id is the response (null is the smallest,
     of equal ones the largest url), others revisit it. Payloads move once: one text of each digest.
@@ -80,14 +80,14 @@ def captures(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     told = joined.withColumn("kind", F.when(leading | (F.col("size") < least_bytes), "response").otherwise("revisit"))
     told = told.withColumn("capture_id", _identity(F.lit("capture"), F.col("page_id"), F.sha1("url"), F.col("sha1"), F.col("copy")))
     told = told.withColumn("refers_id", F.when(F.col("kind") == "revisit", _identity(F.lit("capture"), F.col("head.page_id"), F.sha1("head.url"), F.col("sha1"), F.lit(1).cast("long"))))
-    told = told.select("equal", "page_id", "url", "copy", "sha1", "size", "kind", "capture_id", "refers_id")
+    told = cut(told.select("equal", "page_id", "url", "copy", "sha1", "size", "kind", "capture_id", "refers_id"))
     texts = pages.select(F.sha2(_payload(), 256).alias("equal"), _payload().alias("html")).groupBy("equal").agg(F.first("html").alias("html"))
     responses = told.where("kind = 'response'").join(texts, "equal")
     return responses.drop("equal").union(told.where("kind = 'revisit'").withColumn("html", F.lit(None).cast("string")).drop("equal"))
 
 
 def transactions(found: DataFrame, date: str = DATE) -> DataFrame:
-    """(value): the three records of each capture, end to end."""
+    """(value): the three records of each capture, end to end, but for the line feed that ends the last: the text sink writes it."""
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     path = F.coalesce(F.nullif(F.regexp_extract(uri, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/"))
     host = F.regexp_extract(uri, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
@@ -101,7 +101,7 @@ def transactions(found: DataFrame, date: str = DATE) -> DataFrame:
     response = _record("response", own, F.concat(answer, F.coalesce("html", F.lit(""))), "application/http; msgtype=response", date, uri, ("WARC-Payload-Digest", digest))
     profile = F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     revisit = _record("revisit", own, answer, "application/http; msgtype=response", date, uri, ("WARC-Payload-Digest", digest), ("WARC-Refers-To", refers), ("WARC-Profile", profile))
-    metadata = _record("metadata", about[1][1], fields, "application/warc-fields", date, uri, ("WARC-Concurrent-To", own))
+    metadata = _record("metadata", about[1][1], fields, "application/warc-fields", date, uri, ("WARC-Concurrent-To", own), end=END[:-1])
     return found.select(F.concat(request, F.when(F.col("kind") == "response", response).otherwise(revisit), metadata).alias("value"))
 
 
@@ -112,9 +112,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = DATE, least_bytes:
     url are %20 in headers; the metadata record has it whole. Rows that are equal in all three are captures of their own.
     Other columns are ignored. An empty table gives archives without records.
     """
-    # The sink ends each row with a line feed, the last byte of its last record.
-    value = transactions(captures(pages, least_bytes), date).select(F.expr("left(value, char_length(value) - 1)").alias("value"))
-    value.write.option("compression", "gzip").option("lineSep", "\n").text(folder)
+    transactions(captures(pages, least_bytes), date).write.option("compression", "gzip").option("lineSep", "\n").text(folder)
 
 
 class Reader:
@@ -249,13 +247,14 @@ def page_records(records: DataFrame, kind: str = "long") -> DataFrame:
 
     Payloads are measured and digested where they are read; what is joined holds none.
     """
-    body, full = F.split(F.col("block").cast("string"), END, 2)[1], F.col("type").isin(*CAPTURES) & (F.col("type") != "revisit")
-    facts = {"size": F.when(full, F.octet_length(body).cast("long")), "read": F.when(full, base32(F.sha1(body))), "block": F.when(~F.col("type").isin(*CAPTURES), F.col("block"))}
-    found = assembled(cut(records.withColumns(facts)), ("type", "refers_to", "payload_digest", "size", "read"))
+    full = F.col("type").isin(*CAPTURES) & (F.col("type") != "revisit")
+    opened = records.withColumn("body", F.when(full, F.split(F.col("block").cast("string"), END, 2)[1]))
+    facts = {"size": F.octet_length("body").cast("long"), "read": F.sha1("body"), "block": F.when(~F.col("type").isin(*CAPTURES), F.col("block"))}
+    found = assembled(cut(opened.withColumns(facts).drop("body")), ("type", "refers_to", "payload_digest", "size", "read"))
     page = lambda name: F.get_json_object(field_of(F.col("metadata"), "page"), f"$.{name}")
     told = cut(found.select("capture_id", F.col("type").alias("record_type"), F.col("refers_to").alias("refers_id"), page("page_id").cast(kind).alias("page_id"), "size", F.regexp_replace("payload_digest", "^sha1:", "").alias("said"), "read"))
     responses = told.where("record_type <> 'revisit'").select(F.col("capture_id").alias("refers_id"), F.col("page_id").alias("of"), F.col("size").alias("of_size"))
-    direct = told.where("record_type <> 'revisit'").select("page_id", F.col("size").alias("payload_bytes"), F.col("read").alias("payload_digest"), "record_type", F.lit(None).cast(kind).alias("refers_to"))
+    direct = told.where("record_type <> 'revisit'").select("page_id", F.col("size").alias("payload_bytes"), base32(F.col("read")).alias("payload_digest"), "record_type", F.lit(None).cast(kind).alias("refers_to"))
     again = told.where("record_type = 'revisit'").join(responses, "refers_id", "left").select("page_id", F.col("of_size").alias("payload_bytes"), F.col("said").alias("payload_digest"), "record_type", F.col("of").alias("refers_to"))
     return direct.union(again)
 
