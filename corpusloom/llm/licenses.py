@@ -12,6 +12,7 @@ the same windows are retrieved, at the cost of one lookup for each word, however
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,10 @@ STEPS = 8
 #: Probability with which a template that a text contains to CONTAINMENT shares a band with its window.
 RECALL = 0.999
 
-#: Templates whose bands go to every task at most (some 30 bytes for each of the bands); more are refused.
+#: Templates whose bands go to every task at a time, about (some 30 bytes for each of the bands); more are searched for in turns.
 MAX_TEMPLATES = 20_000
+#: Words of a text that are looked up together, at least; with what windows reach beyond them, all that a row holds of a text.
+PIECE = 1024
 
 #: Fixed values: (template, license, wording) of common notices.
 TEMPLATES = (
@@ -89,36 +92,66 @@ def band_table(templates: DataFrame, n: int) -> DataFrame:
     return signed.select("template_id", "words", "s.band", "s.best.least", "s.best.hash")
 
 
+def pieces(docs: DataFrame, reach: int) -> DataFrame:
+    """(doc_id, row, base, lead, found, hashes): texts in pieces of PIECE words or more, with `reach` words on either side.
+
+    found and hashes begin at word `lead` of the text, the piece itself at word `base`.
+    """
+    step = max(PIECE, reach)
+    whole = docs.select("doc_id", _words(F.col("text").cast("string")).alias("all")).where(F.size("all") >= SHINGLE)
+    # The row number keeps conditions above the words: pushed below them, they would take the words anew for each shingle.
+    whole = whole.select("doc_id", "all", F.monotonically_increasing_id().alias("row"))
+    lead = lambda b: F.greatest(F.lit(0), b - reach)
+    piece = lambda b: F.struct(b.alias("base"), lead(b).alias("lead"), F.slice("all", lead(b) + 1, b - lead(b) + step + reach + SHINGLE).alias("found"))
+    # Pieces are made before they are dealt out, so that no row of a piece holds the text.
+    cut_up = whole.select("doc_id", "row", F.explode(F.transform(F.sequence(F.lit(0), F.size("all") - SHINGLE, F.lit(step)), piece)).alias("piece"))
+    return cut_up.select("doc_id", "row", "piece.*").withColumn("hashes", _hashes(F.col("found")))
+
+
+def _scan(docs: DataFrame, table: DataFrame, reach: int, n: int, containment: float) -> DataFrame:
+    own = F.slice("hashes", F.col("base") - F.col("lead") + 1, F.lit(max(PIECE, reach)))
+    # A piece meets each shingle once, however often it holds it, and its places are found in the piece.
+    hits = pieces(docs, reach).select("*", F.explode(F.array_distinct(own)).alias("hash")).join(F.broadcast(band_table(table, n)), "hash")
+    hits = hits.withColumn("own", own).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("words") / STEPS).cast("int")))
+    places = F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: F.get(F.col("own"), i) == F.col("hash"))
+    low = lambda p: F.greatest(F.lit(0), F.ceil((p - F.col("words") + SHINGLE) / F.col("step")).cast("int"))
+    around = lambda i: F.sequence(low(F.col("base") + i), F.floor((F.col("base") + i) / F.col("step")).cast("int"))
+    windows = hits.withColumn("windows", F.array_distinct(F.flatten(F.transform(places, around))))
+    shingled = lambda k: F.slice("hashes", k * F.col("step") - F.col("lead") + 1, F.col("words") - (SHINGLE - 1))
+    agree = lambda k: F.array_min(F.transform(shingled(k), lambda h: F.xxhash64(h, F.col("band")))) == F.col("least")
+    margin = F.floor(F.col("words") / 4).cast("int")
+
+    def wide(k: Column) -> Column:
+        start = k * F.col("step")
+        first = F.greatest(F.lit(0), start - margin)
+        return F.struct(start.alias("start"), F.slice("found", first - F.col("lead") + 1, start - first + F.col("words") + margin).alias("around"))
+
+    met = windows.select("doc_id", "row", "template_id", F.explode(F.transform(F.filter("windows", agree), wide)).alias("w"))
+    met = met.select("doc_id", "row", "template_id", "w.*").dropDuplicates(["row", "template_id", "start"])
+    share = F.size(F.array_intersect("shingles", _shingles(F.col("around")))) / F.size("shingles")
+    held = met.join(table, "template_id").select("doc_id", "template_id", "license", "start", share.alias("containment")).where(F.col("containment") >= containment)
+    return held.groupBy("doc_id", "template_id", "license").agg(F.max(F.struct(F.col("containment"), (-F.col("start")).alias("back"))).alias("best"))
+
+
 def scan(docs: DataFrame, templates: tuple | DataFrame = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, template_id, license, first_word, containment): the templates whose shingles a window of the text holds to `containment`.
 
-    `templates` are rows (template_id, license, wording), of SHINGLE words at least and MAX_TEMPLATES at most.
+    `templates` are rows (template_id, license, wording), of SHINGLE words at least. More than about MAX_TEMPLATES are
+    searched for in turns, each a scan of the texts.
 
     The best window of each document and template counts, of equals the first; it reaches a quarter of the
     template's length beyond the window on either side. Null and short texts match nothing; rows that repeat a
-    doc_id count as one document; texts are read whole; extra columns are ignored; empty tables give no rows.
+    doc_id count as one document; texts are read whole, a piece at a time; extra columns are ignored; empty tables give
+    no rows.
     """
     spark, n = docs.sparkSession, bands(containment)
     table = template_table(spark, templates)
-    told = table.agg(F.count("*").alias("n"), F.count_if(F.col("words") < SHINGLE).alias("short")).first()
-    if told["short"] or told["n"] > MAX_TEMPLATES:
-        raise ValueError(f"{told['short']} templates of fewer than {SHINGLE} words, {told['n']} in all; at most {MAX_TEMPLATES}")
-    found = docs.select("doc_id", _words(F.col("text").cast("string")).alias("found"))
-    # The row number keeps conditions above the hashes: pushed below them, they would take the words anew for each shingle.
-    hashed = found.select("doc_id", "found", _hashes(F.col("found")).alias("hashes"), F.monotonically_increasing_id().alias("row"))
-    placed = hashed.select("doc_id", "row", "found", "hashes", F.posexplode("hashes").alias("pos", "hash"))
-    hits = placed.join(F.broadcast(band_table(table, n)), "hash").withColumn("step", F.greatest(F.lit(1), F.floor(F.col("words") / STEPS).cast("int")))
-    low, high = F.ceil((F.col("pos") - F.col("words") + SHINGLE) / F.col("step")), F.floor(F.col("pos") / F.col("step"))
-    windows = hits.withColumn("k", F.explode(F.sequence(F.greatest(F.lit(0), low.cast("int")), high.cast("int")))).withColumn("start", F.col("k") * F.col("step"))
-    own = F.slice("hashes", F.col("start") + 1, F.col("words") - (SHINGLE - 1))
-    agree = F.array_min(F.transform(own, lambda h: F.xxhash64(h, F.col("band")))) == F.col("least")
-    margin = F.floor(F.col("words") / 4).cast("int")
-    first = F.greatest(F.lit(0), F.col("start") - margin)
-    around = F.slice("found", first + 1, F.col("start") - first + F.col("words") + margin)
-    met = windows.where(agree).select("doc_id", "row", "template_id", "start", around.alias("around")).dropDuplicates(["row", "template_id", "start"])
-    share = F.size(F.array_intersect("shingles", _shingles(F.col("around")))) / F.size("shingles")
-    held = met.join(table, "template_id").select("doc_id", "template_id", "license", "start", share.alias("containment")).where(F.col("containment") >= containment)
-    best = held.groupBy("doc_id", "template_id", "license").agg(F.max(F.struct(F.col("containment"), (-F.col("start")).alias("back"))).alias("best"))
+    told = table.agg(F.count("*").alias("n"), F.count_if(F.col("words") < SHINGLE).alias("short"), F.max("words").alias("longest")).first()
+    if told["short"]:
+        raise ValueError(f"{told['short']} templates of fewer than {SHINGLE} words")
+    turns, reach = math.ceil(told["n"] / MAX_TEMPLATES) or 1, math.ceil(1.25 * (told["longest"] or 0)) + 1
+    parts = [_scan(docs, table.where(F.pmod(F.xxhash64("template_id"), F.lit(turns)) == k) if turns > 1 else table, reach, n, containment) for k in range(turns)]
+    best = reduce(DataFrame.unionByName, parts)
     return best.select("doc_id", "template_id", "license", (-F.col("best.back")).cast("long").alias("first_word"), F.col("best.containment").alias("containment"))
 
 
