@@ -3,11 +3,11 @@
 An entity is a type with a canonical value. A person is found by a title, and the words of the name are then names
 wherever the document has them with a capital; each word has a surrogate of its own, so full, first and last names
 of one person stay together. An entity's surrogate is a keyed permutation (a Feistel network over the
-numbers of all values of the same shape, walked until it stays among them), so different entities of a shape
-never share a surrogate and every mention of an entity, anywhere, gets the same one. A permutation may leave a
-value as it is; a check over the distinct entities of the corpus finds those, and any two that came out equal,
-or one that is the value of another entity, and they are permuted again under another key until none is left. Where
-keys alone don't help, as values of the shape run out, names, addresses of mail and secrets get more letters.
+numbers of all values of the same shape, walked until it stays among them) that leaves no value as it is, so different
+entities of a shape never share a surrogate and every mention of an entity, anywhere, gets the same one. A check over
+the distinct entities of the corpus finds any two that came out equal, or one that is the value of another entity, and
+they are permuted again under another key until none is left. Where keys alone don't help, as values of the shape run
+out, names, addresses of mail and secrets get more letters, and numbers of a form share one permutation again.
 
 Not found are persons without a title anywhere in the document. A telephone number of ten digits is one entity with
 and without +1; other national forms are entities of their own. An address of mail is one entity in any capitals.
@@ -34,6 +34,8 @@ KEY = b"surrogates/1"
 ROUNDS, TRIES = 6, 16
 #: From this attempt on, surrogates of free length get more letters than the shape has.
 WIDER = 6
+#: Kinds whose surrogates have the length of the value.
+FIXED = ("ip", "ssn", "card", "phone", "iban")
 #: Entities that needed another key and go to every task; beyond that each document gets its own by a join.
 MAX_SHARED = 100_000
 MEMO = 200_000
@@ -161,24 +163,37 @@ def mentions(text: str) -> list[Mention]:
     return out
 
 
-def permuted(value: int, size: int, tweak: bytes, key: bytes = KEY) -> int:
-    """A keyed permutation of the numbers below `size`, another for each tweak."""
-    if size < 2:
-        return value
+def _mixed(right: int, turn: int, length: int, person: bytes, key: bytes) -> int:
+    out = b""
+    while len(out) < length:
+        out += hashlib.blake2b(right.to_bytes(length, "big") + bytes([turn, len(out) // 64]), key=key, person=person, digest_size=64).digest()
+    return int.from_bytes(out[:length], "big")
+
+
+def permuted(value: int, size: int, tweak: bytes, key: bytes = KEY, back: bool = False) -> int:
+    """A keyed permutation of the numbers below `size`, another for each tweak; `back`: its inverse."""
     half = ((size - 1).bit_length() + 1) // 2
-    mask, length = (1 << half) - 1, (half + 7) // 8
+    mask, length, person = (1 << half) - 1, (half + 7) // 8, hashlib.blake2b(tweak, digest_size=16).digest()
     while True:
         left, right = value >> half, value & mask
-        for turn in range(ROUNDS):
-            mixed = b""
-            while len(mixed) < length:
-                mixed += hashlib.blake2b(right.to_bytes(length, "big") + bytes([turn, len(mixed) // 64]), key=key, person=hashlib.blake2b(tweak, digest_size=16).digest(), digest_size=64).digest()
-            left, right = right, left ^ (int.from_bytes(mixed[:length], "big") & mask)
+        for turn in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            if back:
+                left, right = right ^ (_mixed(left, turn, length, person, key) & mask), left
+            else:
+                left, right = right, left ^ (_mixed(right, turn, length, person, key) & mask)
         value = left << half | right
         if value < size:
             return value
 
 
+def moved(value: int, size: int, tweak: bytes, key: bytes = KEY) -> int:
+    """A keyed permutation of the numbers below `size` that leaves none of them as it is: in the order of one permutation, the number so many places on."""
+    if size < 2:
+        return value
+    step = 1 + int.from_bytes(hashlib.blake2b(tweak, key=key, digest_size=8).digest(), "big") % (size - 1)
+    return permuted((permuted(value, size, tweak, key) + step) % size, size, tweak, key, True)
+
+
 @cache
 def _script(script: str, category: str) -> str:
     """The letters of a script and category that stand in no class and keep their number of characters in the other case."""
@@ -207,7 +222,7 @@ def reshaped(text: str, tweak: str, key: bytes = KEY) -> str:
         if own:
             number, size = number * len(own) + own.index(c), size * len(own)
     told = "".join(c if not own else chr(1 + CLASS_OF[c]) if c in CLASS_OF else f"<{own[0]}>" for c, own in zip(text, shape, strict=True))
-    number = permuted(number, size, (tweak + "|" + told).encode(), key)
+    number = moved(number, size, (tweak + "|" + told).encode(), key)
     out = list(text)
     for at in range(len(text) - 1, -1, -1):
         if own := shape[at]:
@@ -220,12 +235,23 @@ def _remainder(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def family(kind: str, value: str) -> str:
+    """What shares a permutation with an entity whose surrogate can't get longer: the values of its form. Else the entity itself."""
+    if kind == "card":
+        return f"{value[0]}/{len(value)}"
+    if kind == "phone":
+        return f"{value[:2] if value[0] == '+' else ''}/{len(value)}"
+    if kind == "iban":
+        return value[:2] + "".join("0" if c.isdigit() else "A" for c in value[4:])
+    return "" if kind in ("ip", "ssn") else value
+
+
 def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The canonical replacement of an entity. Attempts use different keys."""
     tweak, more = f"{kind}/{attempt}", max(0, attempt - WIDER + 1)
     if kind == "ip":
         parts = [int(x) for x in value.split(".")]
-        number = permuted(int.from_bytes(bytes(parts), "big"), 1 << 32, tweak.encode(), key)
+        number = moved(int.from_bytes(bytes(parts), "big"), 1 << 32, tweak.encode(), key)
         return ".".join(map(str, number.to_bytes(4, "big")))
     if kind == "email":  # the top-level domain stays
         local, _, rest = value.partition("@")
@@ -246,9 +272,11 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         sign = next((c for c in reversed(first) if pool(c)), "a")
         first += (sign.lower() if len(sign.lower()) == 1 and pool(sign.lower()) else sign) * more
         return reshaped(first, f"{tweak}/{len(first)}/{kept}", key) + kept
+    if kind == "ssn":
+        return reshaped(value, tweak, key)
     value += "0" * more
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):  # a hexadecimal secret stays one
-        number = permuted(int(value, 16), 16 ** len(value), f"{tweak}/hex/{len(value)}".encode(), key)
+        number = moved(int(value, 16), 16 ** len(value), f"{tweak}/hex/{len(value)}".encode(), key)
         return f"{number:0{len(value)}{'x' if value == value.lower() else 'X'}}"
     return reshaped(value, tweak, key)
 
@@ -313,26 +341,37 @@ def rekeyed(found: DataFrame, key: bytes = KEY, tries: int = TRIES) -> DataFrame
 
     All but the first by value of those that share a surrogate go on to the next attempt, and the check is made
     again over all, until nothing clashes. An attempt is at least the number of the round, so that from round WIDER
-    on those that still clash get longer values; from then on only a value of its own, not that of another entity,
-    is refused, for a shape may have no other left. Raises RuntimeError after `tries` rounds.
+    on names, addresses of mail and secrets that still clash get longer values; from then on only a value of its own,
+    not that of another entity, is refused, for a form may have no other left. A form that can't grow (numbers) then
+    takes one attempt for all its entities together: that is one permutation without a fixed point, so none of them
+    clash, however full the form is. Raises RuntimeError after `tries` rounds.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [surrogate(*x, key) for x in zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "attempt")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], ["kind", "value", "attempt", "new"])
+            kinds, values, attempts = (batch.column(c).to_pylist() for c in ("kind", "value", "attempt"))
+            new = [surrogate(*x, key) for x in zip(kinds, values, attempts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(family, kinds, values), pa.string()), pa.array(new, pa.string())], ["kind", "value", "attempt", "family", "new"])
 
     found = cut(found.select("kind", "value"))
     current = found.withColumn("attempt", F.lit(0))
     for turn in range(tries):
-        new = current.mapInArrow(made, "kind string, value string, attempt int, new string")
+        new = cut(current.mapInArrow(made, "kind string, value string, attempt int, family string, new string"))
         first = new.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min("value").alias("first")).where("n > 1")
         real = new.where(F.col("attempt") < WIDER).join(found.select("kind", F.col("value").alias("new")), ["kind", "new"], "left_semi")
         own, shared = new.where("new = value"), new.join(first, ["kind", "new"]).where("value <> first")
-        clash = cut(reduce(DataFrame.unionByName, (x.select("kind", "value") for x in (real, own, shared))).distinct())
+        clash = cut(reduce(DataFrame.unionByName, (x.select("kind", "value", "family") for x in (real, own, shared))).distinct())
         if clash.isEmpty():
             return current.where("attempt > 0")
-        current = cut(current.join(clash.withColumn("clash", F.lit(1)), ["kind", "value"], "left").select("kind", "value", F.when(F.col("clash").isNull(), F.col("attempt")).otherwise(F.greatest(F.col("attempt"), F.lit(turn)) + 1).cast("int").alias("attempt")))
+        fixed = F.col("kind").isin(*FIXED) if turn >= WIDER else F.lit(False)
+        single = new.join(clash.where(~fixed).select("kind", "value", F.lit(1).alias("clash")), ["kind", "value"], "left")
+        if turn >= WIDER:  # forms that can't grow move as a whole
+            forms = clash.where(fixed).select("kind", "family", F.lit(1).alias("form")).distinct()
+            single = single.join(forms, ["kind", "family"], "left")
+        else:
+            single = single.withColumn("form", F.lit(None).cast("int"))
+        later = F.greatest(F.col("attempt"), F.lit(turn)) + 1
+        current = cut(single.select("kind", "value", F.when(F.col("form") == 1, F.lit(WIDER + 1)).when(F.col("clash") == 1, later).otherwise(F.col("attempt")).cast("int").alias("attempt")))
     raise RuntimeError(f"surrogates still clash after {tries} attempts")
 
 
@@ -343,7 +382,7 @@ def replace_pii(docs: DataFrame, key: bytes = KEY, max_shared: int = MAX_SHARED)
     equal surrogates; reruns under one key agree. Other columns pass through; those that have the name of a new
     one are replaced. An empty table gives no rows. Texts are read whole.
     """
-    columns = [c for c in docs.columns if c not in ("n_entities", "n_distinct", "kinds", "_own")]
+    columns = [c for c in docs.columns if c not in ("n_entities", "n_distinct", "kinds", "_own", "_text")]
     docs = docs.select(*columns)
     again = cut(rekeyed(entities(docs), key))
     shared = again.limit(max_shared + 1).collect()
@@ -379,18 +418,17 @@ def rewritten(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def _with_own(docs: DataFrame, again: DataFrame) -> DataFrame:
-    """`docs` with the entities of `again` that each doc_id mentions, as the column _own."""
+    """`docs` with the entities of `again` that each text mentions, as the column _own. Rows are told apart by their texts, whatever their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows = sorted({(k, *x) for k, t in enumerate(part.column("text").to_pylist()) if t for m in mentions(t) for x in parts(m)})
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))], ["doc_id", "kind", "value"])
+            yield pa.RecordBatch.from_arrays([part.column("_text").take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))], ["_text", "kind", "value"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    told = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, kind string, value string").distinct()
-    own = told.join(again, ["kind", "value"]).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_own"))
-    own = own.withColumnRenamed("doc_id", "_doc_id")
-    return docs.join(own, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left").drop("_doc_id")
+    text = F.md5(F.col("text").cast("string"))
+    told = docs.select(text.alias("_text"), F.col("text").cast("string")).where("text is not null").mapInArrow(run, "_text string, kind string, value string").distinct()
+    own = told.join(again, ["kind", "value"]).groupBy("_text").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_own"))
+    return docs.join(own, text == F.col("_text"), "left").drop("_text")
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
