@@ -22,6 +22,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def row_key(columns: list[str]) -> Column:
+    """128 bits that tell rows apart by all of these columns; a null is told from what stands in another column."""
+    parts = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.xxhash64(*seed, *parts)), 16, "0") for seed in ((), (F.lit(1),)))))
+
+
 def words(text: str | Column) -> Column:
     """The words of a text; none for null or blank."""
     text = F.col(text) if isinstance(text, str) else text

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm._common import documents, slices, utf8
@@ -23,6 +23,8 @@ from corpusloom.sources.tables import cut
 MEAN, WINDOW, MAX_CHUNK = 32, 32, 1024
 #: Shortest run of repeated chunks that counts: shorter ones are phrases that texts share by chance.
 MIN_RUN = 96
+#: Ids and texts with equal rows that go to every task at most (some 24 bytes each); beyond that they are joined by a shuffle.
+MAX_SHARED = 100_000
 GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=4, person=b"gear").digest() for b in range(256)), np.uint32)
 
 
@@ -51,8 +53,9 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _chunked(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start in its text, length, digest as a long) of each chunk of a slice.
 
-    64 bits: a billion chunks have 0.03 pairs of equal digests by chance, which would also have to lie in a run. The digest takes in the bytes that decided on the chunk's start, so that a chunk of a few bytes is no
-    repetition wherever those bytes stand.
+    64 bits: a billion chunks have 0.03 pairs of equal digests by chance, 3 * 10^12 (some 100 TB) a quarter of a million;
+    one of those removes bytes only where its neighbours make up a run of MIN_RUN bytes with it. The digest takes in the bytes
+    that decided on the chunk's start, so that a chunk of a few bytes is no repetition wherever those bytes stand.
     """
     import xxhash
 
@@ -66,30 +69,39 @@ def _chunked(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return row, starts - offsets[row], lengths, digests
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, d1): a row for each chunk, no wider than it must be, for all of them are shuffled. Lengths are found again in the text."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_key): rows are told apart by both, 64 bits of a text within an id."""
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
+
+
+def chunk_table(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_key, start, d1): a row for each chunk, no wider than it must be, for all of them are shuffled. Lengths are found again in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             row, start, _, digests = _chunked(part)
-            ids = part.column("doc_id").take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(start.astype(np.int32)), pa.array(digests)], ["doc_id", "start", "d1"])
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("text_key").take(at), pa.array(start.astype(np.int32)), pa.array(digests)], ["doc_id", "text_key", "start", "d1"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, start int, d1 long")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, start int, d1 long")
+
+
+def _place() -> Column:
+    """The order of rows: by doc_id, null last, then by text_key."""
+    return F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")
 
 
 def repeated(chunks: DataFrame) -> DataFrame:
-    """(d1, first_doc) of the digests with two places or more, counted map-side first."""
-    return chunks.groupBy("d1").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").select("d1", "first_doc")
+    """(d1, first_row) of the digests with two places or more, counted map-side first."""
+    return chunks.groupBy("d1").agg(F.count("*").alias("n"), F.min(_place()).alias("first_row")).where("n > 1").select("d1", "first_row")
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, _found): the repeated chunks of each doc_id as (start, d1, later), later where the first place is in a document before."""
-    chunks = chunk_table(docs)
-    later = F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False))
-    found = chunks.join(cut(repeated(chunks)), "d1").select("doc_id", "start", "d1", later.alias("later"))
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "d1", "later"))).alias("_found"))
+def spans(rows: DataFrame) -> DataFrame:
+    """(_doc_id, _text_key, _found): the repeated chunks of each row as (start, d1, later), later where the first place is in a row before."""
+    found = chunk_table(rows).join(cut(repeated(chunk_table(rows))), "d1").select("doc_id", "text_key", "start", "d1", (_place() > F.col("first_row")).alias("later"))
+    return found.groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).agg(F.array_sort(F.collect_set(F.struct("start", "d1", "later"))).alias("_found"))
 
 
 def marked(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
@@ -97,7 +109,8 @@ def marked(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 
     n_dup_chunks counts the chunks in runs that occur elsewhere too, n_removed the bytes that are not the first
     of their kind. kept_text is what stays, with bytes that a cut inside a character orphaned left out. Null is
-    an empty text: no chunks. Rows that repeat a doc_id count as one document. Extra
+    an empty text: no chunks. Rows come in order of doc_id, null last, then of a digest of the text; rows that repeat
+    a doc_id or have none are rows of their own, and of rows with equal id and text all but one lose all. Extra
     columns are ignored; an empty table gives no rows. Texts are chunked whole.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -108,13 +121,21 @@ def marked(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             totals, own = np.bincount(row, minlength=part.num_rows), [{} for _ in range(part.num_rows)]
             for k, place, size in zip(row.tolist(), zip(start.tolist(), digests.tolist(), strict=True), length.tolist(), strict=True):
                 own[k][place] = size
-            out = [_kept((text or "").encode(), [f | {"length": mine[f["start"], f["d1"]]} for f in found or () if (f["start"], f["d1"]) in mine], min_run) for text, found, mine in zip(part.column("text").to_pylist(), part.column("_found").to_pylist(), own, strict=True)]
+            out = [_kept((text or "").encode(), [f | {"length": mine[f["start"], f["d1"]], "later": f["later"] or again} for f in found or () if (f["start"], f["d1"]) in mine], min_run) for text, found, again, mine in zip(part.column("text").to_pylist(), part.column("_found").to_pylist(), part.column("_again").to_pylist(), own, strict=True)]
             columns = [[o[k] for o in out] for k in range(5)]
             arrays = [part.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(totals, pa.int64()), *(pa.array(c, pa.int64()) for c in columns[1:4]), pa.array(columns[4], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_chunks", "n_dup_chunks", "n_removed", "n_spans", "kept_text"])
 
-    found = spans(docs).withColumnRenamed("doc_id", "_doc_id")
-    told = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left").select("doc_id", "text", "_found")
+    rows = keyed(docs)
+    found = spans(rows)
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key"))
+    # Rows that are equal in id and text are counted without their texts; one row of each stands for them.
+    copies = cut(rows.groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).agg(F.count("*").alias("_n")).where("_n > 1"))
+    copies = F.broadcast(copies) if copies.count() <= MAX_SHARED else copies
+    single = rows.join(copies, same, "left_anti").withColumn("_again", F.lit(False))
+    many = rows.join(copies, same).drop("_doc_id", "_text_key").dropDuplicates(["doc_id", "text_key"])
+    many = many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("doc_id", "text", "text_key", (F.col("_copy") > 1).alias("_again"))
+    told = single.unionByName(many).join(found, same, "left").select("doc_id", "text", "_found", "_again")
     return told.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_chunks long, n_dup_chunks long, n_removed long, n_spans long, kept_text string")
 
 

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.llm._common import documents, slices
 from corpusloom.sources.tables import cut, table
@@ -37,7 +38,6 @@ BORDER, STRANGE = -2, -1
 #: Words whose hashes a worker keeps.
 MEMO = 1_000_000
 TOKEN = re.compile(r"\w+")
-PAIRS = "item_id long, coverage double, n_tiles long, n_words long, longest long"
 Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -175,11 +175,15 @@ class Benchmark:
                 words = sum(t[2] for t in tiles)
                 if tiles and words >= coverage * size:
                     out.append((self.item_ids[k], words / size, len(tiles), words, max(t[2] for t in tiles)))
-        return sorted(out)
+        return sorted(out, key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0, x[1:]))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item_text")).where("item_text is not null").distinct()
+    return benchmark.select("item_id", F.col("text").cast("string").alias("item_text")).where("item_text is not null").distinct()
+
+
+def _pairs(items: DataFrame) -> str:
+    return f"item_id {items.schema['item_id'].dataType.simpleString()}, coverage double, n_tiles long, n_words long, longest long"
 
 
 def _small(items: DataFrame, block_bytes: int) -> list[tuple[int, str]] | None:
@@ -189,9 +193,9 @@ def _small(items: DataFrame, block_bytes: int) -> list[tuple[int, str]] | None:
     return [tuple(row) for row in items.orderBy("item_id", "item_text").collect()]
 
 
-def _rows(found: list[tuple], ids: pa.Array) -> pa.RecordBatch:
+def _rows(found: list[tuple], ids: pa.Array, item_kind: pa.DataType) -> pa.RecordBatch:
     columns = list(zip(*found, strict=True)) or [()] * 6
-    kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+    kinds = (item_kind, pa.float64(), pa.int64(), pa.int64(), pa.int64())
     arrays = [pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True)]
     return pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0], pa.int64())), *arrays], ["doc_id", "item_id", "coverage", "n_tiles", "n_words", "longest"])
 
@@ -230,11 +234,12 @@ def _text_keys() -> list[Column]:
 
 
 def joined_by_seeds(docs: DataFrame, items: DataFrame, min_match: int, coverage: float) -> DataFrame:
-    """(_k1, _k2, and the columns of PAIRS): the texts that cover an item, through a join on hashes of seeds.
+    """(_k1, _k2, and the columns of overlaps): the texts that cover an item, through a join on hashes of seeds.
 
     A text that covers an item to c words by tiles of w words at least has c / w of the item's seeds; pairs with
     fewer are left out before any text is fetched.
     """
+    item_kind = to_arrow_type(items.schema["item_id"].dataType)
     own = cut(seed_codes(items, ["item_id"], "item_text", min_match))
     widths = sorted(r[0] for r in own.select(F.least("words", F.lit(min_match))).distinct().collect())  # min_match numbers at most
     texts = docs.select(*_text_keys(), F.col("text").cast("string").alias("text")).where("text is not null")
@@ -242,17 +247,17 @@ def joined_by_seeds(docs: DataFrame, items: DataFrame, min_match: int, coverage:
     need = F.ceil(F.col("words") * F.lit(float(coverage)) / F.least("words", F.lit(min_match)))
     pairs = cut(met.groupBy("_k1", "_k2", "item_id", "words").agg(F.sum("places").alias("n")).where(F.col("n") >= need).select("_k1", "_k2", "item_id").distinct())
     asked = texts.join(pairs.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
-    both = pairs.join(asked, ["_k1", "_k2"]).join(items, "item_id").select("_k1", "_k2", "item_id", "item_text", "text")
+    both = pairs.join(asked, ["_k1", "_k2"]).alias("p").join(items.alias("i"), F.col("p.item_id").eqNullSafe(F.col("i.item_id"))).select("_k1", "_k2", "p.item_id", "item_text", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             k1, k2 = part.column("_k1"), part.column("_k2")
             columns = zip(*(part.column(c).to_pylist() for c in ("item_id", "item_text", "text")), strict=True)
             found = [(row, *h) for row, (item_id, item, text) in enumerate(columns) for h in Benchmark([(item_id, item)], min_match).hits(text, coverage)]
-            told = _rows(found, k1)
+            told = _rows(found, k1, item_kind)
             yield pa.RecordBatch.from_arrays([told.column(0), k2.take(pa.array([f[0] for f in found], pa.int64())), *told.columns[1:]], ["_k1", "_k2", *told.schema.names[1:]])
 
-    return both.mapInArrow(run, f"_k1 long, _k2 long, {PAIRS}")
+    return both.mapInArrow(run, f"_k1 long, _k2 long, {_pairs(items)}")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -264,6 +269,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH,
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     items = _items(benchmark)
+    item_kind = to_arrow_type(items.schema["item_id"].dataType)
     if (small := _small(items, block_bytes)) is None:
         own = docs.select("doc_id", *_text_keys())
         return own.join(joined_by_seeds(docs, items, min_match, coverage), ["_k1", "_k2"]).drop("_k1", "_k2")
@@ -272,9 +278,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Benchmark(shared.value, min_match)
         for part in slices(batches):
-            yield _rows([(n, *h) for n, t in enumerate(part.column("text").to_pylist()) for h in block.hits(t, coverage)], part.column("doc_id"))
+            yield _rows([(n, *h) for n, t in enumerate(part.column("text").to_pylist()) for h in block.hits(t, coverage)], part.column("doc_id"), item_kind)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, {PAIRS}")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, {_pairs(items)}")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import documents, words
+from corpusloom.llm._common import documents, row_key, words
 
 WEIGHTS, SHARE, MAX_EPOCHS = (3, 1, 2), 1.5, 2.0
 #: Documents that a range of keys holds on average, and the least number of ranges.
@@ -27,9 +27,9 @@ def quality(text: str | Column = "text") -> Column:
     return F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.size(F.array_distinct(lines)) / F.size(lines)))
 
 
-def draw(doc_id: Column, weight: Column) -> Column:
-    """The exponential key of a document: least keys come first, at rates in proportion to the weights; reruns agree."""
-    digits = F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 12)
+def draw(doc_id: Column, weight: Column, text: Column) -> Column:
+    """The exponential key of a document: least keys come first, at rates in proportion to the weights; reruns agree. Documents without an id draw by their text."""
+    digits = F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))), 1, 12)
     uniform = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
     return -F.log(uniform) / weight
 
@@ -55,16 +55,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return leveled.select("source", "source_size", F.least(F.col("cap"), F.coalesce(level * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, epochs) for every row of `docs`.
-
-    `taken` sums to each source's target, rounded down to a word: the last document taken gives its leading
-    words only. A null or blank text has size 0 and takes 0; a null source is a source. Rows that repeat a
-    doc_id share its key and are taken in some order, which shows only where the budget ends between them. An
-    empty table gives no rows. Extra columns are ignored.
-    """
-    sized = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.size(words("text")).cast("long").alias("size"), quality("text").alias("quality"))
-    keyed = sized.select("doc_id", "source", "size", draw(F.col("doc_id"), F.col("quality")).alias("key"))
+def _mix(docs: DataFrame, row: Column, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+    """What `mix` returns, and `row`."""
+    keyed = docs.select(row.alias("row"), F.col("doc_id"), F.col("source").cast("string").alias("source"), F.size(words("text")).cast("long").alias("size"), draw(F.col("doc_id"), quality("text"), F.col("text")).alias("key"))
     ranges = max(MIN_RANGES, docs.select("source").count() // RANGE_ROWS)
     keyed = keyed.withColumn("range", F.floor((1 - F.exp(-F.col("key") * F.lit(LOW))) * ranges).cast("int"))
     sums = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -73,24 +66,37 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     sums = sums.select("source", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("range_before"))
     same = lambda a, b, *names: [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
     placed = sums.alias("r").join(by_source.alias("s"), same("r", "s", "source")).select("r.*", "source_size", "target")
-    ahead = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     inside = keyed.withColumn("inside", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
     joined = inside.alias("d").join(placed.alias("p"), same("d", "p", "source", "range")).select("d.*", "range_before", "source_size", "target")
     epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
     rest = F.floor(F.col("target")) - epochs * F.col("source_size") - F.col("range_before") - F.col("inside")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return joined.select("doc_id", "size", F.col("source_size").cast("long"), F.col("target").cast("double"), taken.cast("long").alias("taken"), epochs.cast("long").alias("epochs"))
+    return joined.select("row", "doc_id", "size", F.col("source_size").cast("long"), F.col("target").cast("double"), taken.cast("long").alias("taken"), epochs.cast("long").alias("epochs"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, epochs) for every row of `docs`.
+
+    `taken` sums to each source's target, rounded down to a word: the last document taken gives its leading
+    words only. A null or blank text has size 0 and takes 0; a null source is a source. Rows that repeat a
+    doc_id share its key and are taken in some order, which shows only where the budget ends between them. An
+    empty table gives no rows. Extra columns are ignored.
+    """
+    return _mix(docs, F.lit(0), weights, share, max_epochs).drop("row")
 
 
-def mixed(docs: DataFrame, **settings) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """The rows of `docs` with size, source_size, target, taken and epochs, named so even where `docs` has such columns.
 
-    Rows that repeat a doc_id are told apart by size only; each gets what one of them takes.
+    Rows are told apart by all their columns, so null and repeated doc_ids are rows of their own; of rows that are
+    equal in all columns each has what one of them takes, and each source's taken words come to its target.
     """
-    told = mix(docs, **settings).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(*(F.max(c).alias(c) for c in ("source_size", "target", "taken", "epochs")))
     added = ("size", "source_size", "target", "taken", "epochs")
-    own = docs.select(*(c for c in docs.columns if c not in added)).withColumn("size", F.size(words("text")).cast("long"))
-    return own.join(told, own["doc_id"].eqNullSafe(told["_id"]) & (own["size"] == told["_size"])).drop("_id", "_size")
+    own = [c for c in docs.columns if c not in added]
+    told = _mix(docs, row_key(own), weights, share, max_epochs).select(F.col("row").alias("_row"), *added)
+    rows = docs.select(*own, row_key(own).alias("_row")).dropDuplicates(["_row"])
+    return told.join(rows, "_row").select(*own, *added)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +108,7 @@ OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          greatest(0.25, least(1.0, length(list_distinct(string_split(coalesce(text, ''), chr(10)))) / length(string_split(coalesce(text, ''), chr(10))))) AS quality,
-         (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+         (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
   FROM documents),
 k AS (SELECT doc_id, source, size, -ln(u) / quality::DOUBLE AS key FROM d),
 o AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),

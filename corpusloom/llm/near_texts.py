@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import slices
+from corpusloom.llm._common import row_key, slices
 from corpusloom.llm.simhash import fingerprint, near_prints
 from corpusloom.sources.tables import cut
 
@@ -76,11 +76,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for part in slices(batches):
         texts = part.column("text").cast(pa.binary()).to_pylist()
-        same = [xxhash.xxh3_64_intdigest(b" ".join(_words(t))) - (1 << 63) for t in texts]
+        same = [xxhash.xxh3_128_digest(b" ".join(_words(t))) for t in texts]
         found = [shingles(t) for t in texts]
         bands, sizes = [band_keys(f) for f in found], [len(f) for f in found]
         prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(same, pa.int64()), pa.array(prints), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["doc_id", "row", "same", "print", "bands", "size"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(same, pa.binary()), pa.array(prints), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["doc_id", "row", "same", "print", "bands", "size"])
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def rarest(held: DataFrame) -> DataFrame:
 
     Shingles of one text only come first and need no key: they take part in the count.
     """
-    hashed = cut(held.select("row", "text").mapInArrow(_hashed, "row long, found array<long>"))
+    hashed = cut(held.select("row", "text").mapInArrow(_hashed, "row binary, found array<long>"))
     single = hashed.select("row", F.size("found").alias("size"), F.explode("found").alias("key"))
     counts = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = single.join(counts, "key").groupBy("row", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("shared"))
@@ -116,14 +116,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last, own = a, shingles(a)
             if similar(own, shingles(text)):
                 out.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["row"])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["row"])
 
 
 def _near_later(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The rows of the later texts of the pairs (earlier, later) that are near."""
     first = held.select(F.col("row").alias("earlier"), F.col("text").alias("text_a"))
     second = held.select(F.col("row").alias("later"), F.col("text").alias("text_b"))
-    return pairs.join(first, "earlier").join(second, "later").select("text_a", "later", "text_b").mapInArrow(_verified, "row long").distinct()
+    return pairs.join(first, "earlier").join(second, "later").select("text_a", "later", "text_b").mapInArrow(_verified, "row binary").distinct()
 
 
 def dropped(members: DataFrame, held: DataFrame) -> list[DataFrame]:
@@ -153,12 +153,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, without those whose text is near to that of a row that comes before.
 
     Rows come in order of doc_id, null last, then of a digest of the whole row, so null and repeated doc_ids are rows
-    of their own. Of equal texts (but for case and white space) the first stays, also of null, empty and blank ones. Each row that goes is linked to one that stays by a chain of
+    of their own; ids may be of any type that orders. Rows and equal texts are told apart by 128 bits. Of equal texts (but for case and white space) the first stays, also of null, empty and blank ones. Each row that goes is linked to one that stays by a chain of
     near texts. An empty table gives no rows.
     """
-    whole = F.xxhash64(*docs.columns).alias("row")
-    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole, F.col("text").cast("string").alias("text"))
-    signed = cut(told.mapInArrow(_signed, "doc_id long, row long, same long, print long, bands array<long>, size int"))
+    whole, kind = row_key(docs.columns).alias("row"), docs.schema["doc_id"].dataType.simpleString()
+    told = docs.select("doc_id", whole, F.col("text").cast("string").alias("text"))
+    signed = cut(told.mapInArrow(_signed, f"doc_id {kind}, row binary, same binary, print long, bands array<long>, size int"))
     place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")
     distinct = cut(signed.groupBy("same").agg(F.min(F.struct(place.alias("place"), "print", "bands", "size")).alias("first")).select("first.*"))
     prints = distinct.groupBy("print").agg(F.min(F.struct("place", "size")).alias("first")).select("print", "first.*")

@@ -59,7 +59,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, print): print holds the 64 bits as a long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, print long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_fingerprints, f"doc_id {kind}, print long")
 
 
 @cache
@@ -132,13 +133,15 @@ def components(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, print, component_id): the documents with the least doc_id that chains of near fingerprints reach.
 
     A text that is null, empty or blank has fingerprint zero and links like any other. Repeated doc_ids keep
-    a row each. A null doc_id keeps its row; it never becomes a component's id unless its group has no other.
-    Extra columns are ignored. An empty table gives an empty result.
+    a row each. A row with a null doc_id keeps its row and links like any other; null is a component's id only where
+    the component has no other. Ids may be of any type that orders. Extra columns are ignored. An empty table gives an
+    empty result.
     """
     prints = cut(fingerprints(docs))
-    distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("node")))
-    linked = connected_components(near_prints(distinct.where("node is not null"), max_bits), "node_a", "node_b")
-    least = distinct.join(linked, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
+    distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("least")))
+    linked = cut(connected_components(near_prints(distinct.select("print", F.col("print").alias("node")), max_bits), "node_a", "node_b").join(distinct.withColumnRenamed("print", "node"), "node"))
+    named = linked.select("node", "component").join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component")
+    least = distinct.join(named, F.col("print") == F.col("node"), "left").select("print", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     return prints.join(least, "print").select("doc_id", "print", "component_id")
 
 
