@@ -175,3 +175,24 @@ def thread_counters(spark: SparkSession, d: str) -> DataFrame:
     """Threads by kind and state, and the papers that they read and cite (every third)."""
     told = _threads(spark, d)
     return threads.counters(told, told.select("thread_id", F.explode("papers").alias("paper")).where("paper % 3 = 0"))
+
+
+_LABEL = "CASE vec_id % 5 WHEN 0 THEN 'Host-side Loading' WHEN 1 THEN 'host side loadings' WHEN 2 THEN 'Expert ' || label WHEN 3 THEN 'expert ' || label || 's' ELSE 'Other ' || vec_id END"
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, n AS (SELECT vec_id AS id, {_LABEL} AS label FROM embeddings),
+j AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE regexp_replace(regexp_replace(lower(x.label), '[^a-z0-9]', '', 'g'), 's$', '') = regexp_replace(regexp_replace(lower(y.label), '[^a-z0-9]', '', 'g'), 's$', '')),
+e AS (SELECT a AS u, b AS v FROM j UNION SELECT b, a FROM j),
+r AS (SELECT id, id AS k FROM n UNION SELECT e.v, r.k FROM r JOIN e ON e.u = r.id WHERE r.k < e.v),
+g AS (SELECT id, min(k) AS grp FROM r GROUP BY id),
+o AS (SELECT grp, label, row_number() OVER (PARTITION BY grp ORDER BY length(label), id) AS i FROM g JOIN n USING (id))
+SELECT g.id, regexp_replace(regexp_replace(lower(o.label), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS concept_id FROM g JOIN o ON o.grp = g.grp AND o.i = 1""")
+def normalized_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """Concepts of labels: similar vectors of one facet whose spelling a judge holds for equal."""
+    from corpusloom.operators.extraction import normalized_labels
+
+    number, facet = F.col("id") % 5, F.col("key").cast("string")
+    label = F.when(number == 0, "Host-side Loading").when(number == 1, "host side loadings").when(number == 2, F.concat(F.lit("Expert "), facet)).when(number == 3, F.concat(F.lit("expert "), facet, F.lit("s"))).otherwise(F.concat(F.lit("Other "), F.col("id").cast("string")))
+    items = _items(spark, d)
+    labels = items.select("id", label.alias("label"), F.col("key").alias("facet"))
+    return normalized_labels(labels, graph.similar_pairs(items, THRESHOLD))
