@@ -69,10 +69,19 @@ def _chunked(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return row, starts - offsets[row], lengths, digests
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, text_key): rows are told apart by both, 64 bits of a text within an id."""
+def keyed(docs: DataFrame, max_shared: int = MAX_SHARED) -> DataFrame:
+    """(doc_id, text, text_key, many): rows are told apart by id and text_key, 64 bits of a text.
+
+    The key is 0 where one row alone has the id, so that it costs the shuffle of chunks next to nothing. `many`: others
+    may have the id. Beyond `max_shared` repeated ids every row counts as such, with equal results.
+    """
     text = F.col("text").cast("string")
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
+    rows, again = docs.select("doc_id", text.alias("text")), cut(docs.groupBy(F.col("doc_id").alias("_doc_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_doc_id"))
+    if again.count() > max_shared:
+        return rows.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.lit(True).alias("many"))
+    told = rows.join(F.broadcast(again.withColumn("_many", F.lit(True))), F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
+    many = F.coalesce("_many", F.lit(False))
+    return told.select("doc_id", "text", F.when(many, F.xxhash64("text")).otherwise(0).alias("text_key"), many.alias("many"))
 
 
 def chunk_table(rows: DataFrame) -> DataFrame:
@@ -85,7 +94,7 @@ def chunk_table(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("text_key").take(at), pa.array(start.astype(np.int32)), pa.array(digests)], ["doc_id", "text_key", "start", "d1"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, start int, d1 long")
+    return rows.select("doc_id", "text", "text_key").mapInArrow(run, f"doc_id {kind}, text_key long, start int, d1 long")
 
 
 def _place() -> Column:
@@ -130,7 +139,8 @@ def marked(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     found = spans(rows)
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key"))
     # Rows that are equal in id and text are counted without their texts; one row of each stands for them.
-    copies = cut(rows.groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).agg(F.count("*").alias("_n")).where("_n > 1"))
+    copies = cut(rows.where("many").groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).agg(F.count("*").alias("_n")).where("_n > 1"))
+    rows = rows.drop("many")
     copies = F.broadcast(copies) if copies.count() <= MAX_SHARED else copies
     single = rows.join(copies, same, "left_anti").withColumn("_again", F.lit(False))
     many = rows.join(copies, same).drop("_doc_id", "_text_key").dropDuplicates(["doc_id", "text_key"])
