@@ -79,17 +79,28 @@ def abstract_pages(pages: DataFrame, leading: int = 3) -> DataFrame:
     return told.select("paper_id", F.coalesce("page", F.lit(1)).alias("page"))
 
 
-def json_path(pointer: Column) -> Column:
-    """A JSON pointer as a path of get_json_object: numbers are places in arrays."""
-    steps = F.filter(F.split(pointer, "/"), lambda x: x != "")
-    plain = F.transform(steps, lambda x: F.replace(F.replace(x, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
-    return F.concat(F.lit("$"), F.array_join(F.transform(plain, lambda x: F.when(x.rlike(r"^\d+$"), F.concat(F.lit("["), x, F.lit("]"))).otherwise(F.concat(F.lit("['"), x, F.lit("']")))), ""))
-
-
 def pointed(rows: DataFrame, document: str, pointer: str) -> DataFrame:
-    """`rows` with `value`, what the pointer finds in the JSON text, and `valid`, whether it finds anything (a JSON null counts as nothing)."""
-    told = rows.withColumn("_path", json_path(F.col(pointer)))
-    return told.withColumn("value", F.expr(f"get_json_object({document}, _path)")).withColumn("valid", F.col("value").isNotNull()).drop("_path")
+    """`rows` with `value`, what the pointer finds in the JSON text, and `valid`, whether it finds anything; a JSON null is found, with a null value.
+
+    A step is a place where an array stands, and a key, also of digits, where an object does. Objects and arrays are
+    given as JSON. A text that is no JSON, and a pointer that is neither empty nor begins with `/`, find nothing. A key
+    with quotes of both kinds isn't found.
+    """
+    told = F.transform(F.split(F.col(pointer), "/"), lambda x: F.replace(F.replace(x, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+    rooted = (F.col(pointer) == "") | F.col(pointer).startswith("/")
+    start = F.when(rooted, F.try_parse_json(F.col(document)))
+
+    def step(found: Column, x: Column) -> Column:
+        quote = F.when(x.contains("'"), '"').otherwise("'")
+        key = F.concat(F.lit("$["), quote, x, quote, F.lit("]"))
+        kind = F.schema_of_variant(found)
+        place = F.when(x.rlike(r"^(0|[1-9]\d{0,8})$"), F.try_variant_get(found, F.concat(F.lit("$["), x, F.lit("]")), "variant"))
+        return F.when(kind.startswith("ARRAY"), place).when(kind.startswith("OBJECT"), F.try_variant_get(found, key, "variant"))
+
+    at = F.aggregate(F.slice(told, F.lit(2), F.size(told)), start, step)
+    kind = F.schema_of_variant("_at")
+    value = F.when(kind.rlike("^(OBJECT|ARRAY)"), F.to_json("_at")).when(kind != "VOID", F.try_variant_get("_at", "$", "string"))
+    return rows.withColumn("_at", at).withColumn("value", value).withColumn("valid", F.col("_at").isNotNull()).drop("_at")
 
 
 def proposal_path(path: Column) -> Column:

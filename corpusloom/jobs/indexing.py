@@ -125,11 +125,12 @@ def abstract_pages(spark: SparkSession, d: str) -> DataFrame:
     return labels.abstract_pages(pages).select("paper_id", "page")
 
 
-@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN user_id::VARCHAR END AS value, event_id % 3 <> 2 AS valid FROM events""")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN user_id::VARCHAR WHEN 3 THEN 'digits' END AS value, event_id % 5 <> 2 AS valid FROM events""")
 def pointed_values(spark: SparkSession, d: str) -> DataFrame:
-    """What JSON pointers find in documents made of events; every third leads nowhere."""
-    document = F.to_json(F.struct(F.struct(F.array("event_type", F.col("user_id").cast("string")).alias("a/b")).alias("list")))
-    path = F.concat(F.lit("/candidate/list/a~1b/"), (F.col("event_id") % 3).cast("string"))
+    """What JSON pointers find in documents made of events: places, a key of digits, a null, and nothing."""
+    document = F.to_json(F.struct(F.struct(F.array("event_type", F.col("user_id").cast("string")).alias("a/b"), F.lit("digits").alias("3"), F.lit(None).cast("string").alias("none")).alias("list")), {"ignoreNullFields": "false"})
+    kind = F.col("event_id") % 5
+    path = F.concat(F.lit("/candidate/list/"), F.when(kind == 3, "3").when(kind == 4, "none").otherwise(F.concat(F.lit("a~1b/"), kind.cast("string"))))
     own = table(spark, d, "events").select("event_id", document.alias("document"), labels.proposal_path(path).alias("path"))
     return labels.pointed(own, "document", "path").select("event_id", "value", "valid")
 
@@ -144,3 +145,21 @@ def table_contexts(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(kind == 0, "**Table 3:** what it shows").when(kind == 1, "Baseline: one").when(kind == 2, "| a | b |\n|---|---|").when(kind == 3, "Note: rounded").otherwise(F.concat(F.lit("- "), F.coalesce("text", F.lit(""))))
     passages = table(spark, d, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("start"), (F.col("conv_id") * 100 + F.col("turn")).alias("passage"), text.alias("text"))
     return labels.table_contexts(passages)
+
+
+@query("SELECT doc_id AS record_id, source AS paper_id, text, 0 AS broken FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT NULL, NULL, NULL, count(*) FROM documents WHERE doc_id % 50 = 7")
+def json_line_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records that were written as JSON lines and read again, and how many lines among them hold no record."""
+    import uuid
+
+    from corpusloom.sources.artifacts import json_lines
+    from corpusloom.sources.tables import checkpoint_dir
+
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    own = _records(spark, d)
+    line = F.to_json(F.struct("record_id", "paper_id", "text"))
+    broken = own.where("record_id % 50 = 7").select(F.concat(F.lit("{"), F.col("record_id").cast("string")).alias("value"))
+    own.select(line.alias("value")).unionByName(broken).unionByName(own.where("record_id % 10 = 0").select(F.lit("  ").alias("value"))).write.text(folder)
+    rows, lost = json_lines(spark, folder, "record_id long, paper_id string, text string")
+    none = F.lit(None).cast("string")
+    return rows.withColumn("broken", F.lit(0).cast("long")).unionByName(lost.agg(F.count("*").alias("broken")).select(F.lit(None).cast("long").alias("record_id"), none.alias("paper_id"), none.alias("text"), "broken"))

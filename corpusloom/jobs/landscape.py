@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.jobs.registry import query
 from corpusloom.operators import graph, threads
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import cut, table
 
 #: The driver's vectors have no pairs from 0.8 on; 0.4 has some of every size of table.
 THRESHOLD = 0.4
@@ -173,7 +173,7 @@ SELECT kind, count(*) AS threads, count(*) FILTER (WHERE status = 'scheduled') A
 (SELECT count(DISTINCT paper) FROM u WHERE u.kind = th.kind) AS papers, (SELECT count(DISTINCT paper) FROM u WHERE u.kind = th.kind AND u.paper % 3 = 0) AS cited_papers FROM th GROUP BY kind""")
 def thread_counters(spark: SparkSession, d: str) -> DataFrame:
     """Threads by kind and state, and the papers that they read and cite (every third)."""
-    told = _threads(spark, d)
+    told = cut(_threads(spark, d))
     return threads.counters(told, told.select("thread_id", F.explode("papers").alias("paper")).where("paper % 3 = 0"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.jobs.registry import query
 from corpusloom.operators import assessments, comparison
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import cut, table
 
 COVERAGE = ("insufficient_evidence", "direct_empirical", "direct_theoretical", "inferred_implication", "discussed", "no_match_found")
 OVERLAP = ("SAME", "VERY_CLOSE", "PARTIAL", "DIFFERENT")
@@ -243,7 +243,7 @@ UNION ALL SELECT 'already_studied_indirect', target, '' FROM jt WHERE finding =
 UNION ALL SELECT 'target_set', target, 'missing' FROM tg WHERE total % 41 = 0""".replace("FROM jt WHERE", "FROM jt WHERE total % 41 <> 0 AND"))
 def assessment_violations(spark: SparkSession, d: str) -> DataFrame:
     """Findings that their cited, accepted evidence does not bear."""
-    pairs = _pairs(spark, d)
+    pairs = cut(_pairs(spark, d))
     rows, targets = _coverage_rows(pairs), _targets(pairs)
     cited = pairs.where("q % 10 = 1").select("target", F.col("target").alias("of_target"), "paper").unionByName(pairs.where("q % 31 = 2").select(F.concat_ws("-h", F.col("direction").cast("string"), ((F.col("k") + 1) % 4).cast("string")).alias("target"), F.col("target").alias("of_target"), "paper"))
     evidence = rows.where("state = 'reviewed'").select("target", "paper", "classification", "coverage")
@@ -425,19 +425,86 @@ def link_violations(spark: SparkSession, d: str) -> DataFrame:
     return assessments.link_checks(links, checks, requests)
 
 
-@query("""WITH q AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(substr(text, 1, 4), ''), '[\\s\\p{Z}]+', ' ', 'g'))) AS k, source AS s FROM documents)
+@query("""WITH q AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[\\s\\p{Z}]+', ' ', 'g'))) AS k, source AS s FROM documents)
 SELECT doc_id, doc_id > min(doc_id) OVER (PARTITION BY k, s) AS duplicate FROM q""")
 def repeated_questions(spark: SparkSession, d: str) -> DataFrame:
-    """Questions (the first characters of documents) that an earlier one of the same sources asks already."""
-    own = table(spark, d, "documents").select("doc_id", F.coalesce(F.substring("text", 1, 4), F.lit("")).alias("question"), F.array("source", "source").alias("sources"))
+    """Questions (documents) that an earlier one of the same sources asks already."""
+    own = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("question"), F.array("source", "source").alias("sources"))
     return assessments.duplicates(own, "question", "sources", "doc_id").select("doc_id", "duplicate")
 
 
-@query("SELECT count(*) AS n, sum(user_id)::BIGINT AS users FROM (SELECT DISTINCT event_type, user_id, round(value)::BIGINT AS v FROM events)")
+@query("SELECT event_type, user_id, round(value)::BIGINT AS v, min(event_id) AS event_id FROM events GROUP BY event_type, user_id, round(value)::BIGINT")
 def distinct_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Requests (events of a user with a value in whole numbers) that are not the same."""
-    own = table(spark, d, "events").select("event_type", "user_id", F.round("value").cast("long").alias("v"))
-    return assessments.distinct_requests(own, ["event_type", "user_id", "v"]).agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
+    """Requests (events of a user with a value in whole numbers) that are not the same, the first of each."""
+    own = table(spark, d, "events").select("event_id", "event_type", "user_id", F.round("value").cast("long").alias("v"))
+    return assessments.distinct_requests(own, ["event_type", "user_id", "v"], ["event_id"]).drop("digest")
+
+
+@query(f"""WITH {_SQL}, po AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY target) - 1 AS pos FROM pa),
+re AS (SELECT DISTINCT paper, CASE WHEN paper % 5 = 0 THEN 'pass' WHEN paper % 5 = 1 THEN 'abstain' WHEN paper % 5 < 4 THEN 'revise' END AS decision FROM pa),
+nm AS (SELECT po.paper, target FROM po WHERE pos = paper % 3 UNION SELECT paper, target FROM cl WHERE claim = 'c' || (paper % 8))
+SELECT paper, target FROM po JOIN re USING (paper) WHERE decision = 'pass' OR (decision = 'revise' AND paper % 7 NOT IN (3, 4) AND NOT EXISTS (SELECT 1 FROM nm WHERE nm.paper = po.paper AND nm.target = po.target))""")
+def accepted_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs that reviews accept; an issue that names no pair, or one that is not there, blocks its whole paper."""
+    from corpusloom.operators.ranking import numbered
+
+    pairs = cut(_pairs(spark, d))
+    placed = numbered(pairs.select("paper", "target"), ["paper"], ["target"], "pos").withColumn("pos", F.col("pos") - 1)
+    claims = _claims(pairs).select("paper", "target", "claim", F.substring("claim", 2, 1).cast("long").alias("pos"))
+    n = F.col("paper") % 5
+    reports = pairs.select("paper").distinct().select("paper", F.when(n == 0, "pass").when(n == 1, "abstain").when(n < 4, "revise").alias("decision"))
+    path = lambda head, c: F.concat(F.lit(head), c.cast("string"), F.lit("/text"))
+    k = F.col("paper") % 7
+    issues = reports.select("paper", F.explode(F.array_compact(F.array(path("/pairs/", F.col("paper") % 3), path("/claims/", F.col("paper") % 8), F.when(k == 3, "/summary"), F.when(k == 4, "/pairs/1000000/text")))).alias("field_path"))
+    return comparison.accepted_pairs(reports, placed, claims, issues)
+
+
+@query(f"""WITH {_SQL}, fr AS (SELECT target, paper FROM pa WHERE q % 4 = 1 UNION ALL SELECT target, paper FROM pa WHERE q % 4 = 1 AND paper % 10 = 3),
+sc AS (SELECT target, paper FROM pa WHERE q % 4 = 1 AND NOT (paper % 10 = 4 AND q % 8 = 1)),
+bd AS (SELECT paper FROM fr GROUP BY paper, target HAVING count(*) > 1 UNION SELECT fr.paper FROM fr WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.paper = fr.paper AND sc.target = fr.target))
+SELECT target, paper, CASE WHEN q % 4 = 1 AND paper NOT IN (SELECT paper FROM bd) THEN 'new ' || q ELSE 'old' END AS text FROM pa""")
+def patched_interpretations(spark: SparkSession, d: str) -> DataFrame:
+    """Interpretations of pairs after patches; a paper whose patch repeats a pair or changes one that is not affected keeps all of its own."""
+    pairs = cut(_pairs(spark, d))
+    own = pairs.select("target", "paper", F.lit("old").alias("text"))
+    fresh = pairs.where("q % 4 = 1").select("target", "paper", F.concat(F.lit("new "), F.col("q").cast("string")).alias("text"))
+    scope = pairs.where("q % 4 = 1 and not (paper % 10 = 4 and q % 8 = 1)").select("target", "paper")
+    return comparison.merged_pairs(own, fresh.unionByName(fresh.where("paper % 10 = 3")), scope)[0]
+
+
+_ACTIONS = ("retain", "narrow", "reframe", "reject", "defer")
+
+
+@query(f"""WITH {_SQL}, jt AS (SELECT direction, k, target, total, ({list(FINDINGS)})[total % 4 + 1] AS finding, total % 3 > 0 AS complete FROM tg),
+di AS (SELECT direction, max(total) FILTER (WHERE k = 0) AS t0 FROM jt GROUP BY direction HAVING count(*) FILTER (WHERE k = 0) > 0), pr2 AS (SELECT direction, t0, ({list(_ACTIONS)})[t0 % 5 + 1] AS action FROM di),
+hy AS (SELECT jt.*, action, t0, CASE WHEN total % 11 = 1 THEN NULL WHEN action = 'reject' OR total % 4 = 0 THEN 'removed' ELSE 'retained' END AS part FROM jt JOIN pr2 USING (direction) WHERE k > 0),
+ed AS (SELECT direction, t0, '/scope' AS field_path, t0 % 7 <> 1 AS changed FROM pr2 WHERE t0 % 3 = 0 UNION ALL SELECT direction, t0, '/title', true FROM pr2 WHERE t0 % 6 = 0 UNION ALL SELECT direction, t0, '/scope', true FROM pr2 WHERE t0 % 12 = 0),
+n AS (SELECT pr2.*, (SELECT count(*) FROM hy WHERE hy.direction = pr2.direction AND part = 'retained') AS kept, (SELECT count(*) FROM hy WHERE hy.direction = pr2.direction AND part = 'removed') AS gone, (SELECT count(*) FROM ed WHERE ed.direction = pr2.direction) AS edits FROM pr2)
+SELECT 'partition' AS rule, direction || '|' || target AS key, 'missing' AS detail FROM hy WHERE part IS NULL
+UNION ALL SELECT 'reject_and_retained', direction::VARCHAR, action FROM n WHERE (action = 'reject') = (kept > 0)
+UNION ALL SELECT 'reject_with_edits', direction::VARCHAR, '' FROM n WHERE action = 'reject' AND edits > 0
+UNION ALL SELECT 'silent_change', direction::VARCHAR, action FROM n WHERE action IN ('retain', 'defer') AND (gone > 0 OR edits > 0)
+UNION ALL SELECT 'narrow_nothing', direction::VARCHAR, '' FROM n WHERE action = 'narrow' AND gone = 0 AND edits = 0
+UNION ALL SELECT 'reframe_nothing', direction::VARCHAR, '' FROM n WHERE action = 'reframe' AND edits = 0
+UNION ALL SELECT 'removal', direction || '|' || target, finding FROM hy WHERE part = 'removed' AND finding <> 'ALREADY_STUDIED'
+UNION ALL SELECT 'unresolved_scope', direction || '|' || target, finding FROM hy WHERE action = 'retain' AND part = 'retained' AND (NOT complete OR finding = 'UNRESOLVED')
+UNION ALL SELECT 'repeated_edit', direction || '|/scope', '2' FROM pr2 WHERE t0 % 12 = 0
+UNION ALL SELECT 'edit_field', direction || '|/title', '' FROM pr2 WHERE t0 % 6 = 0
+UNION ALL SELECT 'edit_value', direction || '|/scope', '' FROM pr2 WHERE t0 % 3 = 0 AND t0 % 7 = 1""")
+def refinement_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Refinements whose action, removals or edits their findings do not bear."""
+    targets = cut(_targets(_pairs(spark, d)))
+    total, t0 = F.col("total"), F.col("t0")
+    findings = targets.select("direction", "target", _of(FINDINGS, total).alias("finding"))
+    coverage = targets.select("direction", "target", (total % 3 > 0).alias("complete"))
+    first = targets.where("k = 0").select("direction", total.alias("t0"))
+    proposals = first.select("direction", _of(_ACTIONS, t0).alias("action"), "t0")
+    hypotheses = targets.where("k > 0").join(proposals, "direction")
+    part = F.when(total % 11 == 1, None).when((F.col("action") == "reject") | (total % 4 == 0), "removed").otherwise("retained")
+    parts = hypotheses.select("direction", F.col("target").alias("hypothesis"), F.explode(F.array_compact(F.array(F.lit("original"), part))).alias("part"))
+    edit = lambda where, path, changed: proposals.where(where).select("direction", F.lit(path).alias("field_path"), F.lit(None).cast("string").alias("hypothesis"), changed.alias("changed"))
+    edits = edit("t0 % 3 = 0", "/scope", t0 % 7 != 1).unionByName(edit("t0 % 6 = 0", "/title", F.lit(True))).unionByName(edit("t0 % 12 = 0", "/scope", F.lit(True)))
+    return assessments.refinement(proposals.drop("t0"), parts, findings, coverage, edits)
 
 
 @query(f"WITH {_SQL}, {_CRITIC} SELECT direction, e AS experiment, target AS hypothesis, CASE WHEN total % 3 <> 0 THEN action END AS status FROM (SELECT *, unnest(['e1', 'e2']) AS e FROM tc WHERE k > 0) WHERE NOT (e = 'e2' AND k = 1)")

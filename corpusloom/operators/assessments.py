@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import gates
 from corpusloom.operators.comparison import DIRECT
+from corpusloom.operators.merging import first_rows
 
 #: The criteria of a critique: fixed values.
 CRITERIA = ("gap_support", "meaningful_distinction", "combination_justification", "mechanism_plausibility", "testability", "falsifiability", "negative_result_value", "research_contribution")
 CLOSE = ("SAME", "VERY_CLOSE")
+#: Fields of a proposal and of its hypotheses that an assessment may edit: fixed values.
+SCIENTIFIC = ("research_direction", "proposed_mechanism", "scope", "assumptions", "what_would_falsify_it")
+HYPOTHESIS_FIELDS = ("condition", "intervention", "expected_effect", "mechanism", "assumptions", "falsification_criterion")
 
 
 def draft_citations(findings: DataFrame, citations: DataFrame, bundle: DataFrame) -> DataFrame:
@@ -244,10 +248,48 @@ def routes(targets: DataFrame, revisions: DataFrame, links: DataFrame, merges: D
     return told.select("direction", stage.alias("next_stage"), recheck.alias("recheck"))
 
 
-def distinct_requests(requests: DataFrame, columns: list[str]) -> DataFrame:
-    """Requests that say the same, by a digest of what they say, once."""
+def distinct_requests(requests: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """Requests that say the same, by a digest of what they say, once: the first by `order`, so reruns agree."""
     digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    return requests.withColumn("digest", digest).dropDuplicates(["digest"])
+    return first_rows(requests.withColumn("digest", digest), ["digest"], order).select(*requests.columns, "digest")
+
+
+def refinement(proposals: DataFrame, parts: DataFrame, findings: DataFrame, coverage: DataFrame, edits: DataFrame, isolated: bool = False) -> DataFrame:
+    """What an assessment may do to a proposal: it parts the hypotheses once, its action fits what it removes and edits, removals rest on findings, and edits change scientific fields of what stays.
+
+    `proposals` (direction, action), `parts` (direction, hypothesis, part: original, retained or removed), `findings`
+    (direction, target, finding), `coverage` (direction, target, complete), `edits` (direction, field_path, hypothesis or
+    null, changed: another value of the same type). `isolated`: what is not decided yet may be removed too.
+    """
+    key, both = F.col("direction"), ["direction", "hypothesis"]
+    original, kept, gone = (parts.where(F.col("part") == p).select(*both) for p in ("original", "retained", "removed"))
+    n = lambda df, name: df.groupBy("direction").agg(F.count("*").alias(name))
+    told = proposals.join(n(kept, "_kept"), "direction", "left").join(n(gone, "_gone"), "direction", "left").join(n(edits, "_edits"), "direction", "left")
+    some = lambda c: F.coalesce(c, F.lit(0)) > 0
+    action, retained, removed, edited = F.col("action"), some("_kept"), some("_gone"), some("_edits")
+    state = coverage.select("direction", F.col("target").alias("hypothesis"), "complete").join(findings.select("direction", F.col("target").alias("hypothesis"), "finding"), both, "left")
+    allowed = F.coalesce(F.col("finding").isin(*(("ALREADY_STUDIED", "UNRESOLVED") if isolated else ("ALREADY_STUDIED",))), F.lit(False)) | (F.lit(isolated) & ~F.coalesce("complete", F.lit(False)))
+    own = proposals.select("direction", key.cast("string").alias("hypothesis"))
+    open_ = F.coalesce(~F.col("complete") | (F.col("finding") == "UNRESOLVED"), F.lit(True))
+    scope = proposals.where("action = 'retain'").select("direction").join(kept.unionByName(own.join(coverage.select("direction", F.col("target").cast("string").alias("hypothesis")), both, "left_semi")), "direction")
+    field, parts_of = F.element_at(F.split("field_path", "/"), -1), F.size(F.split("field_path", "/"))
+    legal = ((parts_of == 2) & field.isin(*SCIENTIFIC)) | ((parts_of == 4) & F.col("field_path").rlike(r"^/hypotheses/\d+/") & field.isin(*HYPOTHESIS_FIELDS) & F.coalesce("_stays", F.lit(False)))
+    placed = edits.join(kept.withColumn("_stays", F.lit(True)), both, "left")
+    name = F.concat_ws("|", *both)
+    return gates.gate(
+        gates.repeated(kept.unionByName(gone), both, "partition"),
+        gates.mismatched(original, kept.unionByName(gone), both, "partition"),
+        gates.violations(told, "reject_and_retained", (action == "reject") == retained, key, action),
+        gates.violations(told, "reject_with_edits", (action == "reject") & edited, key),
+        gates.violations(told, "silent_change", action.isin("retain", "defer") & (removed | edited), key, action),
+        gates.violations(told, "narrow_nothing", (action == "narrow") & ~removed & ~edited, key),
+        gates.violations(told, "reframe_nothing", (action == "reframe") & ~edited, key),
+        gates.violations(gone.join(state, both, "left"), "removal", ~allowed, name, F.col("finding")),
+        gates.violations(scope.join(state, both, "left"), "unresolved_scope", open_, name, F.col("finding")),
+        gates.repeated(edits, ["direction", "field_path"], "repeated_edit"),
+        gates.violations(placed, "edit_field", ~legal, F.concat_ws("|", "direction", "field_path")),
+        gates.violations(edits, "edit_value", ~F.coalesce("changed", F.lit(False)), F.concat_ws("|", "direction", "field_path")),
+    )
 
 
 def duplicates(rows: DataFrame, question: str, sources: str, key: str) -> DataFrame:

@@ -87,6 +87,19 @@ def issue_targets(issues: DataFrame, pairs: DataFrame, claims: DataFrame) -> Dat
     return of_pair.unionByName(of_claim).unionByName(lost).distinct()
 
 
+def accepted_pairs(reports: DataFrame, pairs: DataFrame, claims: DataFrame, issues: DataFrame) -> DataFrame:
+    """(paper, target) of the pairs that a review accepts: all where it passes, none where it abstains or there is no report, and else those that no issue names.
+
+    `reports` (paper, decision), `pairs` (paper, target, pos), `claims` (paper, target, claim, pos), `issues` (paper,
+    field_path). An issue that names neither a pair nor a claim of its paper blocks every pair of the paper.
+    """
+    named = issue_targets(issues, pairs, claims)
+    veto = named.where("target is null").select("paper").distinct()
+    told = pairs.select("paper", "target").join(reports.select("paper", "decision"), "paper")
+    revised = told.where("decision = 'revise'").join(veto, "paper", "left_anti").join(named.where("target is not null"), ["paper", "target"], "left_anti")
+    return told.where("decision = 'pass'").unionByName(revised).select("paper", "target")
+
+
 def projected(claims: DataFrame, accepted: DataFrame) -> DataFrame:
     """The claims that accepted pairs (target, paper) use."""
     return claims.join(accepted.select(*PAIR).distinct(), PAIR, "left_semi")
@@ -195,10 +208,12 @@ def locked(targets: DataFrame, judged: DataFrame, concerns: DataFrame, claims: D
     return told.select("target", F.when(F.col("_shared").isNotNull() | F.col("finding").isNull(), "UNRESOLVED").otherwise(F.col("finding")).alias("finding"))
 
 
-def merged_pairs(parent: DataFrame, fresh: DataFrame, scope: DataFrame) -> DataFrame:
-    """`parent` with the pairs of `fresh` in their place that are in scope and that it has."""
-    inside = fresh.join(scope.select(*PAIR).distinct(), PAIR, "left_semi").join(parent.select(*PAIR), PAIR, "left_semi")
-    return merge(parent, inside, PAIR)
+def merged_pairs(parent: DataFrame, fresh: DataFrame, scope: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(`parent` with the pairs of `fresh` in their place, violations): a patch of interpretations names affected pairs only, each once, or none of a paper's is taken."""
+    wrong = gates.gate(gates.repeated(fresh, PAIR, "duplicate_patch"), gates.mismatched(fresh.join(scope.select(*PAIR), PAIR, "left_semi"), fresh, PAIR, "unaffected_changed"))
+    bad = fresh.groupBy(*PAIR).agg(F.count("*").alias("_n")).join(scope.select(*PAIR).distinct().withColumn("_in", F.lit(True)), PAIR, "left").where("_n > 1 or _in is null").select("paper").distinct()
+    inside = fresh.join(bad, "paper", "left_anti").join(parent.select(*PAIR), PAIR, "left_semi")
+    return merge(parent, inside, PAIR), wrong
 
 
 def needs_repair(scope_gaps: Column, claim_defects: Column, coverage_defects: Column, rounds: Column, repeated: Column, limit: int = 3) -> Column:

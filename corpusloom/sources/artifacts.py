@@ -17,6 +17,27 @@ def analyses(spark: SparkSession, *roots: str) -> DataFrame:
     return raw.select(F.element_at(F.split("path", "/"), -2).alias("folder"), F.when(valid, "loaded").otherwise("invalid").alias("status"), F.sha2("content", 256).alias("sha256"), F.when(valid, doc).alias("doc"))
 
 
+def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of the schema, lines (file, line) that hold no such object) of files of one JSON object a line; blank lines are none."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).where(F.trim("line") != "")
+    parsed = raw.withColumn("_row", F.from_json("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    broken = F.col("_row").isNull() | F.col("_row._bad").isNotNull()
+    return parsed.where(~broken).select("_row.*").drop("_bad"), parsed.where(broken).select("file", "line")
+
+
+def catalogue(spark: SparkSession, *paths: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, violations) of the first of some paths that there is anything at: metadata in JSON lines, whose entries without a paper_id or with one that repeats are violations."""
+    from corpusloom.operators import gates
+
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if (found := where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)) is not None and len(found):
+            entries, broken = json_lines(spark, path, schema)
+            blank = F.coalesce(F.trim("paper_id"), F.lit("")) == ""
+            return entries, gates.gate(gates.violations(entries, "no_paper_id", blank, F.col("title")), gates.repeated(entries.where(~blank), ["paper_id"], "repeated_paper"), gates.violations(broken, "broken_line", F.lit(True), F.col("file")))
+    raise FileNotFoundError(f"none of {paths}")
+
+
 def pages(spark: SparkSession, root: str) -> DataFrame:
     """(folder, page, text, sha256) of `<root>/*/<number>.md`; of several files for a page the one with the longest name (NN.md before N.md)."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(f"{root}/*")
