@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import packing
 from corpusloom.operators.ranking import numbered
+from corpusloom.sources.tables import cut
 
 #: The order in which kinds are scheduled: fixed values.
 KINDS = ("relationship", "aggregated_finding", "recurring_limitation", "common_assumption", "underexplored_regime", "contradiction")
@@ -18,13 +19,19 @@ def candidates(supporting: DataFrame, groups: DataFrame, members: DataFrame, cap
     """(thread, paper, supporting, shared): the papers that an item may read.
 
     `supporting` (thread, paper), `groups` (thread, concept) of the item, `members` (concept, paper). Papers of its
-    groups are needed, by how many of them share one, only where fewer than `cap` support it.
+    groups are needed, by how many of them share one, only where fewer than `cap` support it. Threads
+    with the same groups share one pool, and only the first `2 * cap` papers of a pool, by sharing and id, can be read
+    by any of them: no more meet its threads, however many papers a concept has and threads it is in.
     """
     own = supporting.select("thread", "paper").distinct().withColumn("supporting", F.lit(True))
     full = own.groupBy("thread").agg(F.count("*").alias("n")).where(F.col("n") >= cap).select("thread")
     open_groups = groups.select("thread", "concept").distinct().join(full, "thread", "left_anti")
-    pool = open_groups.join(members.select("concept", "paper").distinct(), "concept").groupBy("thread", "paper").agg(F.count("*").alias("shared"))
-    told = pool.join(own, ["thread", "paper"], "full")
+    pools = cut(open_groups.groupBy("thread").agg(F.array_sort(F.collect_set("concept")).alias("pool")))
+    single = pools.select("pool").distinct().select("pool", F.explode("pool").alias("concept"))
+    shares = single.join(members.select("concept", "paper").distinct(), "concept").groupBy("pool", "paper").agg(F.count("*").alias("shared"))
+    first = Window.partitionBy("pool").orderBy(F.desc("shared"), F.asc("paper"))
+    best = cut(shares.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= 2 * cap).drop("_place"))
+    told = pools.join(best, "pool").select("thread", "paper", "shared").join(own, ["thread", "paper"], "full")
     return told.select("thread", "paper", F.coalesce("supporting", F.lit(False)).alias("supporting"), F.coalesce("shared", F.lit(0)).alias("shared"))
 
 

@@ -148,9 +148,16 @@ def test_similar_pairs(spark):
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     items = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(vectors)], "id int, key int, vector array<double>")
     expected = {(i, j) for i in range(80) for j in range(i + 1, 80) if i % 2 == j % 2 and vectors[i] @ vectors[j] >= 0.8}
-    for exact in (graph.EXACT, 10):  # all with all, and hashed
-        found = graph.similar_pairs(items, 0.8, exact=exact)
+    for settings in ({}, {"exact": 10}, {"exact": 10, "missed": 0.002}):  # all with all, in tiles, and hashed
+        found = graph.similar_pairs(items, 0.8, **settings)
         assert {(r["a"], r["b"]) for r in found.collect()} == expected and expected
+    many = items.withColumn("n", F.lit(40))
+    for tile in (1, 7, 1000):  # tiles of any size, and thresholds that leave out none of them
+        assert {(r["a"], r["b"]) for r in graph.tiled_pairs(many, 0.8, tile).collect()} == expected
+        low = {(i, j) for i in range(80) for j in range(i + 1, 80) if i % 2 == j % 2 and vectors[i] @ vectors[j] >= -0.1}
+        assert {(r["a"], r["b"]) for r in graph.tiled_pairs(many, -0.1, tile).collect()} == low
+    named = items.withColumn("id", F.format_string("v%02d", "id"))
+    assert {(int(r["a"][1:]), int(r["b"][1:])) for r in graph.similar_pairs(named, 0.8, exact=10).collect()} == expected
     assert graph.clusters(items, found).count() == 80
     copies = items.unionByName(items.where("id < 10").withColumn("id", F.col("id") + 100))
     assert {(r["a"], r["b"]) for r in graph.similar_pairs(copies, 0.8).collect()} == expected  # copies make no pairs
