@@ -51,6 +51,17 @@ def embedded(records: DataFrame, embedder: Embedder | None = None, text: str = "
     return records.select(key, text).mapInPandas(run, f"{key} {kind}, vector array<double>")
 
 
+#: What some models want before a query, not before a text that is searched: a fixed form.
+INSTRUCTED = "Instruct: {task}\nQuery: {query}"
+
+
+def embedded_queries(queries: DataFrame, embedder: Embedder | None = None, task: str | None = None) -> DataFrame:
+    """(query_id, vector) of queries (query_id, text): by the model that made the vectors which they are to meet, with its instruction where it is told apart from texts."""
+    before, after = INSTRUCTED.split("{query}")
+    text = F.concat(F.lit(before.format(task=task)), F.coalesce("text", F.lit("")), F.lit(after)) if task else F.col("text")
+    return embedded(queries.select("query_id", text.alias("text")), embedder, key="query_id")
+
+
 def same_by_spelling(a: Column, b: Column) -> Column:
     """The default judge of two labels: equal letters and digits, or one in plural."""
     plain = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", ""), "s$", "")

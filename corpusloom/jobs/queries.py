@@ -364,4 +364,4 @@ def proposal_changes(spark: SparkSession, d: str) -> DataFrame:
     return review_operators.scientific_changes(old, new, "o_orderkey", ["o_orderdate"])
 
 
-from corpusloom.jobs import analyses, batches, indexing, integrity, landscape, provenance, reviews, revisions  # noqa: E402, F401  its queries
+from corpusloom.jobs import analyses, batches, indexing, integrity, landscape, provenance, reviews, revisions, views  # noqa: E402, F401  its queries
