@@ -526,3 +526,25 @@ def assigned_ids(spark: SparkSession, d: str) -> DataFrame:
     own = told.select("index", "hypotheses", F.array(F.struct(F.lit("x").alias("id"), F.array(F.element_at("hypotheses", -1)).alias("hypothesis_ids"))).alias("experiments"))
     made = assessments.assigned_ids(own)
     return made.select("direction", F.array_join("hypotheses", ",").alias("hypotheses"), F.concat_ws(":", F.col("experiments")[0]["id"], F.col("experiments")[0]["hypothesis_ids"][0]).alias("experiment"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS direction, c_custkey % 4 > 0 AS changed, c_custkey % 4 = 1 AS reuse, c_custkey % 4 >= 2 AS again FROM customer),
+v AS (SELECT *, CASE WHEN changed AND direction % 11 = 1 THEN 'no_certificate' WHEN NOT changed AND direction % 13 = 0 THEN 'needless_certificate' WHEN changed AND direction % 17 = 2 THEN 'repeated_certificate' WHEN (changed OR direction % 13 = 0) AND direction % 19 = 3 THEN 'certificate_lineage'
+WHEN again AND direction % 23 = 4 THEN 'no_fresh_work' WHEN again AND direction % 29 = 5 THEN 'fresh_work_of_another' WHEN NOT again AND direction % 31 = 6 THEN 'unrelated_refresh' WHEN reuse AND direction % 9 = 7 THEN 'reuse_not_borne_out' END AS rule FROM c)
+SELECT direction, coalesce(rule, '') AS rule, CASE WHEN rule IS NULL THEN CASE WHEN changed THEN 'new' ELSE 'old' END || direction ELSE '' END AS digest, CASE WHEN rule IS NOT NULL THEN '' WHEN again THEN 'fresh' ELSE 'prior' END AS work FROM v""")
+def rebound_comparisons(spark: SparkSession, d: str) -> DataFrame:
+    """Prior work of directions (customers) after a revision: kept, certified for reuse, or done again; and why some is not rebound."""
+    n = F.col("direction")
+    text = n.cast("string")
+    own = table(spark, d, "customer").select(F.col("c_custkey").alias("direction"))
+    old, new = F.concat(F.lit("old"), text), F.when(n % 4 > 0, F.concat(F.lit("new"), text)).otherwise(F.concat(F.lit("old"), text))
+    directions = own.select("direction", old.alias("old_sha256"), new.alias("new_sha256"), (n % 9 != 7).alias("same_science"))
+    records = own.select("direction", old.alias("candidate_sha256"), F.lit("prior").alias("work"))
+    certified = ((n % 4 > 0) & (n % 11 != 1)) | ((n % 4 == 0) & (n % 13 == 0))
+    certificates = own.where(certified).select("direction", F.when(n % 4 >= 2, "recheck").otherwise("reuse").alias("decision"), F.when(n % 19 == 3, "x").otherwise(old).alias("original_sha256"), new.alias("revised_sha256"), F.lit(True).alias("agreed"))
+    certificates = certificates.unionByName(certificates.where("direction % 17 = 2 and direction % 4 > 0"))
+    fresh = own.where(((n % 4 >= 2) & (n % 23 != 4)) | ((n % 4 < 2) & (n % 31 == 6))).select("direction", F.when(n % 29 == 5, "y").otherwise(new).alias("candidate_sha256"), F.lit("fresh").alias("work"))
+    out, wrong = comparison.rebound(records, directions, certificates, fresh)
+    told = own.join(wrong.where("rule = 'rebind'").select(F.col("key").cast("long").alias("direction"), F.col("detail").alias("rule")), "direction", "left").join(out, "direction", "left")
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    return told.select("direction", empty("rule").alias("rule"), empty("candidate_sha256").alias("digest"), empty("work").alias("work"))

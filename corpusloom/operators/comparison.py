@@ -199,6 +199,37 @@ def reuse(old: DataFrame, new: DataFrame, certificates: DataFrame, key: str, exp
     return told.select(key, decision.alias("decision"))
 
 
+def rebound(records: DataFrame, directions: DataFrame, certificates: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records of the new versions, violations): prior work of a revised set of directions, reused where that is certified and replaced where it was done again.
+
+    `records` and `fresh` (direction, candidate_sha256, ...), `directions` (direction, old_sha256, new_sha256,
+    same_science), `certificates` (direction, decision reuse or recheck, original_sha256, revised_sha256, agreed). An
+    unchanged direction keeps its record, a reused one keeps it under the new digest, one to recheck takes the fresh
+    one. Nothing is rebound of a direction with a violation.
+    """
+    told = directions.join(certificates.groupBy("direction").agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in ("decision", "original_sha256", "revised_sha256", "agreed"))), "direction", "left")
+    due = fresh.groupBy("direction").agg(F.count("*").alias("_fresh"), F.first("candidate_sha256").alias("_digest"))
+    told = told.join(due, "direction", "left").withColumn("_changed", ~F.col("old_sha256").eqNullSafe(F.col("new_sha256")))
+    again, reused = F.col("decision") == "recheck", F.col("decision") == "reuse"
+    lineage = F.col("original_sha256").eqNullSafe(F.col("old_sha256")) & F.col("revised_sha256").eqNullSafe(F.col("new_sha256"))
+    rule = (
+        F.when(F.col("_changed") & F.col("_n").isNull(), "no_certificate")
+        .when(~F.col("_changed") & F.col("_n").isNotNull(), "needless_certificate")
+        .when(F.col("_n") > 1, "repeated_certificate")
+        .when(F.col("_n").isNotNull() & ~lineage, "certificate_lineage")
+        .when(again & F.col("_fresh").isNull(), "no_fresh_work")
+        .when(again & (F.col("_digest") != F.col("new_sha256")), "fresh_work_of_another")
+        .when(~F.coalesce(again, F.lit(False)) & F.col("_fresh").isNotNull(), "unrelated_refresh")
+        .when(reused & ~F.coalesce(F.col("same_science") & F.col("agreed"), F.lit(False)), "reuse_not_borne_out")
+    )
+    told = told.withColumn("_rule", rule)
+    lost = gates.gate(gates.mismatched(directions, records, ["direction"], "record"), gates.violations(fresh.join(directions, "direction", "left_anti"), "unknown_direction", F.lit(True), F.col("direction")))
+    sound = told.where("_rule is null").select("direction", "new_sha256", F.coalesce(again & F.col("_changed"), F.lit(False)).alias("_again"))
+    kept = records.join(sound.where("not _again"), "direction").withColumn("candidate_sha256", F.col("new_sha256")).select(*records.columns)
+    out = kept.unionByName(fresh.join(sound.where("_again").select("direction"), "direction", "left_semi").select(*records.columns))
+    return out, lost.unionByName(gates.violations(told, "rebind", F.col("_rule").isNotNull(), F.col("direction"), F.col("_rule")))
+
+
 def locked(targets: DataFrame, judged: DataFrame, concerns: DataFrame, claims: DataFrame) -> DataFrame:
     """(target, finding): each target's own judgement, UNRESOLVED without one or where a concern (paper, claim or null) disputes evidence it rests on."""
     any_claim = concerns.where("claim is null").select("paper").distinct()
