@@ -185,11 +185,11 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pylist(rows, schema=schema)
 
     for batch in batches:
-        for path, piece in zip(batch.column("file").to_pylist(), batch.column("piece").to_pylist(), strict=True):
-            found = []
+        for path, piece in zip(batch.column("file"), batch.column("piece"), strict=True):  # a piece at a time becomes an object
+            found, path = [], path.as_py()
             if path != file:
                 found, file = [reader.close()], path
-            found.append(reader.feed(piece or b""))
+            found.append(reader.feed(piece.as_py() or b""))
             for row in found:
                 if row:
                     rows.append(row)
