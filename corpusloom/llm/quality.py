@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,8 +47,8 @@ RULES = (
 
 
 def _removed(text: Column, characters: str) -> Column:
-    """How many of the characters a text has."""
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    """How many of the ASCII characters a text has: bytes that go when each is taken out, which costs less than a translation of the whole text."""
+    return reduce(Column.__add__, (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in characters))
 
 
 def _windows(found: Column) -> Column:
@@ -82,7 +83,6 @@ def measures(docs: DataFrame) -> DataFrame:
     second = windows.select("doc_id", "given", "text", "found", "lines", _repeats(F.col("hashes")).alias("hashed"))
     third = second.select("doc_id", "given", "text", "found", "lines", F.sort_array(F.transform(F.filter("hashed", _twin(F.col("hashed"))), lambda x: x.i)).alias("starts"))
     ends = lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("starts"), i + 1) - x, F.lit(WINDOW)))
-    stop = F.array(*map(F.lit, sorted(set(STOP_WORDS))))
     long = lambda c, name: c.cast("long").alias(name)
     return third.select(
         "doc_id",
@@ -90,13 +90,13 @@ def measures(docs: DataFrame) -> DataFrame:
         row,
         F.lit(1).cast("long").alias("one"),
         long(F.size("found"), "n_words"),
-        long(F.length(F.translate("text", " \t\n\x0b\x0c\r", "")), "word_chars"),
+        long(F.length(F.array_join("found", "")), "word_chars"),
         long(_removed(F.col("text"), SYMBOLS), "n_symbols"),
         long(F.size("lines"), "n_lines"),
         long(F.size("lines") - F.size(F.array_distinct("lines")), "n_dup_lines"),
         long(F.aggregate(F.transform("starts", ends), F.lit(0), lambda a, b: a + b), "n_repeat_words"),
         long(_removed(F.col("text"), "!"), "n_exclamations"),
-        long(F.size(F.filter("found", lambda w: F.array_contains(stop, F.lower(w)))), "n_stop_words"),
+        long(F.size(F.filter("found", lambda w: F.lower(w).isin(*sorted(set(STOP_WORDS))))), "n_stop_words"),
         long(F.size(F.filter("found", lambda w: w.rlike(r"\p{L}"))), "n_letter_words"),
         long(F.size(F.filter("lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))), "n_ellipsis_lines"),
         long(F.size(F.filter("lines", lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•][\x20\x09-\x0D]"))), "n_bullet_lines"),
