@@ -15,6 +15,8 @@ TEXTS = {"q1": "the of and with", "q2": "der die und ist", "q3": "que los las pa
 WORDS = r"[\p{L}\p{N}_]+"
 #: Queries that each target (benchmark item) has, of six words each.
 PARTS, WIDTH = 4, 6
+#: Folders of the index, a file or more each.
+BUCKETS = 32
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +29,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def _postings(spark: SparkSession, d: str) -> str:
     folder = f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
-    batch_search.build_postings(_records(spark, d), folder)
+    batch_search.build_postings(_records(spark, d), folder, buckets=BUCKETS)
     return folder
 
 
