@@ -229,12 +229,11 @@ def _of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows, contracted = merged(contracted)
         return _table(rows)
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            block.append(conversation(row["conv_id"], row["path"], row["sizes"]))
-            size += len(row["path"]) + 1
-            if len(block) >= BLOCK or size >= BLOCK_BYTES:
-                yield from close()
+    for row in (r for batch in batches for at in range(0, batch.num_rows, BLOCK) for r in batch.slice(at, BLOCK).to_pylist()):
+        block.append(conversation(row["conv_id"], row["path"], row["sizes"]))
+        size += len(row["path"]) + 1
+        if len(block) >= BLOCK or size >= BLOCK_BYTES:
+            yield from close()
     if block:
         yield from close()
     if contracted:
