@@ -14,6 +14,9 @@ Candidates are compared shingle by shingle, never all with all: in each round a
 its centres only, of which every round has twice as many, chosen among those to which the key is core. A text that is
 near to one before it goes, and a centre that was compared with all members leaves the bucket. Those that stay stay
 in their buckets until they were compared, so no two of them that share a key are near.
+
+Rows made of one text's keys or shingles are joined by merging: Spark reckons their size by that of the texts' rows and
+would broadcast many times as much, by way of the driver.
 """
 
 from __future__ import annotations
@@ -100,7 +103,7 @@ def rarest(held: DataFrame) -> DataFrame:
     hashed = cut(held.select("row", "text").mapInArrow(_hashed, "row binary, found array<long>"))
     single = hashed.select("row", F.size("found").alias("size"), F.explode("found").alias("key"))
     counts = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = single.join(counts, "key").groupBy("row", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("shared"))
+    shared = single.hint("merge").join(counts, "key").groupBy("row", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("shared"))
     alone = F.col("size") - F.size("shared")
     prefix = lambda share: (F.col("size") - F.ceil(F.col("size") * F.lit(share) - 1e-9) + 1 - alone).cast("int")
     first = shared.select("row", "size", prefix(2 * SIMILARITY / (1 + SIMILARITY)).alias("core"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), prefix(SIMILARITY)))).alias("pos", "s"))
@@ -165,7 +168,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     links = near_prints(prints.select("print", F.col("print").alias("node"))).select(F.explode(F.array("node_a", "node_b")).alias("print"), F.xxhash64(F.lit("link"), "node_a", "node_b").alias("key"))
     members = distinct.select("place", "size", F.explode(F.concat("bands", F.array(F.xxhash64(F.lit("print"), "print")))).alias("key"))
     members = members.unionByName(links.join(prints, "print").select("place", "size", "key"))
-    members = cut(members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    members = cut(members.hint("merge").join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     asked = members.select(F.col("place.row").alias("row")).distinct()
     held = cut(told.select("row", "text").join(asked, "row", "left_semi").dropDuplicates(["row"]))
     hot = cut(members.where(F.col("n") > HOT).select("place", F.col("place.row").alias("row")).distinct())

@@ -126,7 +126,8 @@ def near_prints(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     ask = distinct.mapInArrow(_keyed(True), "key long, print_a long, node_a long")
     found = distinct.mapInArrow(_keyed(False), "key long, print_b long, node_b long")
     verified = (F.col("print_a") < F.col("print_b")) & (F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b"))) <= max_bits)
-    return ask.join(found, "key").where(verified).select("node_a", "node_b").distinct()
+    # Spark takes the keys of a print for one row, so without the hint it would broadcast some 30 times what it reckons.
+    return ask.hint("merge").join(found, "key").where(verified).select("node_a", "node_b").distinct()
 
 
 def components(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

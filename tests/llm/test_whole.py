@@ -156,6 +156,18 @@ def test_near_dedup_at_the_line_of_hot_buckets(spark, n):
     assert sorted(r["doc_id"] for r in near_texts.near_dedup(frame).collect()) == [0, *range(n, 2 * n)]
 
 
+def test_keys_of_texts_are_not_broadcast(spark):
+    """A print has up to 36 keys and a text many shingles, which Spark doesn't reckon with: such rows never go by way of the driver."""
+    numbers = spark.range(4)  # unlike a list, of a size that Spark knows
+    prints = numbers.select(F.shiftleft("id", 40).alias("print")).select("print", F.col("print").alias("node"))
+    held = numbers.select(F.unhex(F.lpad(F.hex("id"), 2, "0")).alias("row"), F.when(F.col("id") < 2, prose(40, 70)).otherwise(prose(40, 71)).alias("text"))
+    links, keyed = simhash.near_prints(prints), near_texts.rarest(held)
+    for frame in (links, keyed):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in links.collect()} == {(a << 40, b << 40) for a, b in combinations(range(4), 2)}
+    assert {r["row"] for r in keyed.collect()} == {bytes([k]) for k in range(4)}
+
+
 def test_licenses_in_repetitive_texts(spark):
     """A license thousands of times in one text, and a part of one over and over: the first place, and nothing."""
     mit = licenses.TEMPLATES[9][2]
