@@ -122,10 +122,13 @@ def index(docs: DataFrame) -> DataFrame:
 
 
 def stored_index(docs: DataFrame) -> DataFrame:
-    """The index, written to the shared folder of spark.checkpoint.dir: its columns are then read one by one."""
+    """The index, written to the shared folder of spark.checkpoint.dir: its columns are then read one by one.
+
+    Each shard is a file of its own. Spark's reader takes thousands of rows of a file at once, here all its shards.
+    """
     spark = docs.sparkSession
     folder = f"{checkpoint_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
-    index(docs).write.parquet(folder)
+    index(docs).write.option("maxRecordsPerFile", 1).parquet(folder)
     return spark.read.parquet(folder)
 
 
@@ -217,25 +220,31 @@ def _searcher(queries: list[tuple[object, list[str]]], frequencies: dict[str, in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops: list[list[tuple]] = [[] for _ in queries]
         values = pa.array(vocabulary, pa.string())
+
+        def visit(batch: pa.RecordBatch, row: int) -> None:
+            """One shard; what it takes is free again before the next."""
+            docs, lengths, terms, sizes, posts, counts = (batch.column(c).slice(row, 1).flatten() for c in ("docs", "lengths", "terms", "sizes", "posts", "counts"))
+            place = pc.fill_null(pc.index_in(terms, value_set=values), -1).to_numpy(zero_copy_only=False)
+            sizes, ends = sizes.to_numpy(), np.cumsum(sizes.to_numpy())
+            mine = np.flatnonzero(place >= 0)
+            if not len(mine):
+                return
+            own = sizes[mine].astype(np.int64)
+            spots = np.repeat(ends[mine] - sizes[mine] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            at, found = posts.to_numpy()[spots].astype(np.int64), counts.to_numpy()[spots].astype(np.int64)
+            ranges = Ranges(at, np.repeat(weights[place[mine]], own) * impacts(found, lengths.to_numpy()[at], n_docs, n_terms), own)
+            lists = np.full(len(vocabulary), -1, np.int64)
+            lists[place[mine]] = np.arange(len(mine))
+            ids = docs.slice(0, len(docs) - docs.null_count).to_pylist()
+            for q, numbered in enumerate(asked):
+                there = lists[numbered]
+                if len(there := there[there >= 0]):
+                    tops[q], _ = best(ranges, there, ids, len(docs), tops[q], k)
+
         for batch in batches:
             for row in range(batch.num_rows):
-                docs, lengths, terms, sizes, posts, counts = (batch.column(c).slice(row, 1).flatten() for c in ("docs", "lengths", "terms", "sizes", "posts", "counts"))
-                place = pc.fill_null(pc.index_in(terms, value_set=values), -1).to_numpy(zero_copy_only=False)
-                sizes, ends = sizes.to_numpy(), np.cumsum(sizes.to_numpy())
-                mine = np.flatnonzero(place >= 0)
-                if not len(mine):
-                    continue
-                own = sizes[mine].astype(np.int64)
-                spots = np.repeat(ends[mine] - sizes[mine] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-                at, found = posts.to_numpy()[spots].astype(np.int64), counts.to_numpy()[spots].astype(np.int64)
-                ranges = Ranges(at, np.repeat(weights[place[mine]], own) * impacts(found, lengths.to_numpy()[at], n_docs, n_terms), own)
-                lists = np.full(len(vocabulary), -1, np.int64)
-                lists[place[mine]] = np.arange(len(mine))
-                ids = docs.slice(0, len(docs) - docs.null_count).to_pylist()
-                for q, numbered in enumerate(asked):
-                    there = lists[numbered]
-                    if len(there := there[there >= 0]):
-                        tops[q], _ = best(ranges, there, ids, len(docs), tops[q], k)
+                visit(batch, row)
+            del batch
         rows = [(q, queries[q][0], doc_id, -score) for q, top in enumerate(tops) for score, _, doc_id in top]
         columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), query_kind, kind, pa.int64()), strict=True)], ["_query", "item_id", "doc_id", "score"])

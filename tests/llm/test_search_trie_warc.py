@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import prefix_trie, ranked_search, warc
 
@@ -56,6 +57,15 @@ def test_ranked_search(spark, monkeypatch):
     assert searched(spark, docs, items) == ranking(docs, items)
 
 
+def test_ranked_search_reads_a_shard_at_a_time(spark, monkeypatch):
+    """A task with many shards writes each to a file of its own: a reader takes all rows of a file at once."""
+    monkeypatch.setattr(ranked_search, "SHARD_BYTES", 1000)
+    docs = [(i, " ".join(rnd.choices(WORDS, k=30))) for i in range(100)]
+    stored = ranked_search.stored_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    shards = stored.select(F.input_file_name().alias("file"), F.size("docs").alias("docs")).collect()
+    assert len({r["file"] for r in shards}) == len(shards) > 5 and sum(r["docs"] for r in shards) == 100
+
+
 def test_ranked_search_blocks_and_text_ids(spark, monkeypatch):
     monkeypatch.setattr(ranked_search, "BLOCK_BYTES", 40)
     docs = [(f"d{i:03d}", " ".join(rnd.choices(WORDS, k=20))) for i in range(60)] + [(None, "abc abc")]
