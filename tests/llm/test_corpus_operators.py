@@ -11,6 +11,7 @@ from itertools import combinations
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,6 +306,37 @@ def test_suffix_dedup(spark, length):
     assert rows(suffixes.removed(frame(spark, texts), length)) == sorted(brute_removed(texts, length), key=str)
 
 
+def test_suffix_dedup_returns_what_stays(spark, tmp_path):
+    """The runs and the bytes, of which the query's figures come, and the text: without the shared passage, whatever the cuts go through."""
+    passage = prose(120, seed=1)
+    texts = [(1, prose(60, seed=2) + "<" + passage + ">" + prose(60, seed=3)), (2, passage + "|" + prose(60, seed=4)), (3, prose(90, seed=5)), (4, "á" * 300 + "éx"), (5, "á" * 300 + "öy"), (6, None), (7, ""), (8, prose(9) + " " + passage[:399])]
+    raw = {i: (t or "").encode() for i, t in texts}
+    got = {r["doc_id"]: r for r in suffixes.deduplicated(frame(spark, texts)).collect()}
+    assert len(got) == len(texts) and [(s["start"], s["end"]) for s in got[2]["spans"]] == [(0, len(passage))]
+    for i, r in got.items():
+        gone = bytearray(len(raw[i]))
+        for s in r["spans"]:
+            gone[s["start"] : s["end"]] = b"\1" * (s["end"] - s["start"])
+        assert bytes(r["kept"]) == bytes(b for b, x in zip(raw[i], gone, strict=True) if not x)
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    told = suffixes.op6_suffix_dedup(spark, str(tmp_path))
+    assert told.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    assert rows(told.drop("kept_text")) == sorted(brute_removed(texts, 400), key=str)
+    text = {r["doc_id"]: r["kept_text"] for r in told.collect()}
+    assert text[1] == texts[0][1].replace(passage, "") and text[2] == "|" + prose(60, seed=4) and text[4] == "\ufffdx"
+    assert text[3] == texts[2][1] and text[8] == texts[7][1] and text[6] == text[7] == ""
+    assert text == {i: bytes(r["kept"]).decode("utf-8", "replace") for i, r in got.items()}
+
+
+def test_records_of_suffixes_go_out_in_even_batches():
+    """A batch for each of many short texts costs more than their records; one for a long repetitive text has no bound."""
+    rows = ((k, k, -k, 7, k, k, 1) for k in range(2 * suffixes.BATCH + 5))
+    batches = list(suffixes._records(rows, pa.int64()))
+    assert [b.num_rows for b in batches] == [suffixes.BATCH, suffixes.BATCH, 5]
+    assert batches[1].to_pylist()[0] == dict(zip(["doc_id", *suffixes.RECORD], (suffixes.BATCH, suffixes.BATCH, -suffixes.BATCH, 7, suffixes.BATCH, suffixes.BATCH, 1), strict=True))
+    assert not list(suffixes._records((), pa.int64()))
+
+
 def test_suffix_dedup_takes_any_ids(spark):
     texts = [("a", prose(90, seed=1)), ("b", prose(90, seed=1)), ("b", prose(90, seed=2))]
     got = suffixes.removed(spark.createDataFrame(texts, "doc_id string, text string"))

@@ -143,3 +143,15 @@ def test_gate_of_a_tampered_row(spark):
     reviews = spark.createDataFrame([("r0", "o", 0, "pass", "x"), ("r1", "o", 1, "pass", "x")], "review string, opportunity string, round int, decision string, digest string")
     assert {(r["rule"], r["key"]) for r in assessments.latest_passing(directions, reviews).collect()} == {("superseded", "d2"), ("unknown_review", "d3"), ("other_proposal", "d4")}
     assert gates.passed(assessments.latest_passing(directions.where("direction = 'd1'"), reviews))
+
+
+def test_fleeting_checkpoints_last_for_their_block(spark, tmp_path):
+    with tables.scratch(spark):
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+        depth = spark.sparkContext.getCheckpointDir().count("/")
+        for _ in range(3):
+            with tables.fleeting(spark.range(5)) as held:
+                stays = tables.cut(held.where("id > 2"))
+                assert held.count() == 5 and len(list(tmp_path.glob("fleeting-*/*/rdd-*"))) == 1
+            assert not list(tmp_path.glob("fleeting-*")) and stays.count() == 2
+        assert spark.sparkContext.getCheckpointDir().count("/") == depth
