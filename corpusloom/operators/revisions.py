@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import gates
-from corpusloom.sources.tables import cut
+from corpusloom.sources.tables import checkpoint_dir, cut, discard
 
 #: Fields that no patch may change: fixed values.
 STABLE = ("hypothesis_id", "experiment_id", "evidence_ids", "page_ids", "hypothesis_ids", "stage")
@@ -140,20 +141,28 @@ def ancestry(runs: DataFrame, max_rounds: int = 64) -> DataFrame:
     state: `whole`, `missing` (an ancestor that is recorded is not there), `changed` (an ancestor's digest is not the
     one that its child recorded) or `cycle`, the first that holds in the order missing, cycle, changed; root is the last
     run on the way up, null in or behind a cycle; depth counts the steps. Jumps double each round, so a chain of n runs
-    takes about log n rounds, each checkpointed.
+    takes about log n rounds. A run whose smallest ancestor of one jump is that of the next jump too meets it twice,
+    so it leads into a cycle: cycles end their rounds like roots, after about the log of their length. Only runs that
+    have not ended go through another round; a round is written to the shared folder of spark.checkpoint.dir and takes the place of the one before.
     """
+    spark, folder = runs.sparkSession, f"{checkpoint_dir(runs.sparkSession).rstrip('/')}/ancestry-{uuid.uuid4().hex}"
     parents = runs.select(F.col("run").alias("parent"), F.col("sha256").alias("_own"))
     told = runs.join(parents, "parent", "left")
     gap = F.col("parent").isNotNull() & F.col("_own").isNull()
-    jumps = told.select("run", F.when(gap, None).otherwise(F.col("parent")).alias("up"), F.when(F.col("parent").isNull() | gap, 0).otherwise(1).cast("long").alias("depth"), gap.alias("missing"), (F.col("parent").isNotNull() & ~gap & ~F.col("parent_sha256").eqNullSafe(F.col("_own"))).alias("changed"), F.when(F.col("parent").isNull() | gap, F.col("run")).alias("root"))
-    jumps = cut(jumps)
-    n = runs.count()
-    for turn in range(max_rounds):
-        if jumps.where("up is not null").isEmpty() or 1 << turn > n:
+    top = F.col("parent").isNull() | gap
+    first = told.select("run", F.when(~top, F.col("parent")).alias("up"), F.when(~top, F.col("parent")).alias("low"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), gap.alias("missing"), (~top & ~F.col("parent_sha256").eqNullSafe(F.col("_own"))).alias("changed"), F.when(top, F.col("run")).alias("root"), F.lit(False).alias("looped"))
+    first.write.parquet(f"{folder}/0")
+    jumps = spark.read.schema(first.schema).parquet(f"{folder}/0")
+    for turn in range(1, max_rounds + 1):
+        going = jumps.where("up is not null")
+        if going.isEmpty():
             break
-        above = jumps.select(F.col("run").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("missing").alias("_missing"), F.col("changed").alias("_changed"), F.col("root").alias("_root"))
-        both = jumps.join(above, "up", "left")
-        jumps = cut(both.select("run", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("missing") | F.coalesce("_missing", F.lit(False))).alias("missing"), (F.col("changed") | F.coalesce("_changed", F.lit(False))).alias("changed"), F.coalesce("root", "_root").alias("root")))
+        above = jumps.select(F.col("run").alias("up"), *(F.col(c).alias(f"_{c}") for c in ("up", "low", "depth", "missing", "changed", "root", "looped")))
+        looped = F.col("looped") | F.col("_looped") | F.coalesce(F.col("low") == F.col("_low"), F.lit(False))
+        both = going.join(above, "up").select("run", F.when(~looped, F.col("_up")).alias("up"), F.when(~looped, F.least("low", "_low")).alias("low"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("missing") | F.col("_missing"), F.col("changed") | F.col("_changed"), "_root", looped.alias("looped"))
+        jumps.where("up is null").union(both).write.parquet(f"{folder}/{turn}")
+        jumps = spark.read.schema(first.schema).parquet(f"{folder}/{turn}")
+        discard(spark, f"{folder}/{turn - 1}")
     state = F.when(F.col("missing"), "missing").when(F.col("root").isNull(), "cycle").when(F.col("changed"), "changed").otherwise("whole")
     return jumps.select("run", "root", F.when(F.col("root").isNotNull(), F.col("depth")).alias("depth"), state.alias("state"))
 
