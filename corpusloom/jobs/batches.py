@@ -39,9 +39,13 @@ SELECT query_id, record_id, round(score, 6) AS score, rank FROM (SELECT *, row_n
 def vector_rankings(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest records of every part, whose vector is an embedding."""
     vectors = _vectors(spark, d)
-    n = vectors.count()
-    asked = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") % n).alias("record_id")).join(vectors, "record_id").select("query_id", "vector")
-    return batch_search.vector_rankings(vectors, asked, 5).select("query_id", "record_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    n = max(1, vectors.count())
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") % n).alias("asked"))
+    # Parts that have one vector have one ranking, made once.
+    own = vectors.join(parts.select(F.col("asked").alias("record_id")).distinct(), "record_id", "left_semi")
+    found = batch_search.vector_rankings(vectors, own.withColumnRenamed("record_id", "query_id"), 5)
+    told = parts.join(found.withColumnRenamed("query_id", "asked"), "asked")
+    return told.select("query_id", "record_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _BM25 = rf"""d AS (SELECT doc_id AS record_id, regexp_extract_all(lower(coalesce(text, '')), '{WORDS}') AS found FROM documents),
