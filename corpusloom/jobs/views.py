@@ -98,6 +98,7 @@ def query_landscape(spark: SparkSession, d: str) -> DataFrame:
     """From queries to a landscape: retrieval, the papers' texts, relations found in them, and how many papers bear each out."""
     docs = table(spark, d, "documents")
     papers = _deep(spark, d).join(docs.select(F.col("doc_id").alias("record_id"), "source"), "record_id").select("source").distinct()
-    texts = docs.join(papers, "source", "left_semi").select(F.col("source").alias("paper_id"), "text")
+    # As many papers as records were found at most: the texts are not dealt out for them.
+    texts = docs.join(F.broadcast(papers), "source", "left_semi").select(F.col("source").alias("paper_id"), "text")
     found, _ = extraction.extracted(texts, extraction.CueExtractor(CUES, {}))
     return graph.relationships(found.select("paper_id", "source", F.col("label").alias("relation"), "target"))
